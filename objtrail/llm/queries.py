@@ -5,10 +5,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.llm import byte_bpe, exact_dedup, packing
+from objtrail.llm import byte_bpe, exact_dedup, packing, quality, toxicity
 from objtrail.llm.shared import load
 
 
@@ -25,6 +25,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumnRenamed("digest", "ids_crc32"))
 
 
+def _judged(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return _judged(scores, ~quality.training_row())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return _judged(scores, ~toxicity.training_row())
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +64,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
