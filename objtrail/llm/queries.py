@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.llm import byte_bpe, exact_dedup, packing, quality, toxicity
+from objtrail.llm import byte_bpe, exact_dedup, html_text, packing, quality, toxicity
 from objtrail.llm.shared import load
 
 
@@ -36,6 +36,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, ~quality.training_row())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.page_text(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return _judged(scores, ~toxicity.training_row())
@@ -65,6 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_html_extraction": op5_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
