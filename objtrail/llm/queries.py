@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.llm import byte_bpe, exact_dedup, html_text, packing, quality, toxicity
+from objtrail.llm import byte_bpe, exact_dedup, html_text, ngram_join, packing, quality, toxicity
 from objtrail.llm.shared import load
 
 
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(load(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, digest=zlib.crc32
@@ -68,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_html_extraction": op5_html_extraction,
