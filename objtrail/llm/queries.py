@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.llm import byte_bpe, exact_dedup, html_text, ngram_join, packing, quality, toxicity
+from objtrail.llm import (
+    byte_bpe,
+    embedding_dedup,
+    exact_dedup,
+    html_text,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    toxicity,
+)
 from objtrail.llm.shared import load
 
 
@@ -40,11 +51,30 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, ~quality.training_row())
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_classes(load(spark, sf_dir, "embeddings"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.page_text(load(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(load(spark, sf_dir, "documents"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(load(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.to_json("spans").alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return _judged(scores, ~toxicity.training_row())
@@ -75,8 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_license_scans": op8_license_scans,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
