@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objtrail.llm.shared import labelled_sample
+
 MAX_ROWS = 3000
 OWN = 15
 WIDTH = 3 * OWN + 3
@@ -200,13 +202,8 @@ def quality_scores(
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.min(label_col).cast("int").alias("_y")
     )
-    sample = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .where(training_row("_id"))
-        .join(marked, "_id")
-        .orderBy(F.xxhash64("_id"), "_id", "_text")
-        .limit(max_rows)
-    )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sample = labelled_sample(texts, marked, training_row("_id"), max_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,15 @@ def small_or_shuffled(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` when its counted rows are within ``limit``, else leave
     the join to a shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled rows (_id, _text, _y), by a hash of their ids.
+
+    ``docs`` has _id and _text, ``labels`` has _id and _y with one row an id;
+    ``rule`` over _id says which rows may be taken.  Ids are chosen on narrow
+    tables; those few, bounded by ``max_rows``, are broadcast to the texts.
+    """
+    turn = [F.xxhash64("_id"), "_id"]
+    chosen = labels.where(rule).join(docs.select("_id"), "_id", "left_semi").orderBy(*turn).limit(max_rows)
+    return docs.join(F.broadcast(chosen), "_id").orderBy(*turn, "_text").limit(max_rows)
