@@ -80,7 +80,9 @@ def order_keys(table: str) -> list[Column]:
 
 def ordered(df: DataFrame, table: str) -> DataFrame:
     """A normalised table in canonical order: a range-partitioned sort."""
-    return df.orderBy(*order_keys(table))
+    keys = order_keys(table)
+    names = [f"_k{i}" for i in range(len(keys))]
+    return df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]).orderBy(*names).drop(*names)
 
 
 def numbered(df: DataFrame, table: str) -> DataFrame:
