@@ -13,9 +13,11 @@ poorly filled window, and its memory is bounded at every input size.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,31 @@ from objtrail.llm.shared import Stored
 
 WINDOW = 2048
 SHARD_PIECES = 4096
-CACHE_LIMIT = 300_000
+#: entries of each of a worker's two caches, about 0.2 KB each
+CACHE_LIMIT = 700_000
 _LIMIT_BITS = 24
 
 
+class _Learnt(dict):
+    """A dict that asks ``learn`` for a missing key and forgets all when full."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE_LIMIT:
+            self.clear()
+        value = self[key] = self.learn(key)
+        return value
+
+
 class WordPieces:
     """Ids by a tokenizers file, by way of caches of white-space chunks and words.
 
     No match of this kind of pre-tokenizer spans white space, so a text is the
-    concatenation of its chunks.  Chunks are cut into normalised words, and words
-    not met before are encoded by the tokenizer itself, many at once; each word
-    ends in exactly one id whose vocabulary entry has the word-end suffix.
+    concatenation of its chunks.  A chunk not met before is cut into normalised
+    words, and a word not met before is encoded by the tokenizer itself.
     """
 
     _SPACE = regex.compile(r"\p{White_Space}+")
@@ -47,54 +63,40 @@ class WordPieces:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._SPACE.split(t) if self._ODD.search(t) else t.split() for t in texts]
-        if len(self.chunks) > CACHE_LIMIT:
-            self.chunks.clear()
-        if len(self.words) > CACHE_LIMIT:
-            self.words.clear()
-        new = set(chain.from_iterable(split)).difference(self.chunks)
-        cut = {c: self._WORD.findall(self._normal(c)) for c in new}
-        self._learn(set(chain.from_iterable(cut.values())).difference(self.words))
-        word = self.words.__getitem__
-        for c, ws in cut.items():
-            self.chunks[c] = b"".join(map(word, ws))
-        chunk = self.chunks.__getitem__
-        return [b"".join(map(chunk, s)) for s in split]
-
-    @staticmethod
-    def _normal(chunk: str) -> str:
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        # words come normalised and cut: only the byte mapping and the merges are left
+        steps = whole["pre_tokenizer"]["pretokenizers"]
+        whole |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": steps[-1], "post_processor": None}
+        self.tokenizer = Tokenizer.from_str(json.dumps(whole))
+        self.words = _Learnt(self._word)
+        self.chunks = _Learnt(self._chunk)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        split = self._SPACE.split(text) if self._ODD.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, split))
+
+    def _word(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack_ids("<%dI" % len(ids), *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.words
         if chunk.isascii():
-            return chunk.lower()
-        # character by character, as the tokenizer does: no final sigma
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-
-    def _learn(self, words: set[str]) -> None:
-        todo = list(words)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            ids = np.array(
-                self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4"
-            )
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(some):
-                start = 0
-                for w, end in zip(some, ends.tolist(), strict=True):
-                    self.words[w] = ids[start:end].tobytes()
-                    start = end
-            else:  # a word that the tokenizer cuts otherwise in company
-                for w in some:
-                    own = self.tokenizer.encode(w, add_special_tokens=False).ids
-                    self.words[w] = np.array(own, dtype="<u4").tobytes()
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return words[chunk]
+        else:
+            # character by character, as the tokenizer does: no final sigma
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return b"".join([words[w] for w in self._WORD.findall(chunk)])
+
+
+@lru_cache(maxsize=2)
+def word_pieces(path: str) -> WordPieces:
+    """One coder a worker process, so that its caches outlive a task."""
+    return WordPieces(path)
 
 
 def token_pieces(
@@ -120,14 +122,13 @@ def token_pieces(
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordPieces(vocabulary)
+        coder = word_pieces(vocabulary)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(names), 512):
                 cols: list[list] = [[], [], [], [], []]
-                some = [t or "" for t in texts[at : at + 512]]
-                for name, ids in zip(names[at : at + 512], coder.encode(some), strict=True):
-                    ids += tail
+                for name, text in zip(names[at : at + 512], texts[at : at + 512], strict=True):
+                    ids = coder.encode(text or "") + tail
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         piece = ids[4 * start : 4 * (start + window)]
