@@ -73,8 +73,12 @@ def _split(active: DataFrame, depth: int) -> DataFrame:
         keyed.groupBy("prefix", "ended")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
         .where("n > 1")
+        .select(F.struct("prefix", "ended").alias("key"), "n", "top")
     )
-    joined = keyed.join(shared, ["prefix", "ended"], "left")
+    # another key than the counts are grouped by: the counts are dealt anew, and
+    # the planner is free to split a hot prefix
+    keyed = keyed.select("doc_id", "body", "ended", F.struct("prefix", "ended").alias("key"))
+    joined = keyed.join(shared, "key", "left")
     going_on = F.col("n").isNotNull() & ~F.col("ended")
     return joined.select(
         "doc_id",
