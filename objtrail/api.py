@@ -4,6 +4,7 @@ from objtrail.frames import OcelFrames, frames
 from objtrail.operators.build import BuildResult, build
 from objtrail.operators.findings import Plan, analyze, compute, interpret, process_state
 from objtrail.operators.report import Issue, Level, Report
+from objtrail.operators.results import ComputationResult
 from objtrail.operators.shape import require_shape, shape_violations
 from objtrail.operators.validate import validate
 from objtrail.records import (
@@ -23,7 +24,7 @@ from objtrail.sources.bundle import read_bundle, read_csv, write_bundle, write_c
 from objtrail.sources.exchange import ImportResult, read_json, read_sqlite, read_xml
 
 __all__ = [
-    "OCEL_EPOCH", "Attribute", "BuildResult", "E2O", "Event", "EventAttr", "EventType", "ImportResult", "Issue", "Level",
+    "OCEL_EPOCH", "Attribute", "BuildResult", "ComputationResult", "E2O", "Event", "EventAttr", "EventType", "ImportResult", "Issue", "Level",
     "O2O", "Object", "ObjectAttr", "ObjectType", "OcelFrames", "Plan", "Report", "ValueType", "analyze", "build",
     "compute", "configure", "frames", "interpret", "process_state", "read_bundle", "read_csv", "read_json", "read_sqlite",
     "read_xml", "require_shape", "shape_violations", "validate", "write_bundle", "write_csv",

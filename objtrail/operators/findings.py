@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from objtrail.frames import OcelFrames
 from objtrail.operators import process
-from objtrail.operators.process import COMPUTED, as_ref
+from objtrail.operators.process import as_ref
+from objtrail.operators.results import COMPUTED, INVALID_INPUT, ComputationResult, computed, unavailable
 
 COLUMNS = ("finding", "subject", "detail", "status", "computation_refs")
 
@@ -87,41 +88,52 @@ def ineffective_retry(runs: DataFrame) -> DataFrame:
     )
 
 
-def compute(log: OcelFrames, plan: Plan) -> dict[str, DataFrame]:
+def compute(log: OcelFrames, plan: Plan) -> dict[str, ComputationResult]:
     """All process facts of a plan, by name."""
+    order = unavailable("temporal", "the plan has no constraints")
+    if plan.constraints:
+        rows = process.temporal_constraints(log, plan.constraints, plan.object_type)
+        order = computed("temporal", rows, "Before compares first occurrences")
     return {
-        "lifecycle": process.lifecycle_completeness(log, plan.required, plan.object_type),
-        "temporal": process.temporal_constraints(log, plan.constraints, plan.object_type) if plan.constraints else None,
-        "integrity": process.relation_integrity(log).issues,
-        "retries": process.retries(log, plan.object_type, plan.strategy),
+        "lifecycle": computed("lifecycle", process.lifecycle_completeness(log, plan.required, plan.object_type)),
+        "temporal": order,
+        "integrity": computed("integrity", process.relation_integrity(log).issues),
+        "retries": computed(
+            "retries", process.retries(log, plan.object_type, plan.strategy), "equal times are ordered by event id"
+        ),
     }
 
 
-def interpret(log: OcelFrames, facts: dict[str, DataFrame], plan: Plan) -> DataFrame:
+def interpret(log: OcelFrames, facts: dict[str, ComputationResult], plan: Plan) -> DataFrame:
     """All findings of the facts, as one table."""
     parts = [
-        missing_lifecycle_activity(facts["lifecycle"]),
-        dangling_relation(facts["integrity"]),
+        missing_lifecycle_activity(facts["lifecycle"].rows),
+        dangling_relation(facts["integrity"].rows),
         orphan_evidence(log),
         ambiguous_provenance(log),
-        ineffective_retry(facts["retries"]),
+        ineffective_retry(facts["retries"].rows),
     ]
-    if facts["temporal"] is not None:
-        parts.append(temporal_order_violation(facts["temporal"]))
+    if facts["temporal"].rows is not None:
+        parts.append(temporal_order_violation(facts["temporal"].rows))
     if plan.completion is not None:
-        parts.append(false_completion_risk(log, facts["lifecycle"], plan.completion, plan.object_type))
+        parts.append(false_completion_risk(log, facts["lifecycle"].rows, plan.completion, plan.object_type))
     return reduce(DataFrame.unionByName, parts)
 
 
-def process_state(log: OcelFrames, facts: dict[str, DataFrame], plan: Plan) -> DataFrame:
-    """One row per object of the plan's type: stage, completed, required, missing, violations, unresolved."""
+def process_state(log: OcelFrames, facts: dict[str, ComputationResult], plan: Plan) -> DataFrame:
+    """One row per object of the plan's type: stage, completed, required, missing, violations, unresolved.
+
+    ``violations`` is null where no constraint could be computed, ``unresolved``
+    counts those that could not.
+    """
     last = process.project_events(log, plan.object_type).groupBy("object").agg(
         F.max(F.struct("time", "event", "activity")).alias("last")
     )
-    state = facts["lifecycle"].join(last, "object", "left")
-    if facts["temporal"] is not None:
-        broken = facts["temporal"].groupBy("object").agg(
-            F.count_if("violated").alias("violations"), F.count_if(F.col("status") != COMPUTED).alias("unresolved")
+    state = facts["lifecycle"].rows.join(last, "object", "left")
+    if facts["temporal"].rows is not None:
+        known = F.col("status") == COMPUTED
+        broken = facts["temporal"].rows.groupBy("object").agg(
+            F.when(F.count_if(known) > 0, F.count_if("violated")).alias("violations"), F.count_if(~known).alias("unresolved")
         )
         state = state.join(broken, "object", "left")
     else:
@@ -137,7 +149,7 @@ class Analysis:
     """Facts, findings and state of one log; ``status`` is invalid_input for an invalid one."""
 
     status: str
-    facts: dict[str, DataFrame]
+    facts: dict[str, ComputationResult]
     findings: DataFrame | None
     state: DataFrame | None
     assumptions: Sequence[str] = (
@@ -150,6 +162,6 @@ class Analysis:
 def analyze(log: OcelFrames | None, plan: Plan) -> Analysis:
     """compute, interpret and project; a log that did not validate (None) is invalid input."""
     if log is None:
-        return Analysis("invalid_input", {}, None, None)
+        return Analysis(INVALID_INPUT, {}, None, None)
     facts = compute(log, plan)
     return Analysis(COMPUTED, facts, interpret(log, facts, plan), process_state(log, facts, plan))

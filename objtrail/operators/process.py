@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from objtrail.frames import OcelFrames
 from objtrail.operators.report import Report
+from objtrail.operators.results import COMPUTED, UNAVAILABLE
 from objtrail.operators.validate import duplicate_relations, relation_issues
 from objtrail.storage import store
 
-COMPUTED, UNAVAILABLE = "computed", "unavailable"
 _ORDER = ("time", "event")
 
 
@@ -71,15 +71,18 @@ def temporal_constraints(
 ) -> DataFrame:
     """object, before, after, first_before, first_after, violated, status of Before(before, after).
 
+    Every object of the type has a row per constraint, those without events too.
     One aggregate per object serves all constraints; positions are compared by
     (time, event), so no window over the trace is needed.
     """
     rows = project_events(log, object_type)
     names = sorted({a for pair in constraints for a in pair})
     spot = F.struct("time", "event")
-    # sampled columns, one per activity that a constraint names
+    # one column per activity that a constraint names
     firsts = [F.min(F.when(F.col("activity") == n, spot)).alias(f"a{i}") for i, n in enumerate(names)]
     per_object = rows.groupBy("object").agg(F.count("*").alias("_n"), *firsts)
+    objects = log.objects if object_type is None else log.objects.where(F.col("type") == object_type)
+    per_object = objects.select(F.col("id").alias("object")).distinct().join(per_object, "object", "left")
     at = {n: F.col(f"a{i}") for i, n in enumerate(names)}
     checks = F.array(
         *[

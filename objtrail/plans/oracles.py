@@ -183,13 +183,17 @@ WITH {USERS} SELECT object, event, activity, row_number() OVER (PARTITION BY obj
 ORACLES["c_check_relation_integrity"] = f"{V13} UNION ALL {V14}"
 ORACLES["c_check_temporal_constraints"] = f"""
 WITH {USERS}, firsts AS (
-  SELECT object, min(struct_pack(t := time, e := event)) FILTER (WHERE activity = 'signup') AS a,
+  SELECT o.object, min(struct_pack(t := time, e := event)) FILTER (WHERE activity = 'signup') AS a,
     min(struct_pack(t := time, e := event)) FILTER (WHERE activity = 'purchase') AS b
-  FROM users GROUP BY object)
+  FROM (SELECT concat('customer:', c_custkey) AS object FROM customer) o LEFT JOIN users u ON u.object = o.object GROUP BY o.object)
 SELECT object, 'signup' AS "before", 'purchase' AS "after", CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a > b END AS violated,
   CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'computed' ELSE 'unavailable' END AS status FROM firsts
 UNION ALL SELECT object, 'view', 'refund', NULL, 'unavailable' FROM firsts
 """
+ORACLES["c_temporal_unavailable"] = """
+SELECT DISTINCT concat('conversation:', conv_id) AS object, 'user' AS "before", 'assistant' AS "after",
+  CAST(NULL AS BOOLEAN) AS violated, 'unavailable' AS status FROM conversations
+"""
 _COMPLETE = f"""{USERS}, steps(activity) AS (
   SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('signup'), ('view')) t(activity)),
 complete AS (
@@ -258,8 +262,8 @@ WITH {_COMPLETE}, order_facts AS (SELECT * FROM ({ORACLES['c_check_temporal_cons
 last AS (SELECT object, arg_max(activity, struct_pack(t := time, e := event)) AS stage FROM users GROUP BY object)
 SELECT c.object, l.stage, CASE WHEN n_events > 0 THEN observed END AS completed, c.required,
   CASE WHEN n_events > 0 THEN missing END AS missing,
-  CASE WHEN f.object IS NOT NULL THEN CAST(coalesce(f.violated, FALSE) AS BIGINT) END AS violations,
-  CASE WHEN f.object IS NOT NULL THEN CAST(f.status <> 'computed' AS BIGINT) END AS unresolved,
+  CASE WHEN f.status = 'computed' THEN CAST(f.violated AS BIGINT) END AS violations,
+  CAST(f.status <> 'computed' AS BIGINT) AS unresolved,
   CASE WHEN n_events > 0 THEN 'computed' ELSE 'unavailable' END AS status
 FROM complete c LEFT JOIN order_facts f ON f.object = c.object LEFT JOIN last l ON l.object = c.object
 """

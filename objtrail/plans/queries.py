@@ -253,6 +253,13 @@ def check_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("object", "before", "after", "violated", "status")
 
 
+@query("c_temporal_unavailable")
+def temporal_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations have turns but no times: their order is unavailable, not kept or broken."""
+    rows = process.temporal_constraints(td.conversations(spark, sf_dir), [("user", "assistant")], "conversation")
+    return rows.select("object", "before", "after", "violated", "status")
+
+
 @query("c_lifecycle_completeness")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = process.lifecycle_completeness(td.users(spark, sf_dir), [*STEPS, "refund"], "customer")

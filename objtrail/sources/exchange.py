@@ -147,10 +147,11 @@ _JSON = (
 def read_json(spark: SparkSession, path: str | list[str], mode: str = "strict") -> ImportResult:
     """JSON documents, each a whole log or a part of one."""
     configure(spark)
-    raw = spark.read.schema(_JSON).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    # Spark does not read the corrupt record alone; a document it cannot read has no events
+    # whole texts, parsed by an expression: the file source does not read its corrupt records alone
+    read = F.from_json("value", _JSON, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
+    raw = spark.read.option("wholetext", True).text(path).select(read.alias("d")).select("d.*")
     corrupt = raw.where("_corrupt_record IS NOT NULL").select(
-        F.lit("unreadable_document").alias("kind"), F.lit(None).cast("string").alias("subject"), F.concat("_corrupt_record", F.coalesce(F.size("events").cast("string"), F.lit(""))).alias("detail")
+        F.lit("unreadable_document").alias("kind"), F.lit(None).cast("string").alias("subject"), F.col("_corrupt_record").alias("detail")
     )
     part = lambda c: raw.select(F.explode(c).alias("x")).select("x.*")
     return _assemble(part("eventTypes"), part("objectTypes"), part("events"), part("objects"), "objectId", mode, [corrupt])

@@ -296,3 +296,16 @@ def repeated_relations(spark: SparkSession, sf_dir: str) -> OcelFrames:
         e2o=relation(t.lineitem, "e2o", key("po", "l_orderkey"), key("part", "l_partkey"), "contains"),
         o2o=relation(t.lineitem, "o2o", key("order", "l_orderkey"), key("part", "l_partkey"), "contains"),
     )
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """D11: conversations and their turns as objects; without times there are no events."""
+    t = Tables(spark, sf_dir).conversations
+    turn = F.concat_ws(":", F.lit("turn"), "conv_id", "turn")
+    whole = t.select(key("conversation", "conv_id").alias("id"), F.lit("conversation").alias("type")).distinct()
+    turns = t.select(turn.alias("id"), F.lit("turn").alias("type"))
+    none = no_attributes("objects").alias("attributes")
+    return log(
+        spark, objects=union(whole.select("*", none), turns.select("*", none)),
+        o2o=relation(t, "o2o", turn, key("conversation", "conv_id"), "part_of"),
+    )

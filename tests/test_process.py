@@ -31,7 +31,10 @@ def test_missing_facts_are_unavailable(spark):
     assert (rows["a"].observed, rows["a"].missing, rows["a"].status) == (2, ["close"], "computed")
     assert (rows["b"].observed, rows["b"].missing, rows["b"].status) == (None, None, "unavailable")
     order = process.temporal_constraints(log, [("end", "start"), ("start", "close")], "case").collect()
-    assert {(r.before, r.violated, r.status) for r in order} == {("end", True, "computed"), ("start", None, "unavailable")}
+    assert {(r.object, r.before, r.violated, r.status) for r in order} == {
+        ("a", "end", True, "computed"), ("a", "start", None, "unavailable"),
+        ("b", "end", None, "unavailable"), ("b", "start", None, "unavailable"),
+    }
 
 
 def test_lineage_ends_on_cycles(spark):
@@ -62,6 +65,7 @@ def test_every_finding_has_references(spark):
     state = {r.object: r for r in result.state.collect()}
     assert (state["a"].stage, state["a"].violations) == ("try", 1)
     assert state["b"].stage is None and state["b"].violations is None
+    assert analyze(made(spark), Plan("case", ("start",))).facts["temporal"].status == "unavailable"
     assert analyze(None, Plan("case", ())).status == "invalid_input"
 
 

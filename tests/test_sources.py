@@ -59,6 +59,10 @@ def test_json_evidence(spark, tmp_path):
     assert read_json(spark, str(path)).status == "invalid"
     assert read_json(spark, str(path), "inspect").log is None
     assert read_json(spark, str(path), "recover").log.events.count() == 1
+    path.write_text("{ not json")
+    result = read_json(spark, str(path))
+    assert result.status == "invalid"
+    assert [r.kind for r in result.evidence.collect()] == ["unreadable_document"]
 
 
 def test_xml(spark, tmp_path):
