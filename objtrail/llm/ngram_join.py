@@ -9,9 +9,10 @@ sizes and positions filter group pairs before members are verified.
 Classes are wanted, not all pairs, so large groups of near copies never expand
 into their squares.  First every list links its groups to one of them (a star);
 verified links are merged into components.  Then the lists are expanded to
-members, and only pairs whose members are still in different components are
-verified.  Pairs left out lie within one component, so no link between two
-components is lost and the classes are exact.
+members, and only members still in different components are verified: those of
+short lists as pairs, those of long ones as tiles, whose task compares whole
+tiles by an index of their shingles.  Pairs left out lie within one component, so
+no link between two components is lost and the classes are exact.
 
 Only narrow rows meet in the lists.  Texts of documents in candidate pairs go,
 once per pair of blocks of documents, to the task that verifies those blocks.
@@ -20,6 +21,7 @@ once per pair of blocks of documents, to the task that verifies those blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.components import connected_components
+from objtrail.operators.components import connected_components
 from objtrail.llm.shared import Stored, small_or_shuffled
 
 WORDS = 5
@@ -35,8 +37,11 @@ PERCENT = 80
 #: how many of the commonest shingles are moved to the end of the order; any
 #: order gives right results, this bounds the table that every task holds
 COMMON = 1 << 18
-WORD_CACHE = 300_000
-BLOCK_DOCS = 1500
+WORD_CACHE = 600_000
+BLOCK_DOCS = 4000
+#: lists up to this length are verified as pairs, longer ones in tiles of TILE members
+SHORT = 32
+TILE = 2000
 BROADCAST_ROWS = 1_000_000
 _COUNTED = 4_000_000
 
@@ -72,6 +77,12 @@ class Shingler:
         return np.unique(s)
 
 
+@lru_cache(maxsize=2)
+def shared_shingler(words: int) -> Shingler:
+    """One shingler a worker process, so that its cache outlives a task."""
+    return Shingler(words)
+
+
 def required(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Least overlap with any set that a set of this size can be similar to."""
     return -(-percent * size // 100)
@@ -91,7 +102,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(words), [], 0
+        shingler, held, size = shared_shingler(words), [], 0
 
         def recurring() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -135,7 +146,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = shared_shingler(words)
         tokens, counts = known.value
         for batch in batches:
             rows = []
@@ -229,46 +240,116 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing(entries: DataFrame, percent: int) -> DataFrame:
-    """Filtered pairs of list members (token, pos, size, node, component) in different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """What is left to verify in lists (token, pos, size, node, component).
+
+    Kind 0 are filtered pairs (a, b) of short lists whose members are in different
+    components.  Kind 1 are members of units, pairs of tiles of long lists: unit,
+    node a and component b.  Tiles follow the order of size, and those whose sizes
+    rule out a link make no unit.
+    """
+    schema = pa.schema([("kind", pa.int64()), ("unit", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+        units: list[np.ndarray] = []
         count = 0
 
         def emit() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
-        for _, size, node, component, pos in _runs(batches):
+            rows = [np.empty((0, 4), dtype=np.int64), *units]
+            if pairs:
+                own = np.unique(np.concatenate(pairs), axis=0)
+                rows.append(np.concatenate([np.zeros_like(own), own], axis=1))
+            cols = np.concatenate(rows).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], schema=schema)
+
+        for token, size, node, component, pos in _runs(batches):
+            n = len(size)
             if (component == component[0]).all():
                 continue
-            for at in range(0, len(size), 256):
-                rows = slice(at, at + 256)
-                stop = int(np.searchsorted(size, size[rows][-1] * 100 // percent, side="right"))
-                cols = slice(at, stop)
+            if n <= SHORT:
                 ok = (
-                    (component[rows][:, None] != component[cols])
-                    & _within(size[rows][:, None], pos[rows][:, None], size[cols], pos[cols], percent)
-                    & (np.arange(at, min(at + 256, len(size)))[:, None] < np.arange(at, stop))
+                    (component[:, None] != component)
+                    & _within(size[:, None], pos[:, None], size, pos, percent)
+                    & (np.arange(n)[:, None] < np.arange(n))
                 )
                 i, j = np.nonzero(ok)
                 if len(i):
-                    x, y = node[rows][i], node[cols][j]
-                    held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
                     count += len(i)
+            else:
+                for i in range(0, n, TILE):
+                    for j in range(i, n, TILE):
+                        if 100 * size[min(i + TILE, n) - 1] < percent * size[j]:
+                            break
+                        at = np.arange(i, min(i + TILE, n))
+                        if j > i:
+                            at = np.concatenate([at, np.arange(j, min(j + TILE, n))])
+                        if (component[at] == component[at[0]]).all():
+                            continue
+                        name = xxhash.xxh3_64_intdigest(np.array([token[0], i, j]).tobytes()) >> 1
+                        one = np.ones(len(at), dtype=np.int64)
+                        units.append(np.stack([one, one * name, node[at], component[at]], axis=1))
+                        count += len(at)
             if count > 200_000:
                 yield emit()
-                held, count = [], 0
-        if held:
+                pairs, units, count = [], [], 0
+        if count:
             yield emit()
 
     return (
         entries.select("token", "size", "node", "component", "pos")
         .repartition("token")
         .sortWithinPartitions("token", "size", "node")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
+        .mapInArrow(run, "kind long, unit long, a long, b long")
+    )
+
+
+def _links_of_unit(table: pa.Table, words: int, percent: int) -> pa.Table:
+    """Edges between different components among a unit's documents (a node, b component, text)."""
+    shingler = shared_shingler(words)
+    nodes = table.column("a").to_numpy()
+    _, group = np.unique(table.column("b").to_numpy(), return_inverse=True)
+    sets = [shingler(t) for t in table.column("text").to_pylist()]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    by_id = np.argsort(ids, kind="stable")
+    holders = owner[by_id]
+    ends = np.cumsum(np.bincount(ids))
+    starts = np.r_[0, ends[:-1]]
+    first = np.cumsum(size) - size
+    parent = np.arange(group.max() + 1)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return int(x)
+
+    largest = np.bincount(group).argmax()
+    found = []
+    for k in np.flatnonzero(group != largest):
+        own = ids[first[k] : first[k] + size[k]]
+        both = np.bincount(
+            np.concatenate([holders[starts[i] : ends[i]] for i in own]), minlength=len(sets)
+        )
+        near = np.flatnonzero(100 * both >= percent * (size[k] + size - both))
+        for m in near.tolist():
+            x, y = find(group[k]), find(group[m])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((int(nodes[k]), int(nodes[m])))
+    return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _verify_units(units: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges of the units (unit, node a, component b); each ships its members' texts once."""
+    needed = units.select("unit", F.col("a").alias("doc_id"), "b")
+    texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id")
+    return (
+        texts.select("unit", F.col("doc_id").alias("a"), "b", "text")
+        .groupBy("unit")
+        .applyInArrow(lambda table: _links_of_unit(table, words, percent), "a long, b long")
     )
 
 
@@ -292,7 +373,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        shingler = Shingler(words)
+        shingler = shared_shingler(words)
         sets: dict[int, list[np.ndarray]] = {}
         for name, text in zip(right.column("doc_id").to_pylist(), right.column("text").to_pylist(), strict=True):
             sets.setdefault(name, []).append(shingler(text))
@@ -365,10 +446,14 @@ def ngram_classes(
         .join(label, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    second = _verify(_crossing(labelled, percent), docs, words, percent)
-    if second is not None:
-        edges = Stored(second if edges is None else edges.unionByName(second), "links").df
-        label = connected_components(edges)
+    left = Stored(_crossing(labelled, percent), "crossing").df
+    second = _verify(left.where("kind = 0").select("a", "b").distinct(), docs, words, percent)
+    third = _verify_units(left.where("kind = 1"), docs, words, percent)
+    for more in (second, third):
+        if more is not None:
+            edges = more if edges is None else edges.unionByName(more)
+    edges = Stored(edges, "links").df
+    label = connected_components(edges)
 
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")

@@ -2,61 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from objtrail.storage import Stored, shared_folder, store
+
+__all__ = ["Stored", "labelled_sample", "load", "shared_folder", "small_or_shuffled", "store"]
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only a local master may do
-    without: there a temporary folder is set, once per context.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="objtrail-"))
-        set_dir = spark.sparkContext.getCheckpointDir()
-    return set_dir.rstrip("/")
-
-
-class Stored:
-    """A table written to the shared folder, cutting the lineage before it."""
-
-    def __init__(self, df: DataFrame, label: str) -> None:
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
-        self.schema = df.schema
-        df.write.parquet(self.path)
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files; only for tables that no later result reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path, True)
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    return Stored(df, label).df
-
-
 def small_or_shuffled(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` when its counted rows are within ``limit``, else leave
     the join to a shuffle."""
