@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.components import connected_components
+from objtrail.operators.components import connected_components
 from objtrail.llm.shared import Stored
 
 COSINE = 0.9
@@ -59,19 +60,21 @@ def _strips(nodes: DataFrame, cosine: float, blocks: int) -> DataFrame:
     schema = pa.schema([(c, pa.int64()) for c in ("width", "key", "weight", "block", "strip")] + [("raw", pa.list_(value))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turned: dict[int, np.ndarray] = {}
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for key, weight, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(raw)
-                if n not in turned:
-                    turned[n] = rotation(n)
-                r = turned[n] @ _unit(np.array([raw], dtype=np.float64))[0]
+            widths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for n in np.unique(widths).tolist():
+                rows = batch.filter(pa.array(widths == n))
+                flat = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                turned = _unit(flat.reshape(rows.num_rows, n)) @ rotation(n).T
                 for k, (lo, hi) in enumerate(_cuts(n, blocks)):
                     radius = np.sqrt((2 - 2 * cosine) * (hi - lo) / n) + _SLACK
-                    for col, x in zip(cols, (n, key, weight, k, int(np.floor(r[lo] / radius)), raw), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    strip = np.floor(turned[:, lo] / radius).astype(np.int64)
+                    same = np.ones(rows.num_rows, dtype=np.int64)
+                    cols = [same * n, rows.column(0), rows.column(1), same * k, strip, rows.column(2)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, schema, strict=True)],
+                        schema=schema,
+                    )
 
     kind = nodes.schema["raw"].dataType.simpleString()
     return nodes.select("key", "weight", "raw").mapInArrow(
@@ -92,7 +95,10 @@ def _links(table: pa.Table, cosine: float, blocks: int) -> pa.Table:
     budgets = [(2 - 2 * cosine) * (hi - lo) / unit.shape[1] + _SLACK**2 + 1e-9 for lo, hi in cuts]
     lo, hi = cuts[block]
     low = turned[:, lo:hi].astype(np.float32)
-    norm = (low * low).sum(axis=1)
+    norm = (low * low).sum(axis=1, keepdims=True)
+    # one product gives all squared distances: |x|^2 + |y|^2 - 2 x.y
+    one = np.ones_like(norm)
+    rows, columns = np.hstack([low, norm, one]), np.ascontiguousarray(np.hstack([-2 * low, one, norm]).T)
     a, b = np.flatnonzero(left), np.flatnonzero(right)
     same = len(a) == len(b) and (a == b).all()
     count = np.zeros(len(node))
@@ -109,10 +115,12 @@ def _links(table: pa.Table, cosine: float, blocks: int) -> pa.Table:
         i = a[at : at + _CHUNK]
         for bt in range(at if same else 0, len(b), _CHUNK):
             j = b[bt : bt + _CHUNK]
-            near = norm[i][:, None] + norm[j] - 2 * (low[i] @ low[j].T) <= budgets[block] + 1e-4
+            near = rows[i] @ columns[:, j] <= budgets[block] + 1e-4
             if same and at == bt:
                 near = np.triu(near, 1)
-            x, y = np.nonzero(near)
+            if not near.any():
+                continue
+            x, y = np.divmod(np.flatnonzero(near), len(j))
             for part in range(0, len(x), 50_000):
                 p, q = i[x[part : part + 50_000]], j[y[part : part + 50_000]]
                 ok = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
