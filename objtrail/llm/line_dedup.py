@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from objtrail.llm.shared import Stored, small_or_shuffled
 
-LEADING = 3
+LEADING = 5
 MIN_DOCS = 5
 MIN_FIXED = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -27,7 +27,12 @@ FIELD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", ""), r"[ \t\r]+")
+    """A trimmed line's tokens, cut at single spaces; a double space makes an empty token."""
+    return F.split(line, " ")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _generalised(token: Column) -> Column:
@@ -35,8 +40,10 @@ def _generalised(token: Column) -> Column:
 
 
 def _leaf(line: Column, leading: int) -> Column:
-    tokens = _tokens(line)
-    return F.xxhash64(F.size(tokens), F.array_join(F.transform(F.slice(tokens, 1, leading), _generalised), "\x01"))
+    """Digest of a trimmed line's path: token count and leading tokens, without cutting the rest."""
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    lead = F.transform(_tokens(F.substring_index(line, " ", leading)), _generalised)
+    return F.xxhash64(spaces, F.array_join(lead, "\x01"))
 
 
 def drop_recurring_lines(
@@ -49,7 +56,8 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without its recurring lines, per row.
 
-    Lines end at a line feed; blank lines are never dropped.  A null text gives no
+    Lines end at a line feed and are compared without spaces, tabs and carriage
+    returns around them; blank lines are never dropped.  A null text gives no
     lines and an empty text, an empty one its one blank line.  Every row counts as
     a document of its own, so copies make their lines recur; run exact dedup
     first where that is not wanted.  Rows that repeat id and text get equal
@@ -57,7 +65,7 @@ def drop_recurring_lines(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    filled = F.filter(F.array_distinct(lines), lambda x: x.rlike(r"[^ \t\r]"))
+    filled = F.filter(F.array_distinct(F.transform(lines, _trimmed)), lambda x: x != "")
     # (1) leaves that recur, one row per document and leaf
     leaves = rows.select(F.explode(F.array_distinct(F.transform(filled, lambda x: _leaf(x, leading)))).alias("leaf"))
     hot = Stored(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
@@ -122,7 +130,7 @@ def drop_recurring_lines(
         .agg(F.collect_set("line").alias("gone"))
     )
     gone = Stored(gone, "gone").df
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), x))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), _trimmed(x)))
     joined = rows.withColumn("_v", F.xxhash64("text")).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left"
     )

@@ -7,12 +7,10 @@ lines AS (
   SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nr
   FROM docs),
-cut AS (
-  SELECT DISTINCT rid, line, regexp_split_to_array(regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g'), '[ \t\r]+') AS toks
-  FROM lines WHERE regexp_matches(line, '[^ \t\r]')),
+cut AS (SELECT DISTINCT rid, trim(line, E' \t\r') AS line FROM lines WHERE trim(line, E' \t\r') <> ''),
 leafed AS (
-  SELECT rid, line, toks,
-         concat(len(toks), chr(2), array_to_string(list_transform(toks[1:3], lambda t:
+  SELECT rid, line, string_split(line, ' ') AS toks,
+         concat(len(string_split(line, ' ')), chr(2), array_to_string(list_transform(string_split(line, ' ')[1:5], lambda t:
            CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), chr(1))) AS leaf
   FROM cut),
 hot AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT rid) >= 5),
@@ -37,7 +35,7 @@ SELECT d.doc_id,
        CASE WHEN d.text IS NULL THEN 0 ELSE count(*) END AS n_lines,
        CASE WHEN d.text IS NULL THEN 0 ELSE count(g.line) END AS n_dropped,
        coalesce(string_agg(l.line, chr(10) ORDER BY l.nr) FILTER (WHERE g.line IS NULL), '') AS text
-FROM docs d JOIN lines l ON l.rid = d.rid LEFT JOIN gone g ON g.rid = l.rid AND g.line = l.line
+FROM docs d JOIN lines l ON l.rid = d.rid LEFT JOIN gone g ON g.rid = l.rid AND g.line = trim(l.line, E' \t\r')
 GROUP BY d.rid, d.doc_id, d.text
 """,
     "op10_exact_dedup": """
