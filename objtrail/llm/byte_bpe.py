@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_LIMIT = 250_000
+#: entries of a worker's cache, about 0.2 KB each
+CACHE_LIMIT = 600_000
 _GAMMA = 2
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
+_ALL = 2**64 - 1
+_STEP = 0x9E3779B97F4A7C15
+_MIX = 0xFF51AFD7ED558CCD
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -59,6 +63,8 @@ class PerfectHash:
             if len(self.levels) > 64:
                 raise ValueError("two keys share their digest")
         self.size = before
+        # plain sequences, for look-ups one at a time
+        self.plain = [(len(alone), alone.tobytes(), rank.tolist()) for alone, rank in self.levels]
 
     @staticmethod
     def digests(keys: list[bytes]) -> np.ndarray:
@@ -67,21 +73,34 @@ class PerfectHash:
     @staticmethod
     def _slots(digests: np.ndarray, level: int, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = (digests ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (2**64 - 1))) * _MIX
-            x = (x ^ (x >> np.uint64(32))) * _MIX
+            x = (digests ^ np.uint64(_STEP * (level + 1) & _ALL)) * np.uint64(_MIX)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
         return ((x >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
 
-    def index(self, keys: list[bytes]) -> np.ndarray:
-        """Index of each key, or -1 where no level can hold it."""
-        digests = self.digests(keys)
-        found = np.full(len(keys), -1, dtype=np.int64)
-        left = np.arange(len(keys))
-        for level, (alone, rank) in enumerate(self.levels):
-            slots = self._slots(digests[left], level, len(alone))
-            hit = alone[slots]
-            found[left[hit]] = rank[slots[hit]]
-            left = left[~hit]
-        return found
+    def index(self, key: bytes) -> int:
+        """Index of a key, or -1 where no level can hold it."""
+        digest = xxhash.xxh3_64_intdigest(key)
+        for level, (size, alone, rank) in enumerate(self.plain):
+            x = ((digest ^ (_STEP * (level + 1) & _ALL)) * _MIX) & _ALL
+            x = ((x ^ (x >> 32)) * _MIX) & _ALL
+            slot = (x >> 20) % size
+            if alone[slot]:
+                return rank[slot]
+        return -1
+
+
+class _Learnt(dict):
+    """A dict that asks ``learn`` for a missing key and forgets all when full."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE_LIMIT:
+            self.clear()
+        value = self[key] = self.learn(key)
+        return value
 
 
 class ByteCoder:
@@ -95,85 +114,84 @@ class ByteCoder:
     def __init__(self, table: list[bytes], pattern: str, perfect: PerfectHash | None = None) -> None:
         self.table = table
         self.ranks = {t: i for i, t in enumerate(table)}
+        self.pairs = [-1] * 65536
+        for i, t in enumerate(table):
+            if len(t) == 2:
+                self.pairs[t[0] << 8 | t[1]] = i
         self.pattern = regex.compile(pattern)
         self.perfect = perfect or PerfectHash(table)
-        where = self.perfect.index(table)
-        self.ids = np.empty(len(table), dtype=np.int64)
-        self.ids[where] = np.arange(len(table))
-        self.tokens: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        for cache in (self.tokens, self.chunks):
-            if len(cache) > CACHE_LIMIT:
-                cache.clear()
-        plans: list[tuple[dict[str, bytes], list[str]]] = []
-        for text in texts:
-            if "  " in text or text.endswith(" "):
-                plans.append((self.tokens, self.pattern.findall(text)))
-            else:
-                first, *rest = text.split(" ")
-                plans.append((self.chunks, [first, *(" " + x for x in rest)]))
-        new = set(chain.from_iterable(p for c, p in plans if c is self.chunks)).difference(self.chunks)
-        cut = {c: self.pattern.findall(c) for c in new}
-        needed = set(chain.from_iterable(cut.values()))
-        needed.update(chain.from_iterable(p for c, p in plans if c is self.tokens))
-        self._learn(list(needed.difference(self.tokens)))
-        token = self.tokens.__getitem__
-        for c, pieces in cut.items():
-            self.chunks[c] = b"".join(map(token, pieces))
-        return [np.frombuffer(b"".join(map(c.__getitem__, p)), dtype="<i4") for c, p in plans]
+        self.ids = [0] * len(table)
+        for i, t in enumerate(table):
+            self.ids[self.perfect.index(t)] = i
+        self.known = _Learnt(self._chunk)
+
+    def encode(self, text: str) -> np.ndarray:
+        if "  " in text or "\0" in text or text.endswith(" "):
+            parts = map(self.known.__getitem__, self.pattern.findall(text))
+        else:
+            parts = map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0"))
+        return np.frombuffer(b"".join(parts), dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
-    def _learn(self, pieces: list[str]) -> None:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        where = self.perfect.index(raw)
-        for piece, body, at in zip(pieces, raw, where.tolist(), strict=True):
-            if at >= 0 and self.table[i := int(self.ids[at])] == body:
-                found = [i]
-            else:
-                found = self._merge(body)
-            self.tokens[piece] = np.array(found, dtype="<i4").tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk; a pre-token is matched again as itself, so one cache holds both."""
+        parts = self.pattern.findall(chunk)
+        return self._token(chunk) if len(parts) == 1 else b"".join([self.known[t] for t in parts])
+
+    def _token(self, token: str) -> bytes:
+        body = token.encode("utf-8", "surrogatepass")
+        at = self.perfect.index(body)
+        found = [self.ids[at]] if at >= 0 and self.table[self.ids[at]] == body else self._merge(body)
+        return pack_ids("<%di" % len(found), *found)
 
     def _merge(self, body: bytes) -> list[int]:
-        """Heap-driven merges over a linked list of byte spans."""
-        ranks, n = self.ranks, len(body)
+        """Heap-driven merges over a linked list of byte spans.
+
+        A span ends where the next begins.  ``rank[i]`` is that of the pair of
+        spans that begins at i; heap entries, rank * n + i, of other ranks are stale.
+        """
+        ranks, pairs, n = self.ranks, self.pairs, len(body)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            r = ranks.get(body[i : i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        rank = [pairs[x << 8 | y] for x, y in zip(body, body[1:])]
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        rank.append(-1)
         heapq.heapify(heap)
-        gone = bytearray(n + 1)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j >= n or end[j] != stop:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
                 continue
-            gone[j] = 1
-            end[i] = stop
+            j = after[i]
             k = after[i] = after[j]
+            rank[i] = rank[j] = -1
             if k < n:
                 before[k] = i
-                r = ranks.get(body[i : end[k]])
+                r = ranks.get(body[i : after[k]])
                 if r is not None:
-                    heapq.heappush(heap, (r, i, end[k]))
+                    rank[i] = r
+                    heapq.heappush(heap, r * n + i)
             h = before[i]
             if h >= 0:
-                r = ranks.get(body[h:stop])
-                if r is not None:
-                    heapq.heappush(heap, (r, h, stop))
+                r = ranks.get(body[h:k])
+                if r is None:
+                    rank[h] = -1
+                else:
+                    rank[h] = r
+                    heapq.heappush(heap, r * n + h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[body[i : end[i]]])
+            out.append(ranks[body[i : after[i]]])
             i = after[i]
         return out
 
 
+@lru_cache(maxsize=2)
+def byte_coder(vocabulary: str, pattern: str) -> ByteCoder:
+    """One coder a worker process, so that its caches outlive a task."""
+    return ByteCoder(read_ranks(vocabulary), pattern)
+
+
 def encode(
     docs: DataFrame,
     vocabulary: str,
@@ -193,11 +211,11 @@ def encode(
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteCoder(read_ranks(vocabulary), pattern)
+        coder = byte_coder(vocabulary, pattern)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(names), 512):
-                ids = coder.encode([t or "" for t in texts[at : at + 512]])
+                ids = [coder.encode(t or "") for t in texts[at : at + 512]]
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
                 cols = [
