@@ -46,3 +46,19 @@ class Stored:
 
 def store(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
+
+
+class Scratch:
+    """Tables that an operator needs until its last one is written."""
+
+    def __init__(self) -> None:
+        self.tables: list[Stored] = []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(Stored(df, label))
+        return self.tables[-1].df
+
+    def drop(self) -> None:
+        """Delete them all; what is still to be read must be stored elsewhere."""
+        while self.tables:
+            self.tables.pop().drop()
