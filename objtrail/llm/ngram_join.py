@@ -21,7 +21,6 @@ once per pair of blocks of documents, to the task that verifies those blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,57 +29,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objtrail.operators.components import connected_components
-from objtrail.llm.shared import Stored, small_or_shuffled
+from objtrail.llm.shared import Scratch, small_or_shuffled, store
 
 WORDS = 5
 PERCENT = 80
 #: how many of the commonest shingles are moved to the end of the order; any
 #: order gives right results, this bounds the table that every task holds
 COMMON = 1 << 18
-WORD_CACHE = 600_000
 BLOCK_DOCS = 4000
 #: lists up to this length are verified as pairs, longer ones in tiles of TILE members
 SHORT = 32
 TILE = 2000
 BROADCAST_ROWS = 1_000_000
 _COUNTED = 4_000_000
+_BITS = 22
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-class Shingler:
+def shingles(text: str | None, words: int) -> np.ndarray:
     """Distinct shingles of a text as a sorted array of 64-bit hashes."""
-
-    def __init__(self, words: int = WORDS) -> None:
-        self.words, self.hashes = words, _WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        # bytes.lower() and bytes.split() know ASCII only: A-Z, and \x20 \x09-\x0D
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n = len(words)
-        if not n:
-            return np.empty(0, dtype=np.uint64)
-        if n < self.words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], dtype=np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=n)
-        last = n - self.words + 1
-        s = np.zeros(last, dtype=np.uint64)
-        for k in range(self.words):
-            s = (s ^ (s >> np.uint64(29)) ^ h[k : k + last]) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        s ^= s >> np.uint64(32)
-        return np.unique(s)
-
-
-@lru_cache(maxsize=2)
-def shared_shingler(words: int) -> Shingler:
-    """One shingler a worker process, so that its cache outlives a task."""
-    return Shingler(words)
+    # bytes.lower() and bytes.split() know ASCII only: A-Z, and \x20 \x09-\x0D
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(found)
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    if n < words:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=n)], dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=n)
+    last = n - words + 1
+    s = np.zeros(last, dtype=np.uint64)
+    for k in range(words):
+        s = (s ^ (s >> np.uint64(29)) ^ h[k : k + last]) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+    s ^= s >> np.uint64(32)
+    s.sort()
+    new = np.empty(last, dtype=bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def required(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -102,7 +86,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = shared_shingler(words), [], 0
+        held, size = [], 0
 
         def recurring() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -113,7 +97,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                held.append(shingler(text))
+                held.append(shingles(text, words))
                 size += len(held[-1])
                 if size >= _COUNTED:
                     yield recurring()
@@ -146,35 +130,40 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shared_shingler(words)
         tokens, counts = known.value
+        # most shingles are not common: a table of leading bits spares them the search
+        leading = np.zeros(1 << _BITS, dtype=bool)
+        leading[(tokens >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingler(text)
+            rows, firsts = [], [np.empty(0, dtype=np.int64)]
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, words)
                 n = len(s)
                 if not n:
-                    rows.append((name, 0, 0, 0, 0, 0, []))
+                    rows.append((0, 0, 0, 0, 0))
+                    firsts.append(firsts[0])
                     continue
                 often = np.zeros(n, dtype=np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    often = np.where(tokens[at] == s, counts[at], 0)
+                maybe = np.flatnonzero(leading[s >> np.uint64(64 - _BITS)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(tokens, s[maybe]), len(tokens) - 1)
+                    often[maybe] = np.where(tokens[at] == s[maybe], counts[at], 0)
                 first = s[np.argsort(often, kind="stable")[: n - int(required(n, percent)) + 1]].view(np.int64)
-                rows.append((name, n, *halves(s.tobytes()), *halves(first.tobytes() + n.to_bytes(8, "little")), first))
+                rows.append((n, *halves(s.tobytes()), *halves(first.tobytes() + n.to_bytes(8, "little"))))
+                firsts.append(first)
+            cols = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            offsets = np.cumsum([len(x) for x in firsts], dtype=np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-                if rows
-                else [pa.array([], type=f.type) for f in schema],
-                schema=schema,
+                [batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in cols), prefix], schema=schema
             )
 
     out = "doc_id long, size long, s1 long, s2 long, g1 long, g2 long, prefix array<long>"
     return docs.mapInArrow(run, out)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of each token that has two or more; rows come sorted by token."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, starts, ends) of the tokens with two or more rows; rows come sorted by token."""
     carry: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
@@ -184,11 +173,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
             continue
         starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
         ends = np.r_[starts[1:], len(cols[0])]
-        for k in np.flatnonzero(ends[:-1] - starts[:-1] > 1):
-            yield tuple(c[starts[k] : ends[k]] for c in cols)
+        # the last token may go on in the next batch
+        many = np.flatnonzero(ends[:-1] - starts[:-1] > 1)
+        if len(many):
+            yield cols, starts[many], ends[many]
         carry = [c[starts[-1] :] for c in cols]
     if carry is not None and len(carry[0]) > 1:
-        yield tuple(carry)
+        yield carry, np.array([0]), np.array([len(carry[0])])
 
 
 def _within(
@@ -209,21 +200,26 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for token, size, _, node, pos in _runs(batches):
-            n = len(token)
-            zero = np.zeros(n, dtype=np.int64)
-            parts.append((zero, token, pos, size, node, zero))
-            start = 0
-            while start < n - 1:
-                stop = int(np.searchsorted(size, size[start] * 100 // percent, side="right"))
-                rest = slice(start + 1, stop)
-                ok = np.flatnonzero(_within(size[start], pos[start], size[rest], pos[rest], percent)) + start + 1
-                if len(ok):
-                    one, none = np.ones(len(ok), dtype=np.int64), np.zeros(len(ok), dtype=np.int64)
-                    x, y = np.full(len(ok), node[start]), node[ok]
+        for (token, size, _, node, pos), starts, ends in _runs(batches):
+            length = ends - starts
+            list_of = np.repeat(np.arange(len(starts)), length)
+            rows = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + starts[list_of]
+            zero = np.zeros(len(rows), dtype=np.int64)
+            parts.append((zero, token[rows], pos[rows], size[rows], node[rows], zero))
+            # the first row of a list leads those its size admits; the first of the rest leads on
+            todo = np.arange(len(rows))
+            while len(todo):
+                first = np.r_[True, list_of[todo[1:]] != list_of[todo[:-1]]]
+                lead = rows[todo[np.maximum.accumulate(np.where(first, np.arange(len(todo)), 0))]]
+                own = rows[todo]
+                inside = 100 * size[lead] >= percent * size[own]
+                pair = ~first & _within(size[lead], pos[lead], size[own], pos[own], percent)
+                if pair.any():
+                    x, y = node[lead[pair]], node[own[pair]]
+                    one, none = np.ones(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
                     parts.append((one, none, none, none, np.minimum(x, y), np.maximum(x, y)))
-                start = max(stop, start + 1)
-            held += 2 * n
+                todo = todo[~inside]
+            held += 2 * len(rows)
             if held > 200_000:
                 yield emit(parts)
                 parts, held = [], 0
@@ -262,10 +258,18 @@ def _crossing(entries: DataFrame, percent: int) -> DataFrame:
             cols = np.concatenate(rows).T
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], schema=schema)
 
-        for token, size, node, component, pos in _runs(batches):
+        def open_lists() -> Iterator[tuple[np.ndarray, ...]]:
+            for cols, starts, ends in _runs(batches):
+                component = cols[3]
+                # bounds of each list and of the rows between lists, of which every other is dropped
+                edges = np.stack([starts, ends], axis=1).ravel()
+                edges = edges[:-1] if edges[-1] == len(component) else edges
+                low, high = np.minimum.reduceat(component, edges)[::2], np.maximum.reduceat(component, edges)[::2]
+                for k in np.flatnonzero(low != high):
+                    yield tuple(c[starts[k] : ends[k]] for c in cols)
+
+        for token, size, node, component, pos in open_lists():
             n = len(size)
-            if (component == component[0]).all():
-                continue
             if n <= SHORT:
                 ok = (
                     (component[:, None] != component)
@@ -306,10 +310,9 @@ def _crossing(entries: DataFrame, percent: int) -> DataFrame:
 
 def _links_of_unit(table: pa.Table, words: int, percent: int) -> pa.Table:
     """Edges between different components among a unit's documents (a node, b component, text)."""
-    shingler = shared_shingler(words)
     nodes = table.column("a").to_numpy()
     _, group = np.unique(table.column("b").to_numpy(), return_inverse=True)
-    sets = [shingler(t) for t in table.column("text").to_pylist()]
+    sets = [shingles(t, words) for t in table.column("text").to_pylist()]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -353,9 +356,9 @@ def _verify_units(units: DataFrame, docs: DataFrame, words: int, percent: int) -
     )
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """Edges that connect what the similar pairs among ``pairs`` connect; None without pairs."""
-    pairs = Stored(pairs, "pairs").df
+    pairs = scratch.store(pairs, "pairs")
     involved = pairs.select("a").union(pairs.select("b")).distinct().count()
     if not involved:
         return None
@@ -365,18 +368,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         return F.pmod(F.xxhash64(c), F.lit(blocks))
 
     key = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
-    keyed = Stored(pairs.withColumn("key", key), "keyed").df
-    needed = Stored(
+    keyed = pairs.withColumn("key", key)
+    needed = scratch.store(
         keyed.select("key", F.col("a").alias("doc_id")).union(keyed.select("key", F.col("b"))).distinct(), "needed"
-    ).df
+    )
     texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id").select("key", "doc_id", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        shingler = shared_shingler(words)
         sets: dict[int, list[np.ndarray]] = {}
         for name, text in zip(right.column("doc_id").to_pylist(), right.column("text").to_pylist(), strict=True):
-            sets.setdefault(name, []).append(shingler(text))
+            sets.setdefault(name, []).append(shingles(text, words))
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -411,27 +413,28 @@ def ngram_classes(
     columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = Stored(_prefixes(docs, words, percent), "prefixes").df
-    filled = sets.where("size > 0 AND doc_id IS NOT NULL")
+    scratch = Scratch()
+    prefixes = scratch.store(_prefixes(docs, words, percent), "prefixes")
+    filled = prefixes.where("size > 0 AND doc_id IS NOT NULL")
     # copies of a set are one node; its smallest id stands for it
-    nodes = Stored(
+    nodes = scratch.store(
         filled.groupBy("s1", "s2").agg(
             F.min("doc_id").alias("node"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("size").alias("size")
         ),
         "nodes",
-    ).df
+    )
     groups = filled.groupBy("g1", "g2").agg(
         F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
     )
     entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "size", "node").select(
         "token", F.col("pos").cast("long").alias("pos"), "size", "node"
     )
-    lists = Stored(_stars(entries, percent), "lists").df
-    first = _verify(lists.where("kind = 1").select("a", "b").distinct(), docs, words, percent)
+    lists = scratch.store(_stars(entries, percent), "lists")
+    first = _verify(lists.where("kind = 1").select("a", "b").distinct(), docs, words, percent, scratch)
     label = nodes.select("node", F.col("node").alias("component")).limit(0)
     edges = None
     if first is not None:
-        edges = Stored(first, "links").df
+        edges = scratch.store(first, "links")
         label = connected_components(edges)
 
     leads = nodes.groupBy("g1", "g2").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
@@ -446,20 +449,23 @@ def ngram_classes(
         .join(label, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    left = Stored(_crossing(labelled, percent), "crossing").df
-    second = _verify(left.where("kind = 0").select("a", "b").distinct(), docs, words, percent)
+    left = scratch.store(_crossing(labelled, percent), "crossing")
+    second = _verify(left.where("kind = 0").select("a", "b").distinct(), docs, words, percent, scratch)
     third = _verify_units(left.where("kind = 1"), docs, words, percent)
     for more in (second, third):
         if more is not None:
             edges = more if edges is None else edges.unionByName(more)
-    edges = Stored(edges, "links").df
+    edges = scratch.store(edges, "links")
     label = connected_components(edges)
 
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")
     )
-    of_node = Stored(of_node, "classes").df
-    joined = sets.select("doc_id", "size", "s1", "s2").join(of_node, ["s1", "s2"], "left")
+    # all that the result reads: narrow rows
+    of_node = store(of_node, "classes")
+    sets = store(prefixes.select("doc_id", "size", "s1", "s2"), "sets")
+    scratch.drop()
+    joined = sets.join(of_node, ["s1", "s2"], "left")
     own = F.when(F.col("size") > 0, F.col("component"))
     return joined.select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id")
