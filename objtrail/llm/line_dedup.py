@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.shared import Stored, small_or_shuffled
+from objtrail.llm.shared import Scratch, small_or_shuffled, store
 
 LEADING = 5
 MIN_DOCS = 5
@@ -66,39 +66,43 @@ def drop_recurring_lines(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     filled = F.filter(F.array_distinct(F.transform(lines, _trimmed)), lambda x: x != "")
+    scratch = Scratch()
     # (1) leaves that recur, one row per document and leaf
     leaves = rows.select(F.explode(F.array_distinct(F.transform(filled, lambda x: _leaf(x, leading)))).alias("leaf"))
-    hot = Stored(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    hot_rows = hot.df.count()
-    # (2) their lines, one row per document and distinct line
+    hot = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    hot = scratch.store(hot, "leaves")
+    hot_rows = hot.count()
+    # (2) their lines, one row per document and distinct line; from here on a digest
+    # stands for a line within its leaf, so texts do not travel with every token
     listed = rows.select("doc_id", F.xxhash64("text").alias("version"), F.explode(filled).alias("line"))
-    listed = listed.withColumn("leaf", _leaf(F.col("line"), leading))
-    listed = Stored(listed.join(small_or_shuffled(hot.df, hot_rows, BROADCAST_ROWS), "leaf"), "lines").df
-    distinct = Stored(listed.groupBy("leaf", "line").agg(F.count("*").alias("n_docs")), "distinct").df
+    listed = listed.withColumns({"leaf": _leaf(F.col("line"), leading), "digest": F.xxhash64("line")})
+    listed = scratch.store(listed.join(small_or_shuffled(hot, hot_rows, BROADCAST_ROWS), "leaf"), "lines")
+    distinct = scratch.store(
+        listed.groupBy("leaf", "digest").agg(F.count("*").alias("n_docs"), F.first("line").alias("line")), "distinct"
+    )
     # (3) tokens of distinct lines, and which of them are fixed
-    placed = distinct.select("leaf", "line", "n_docs", F.posexplode(_tokens(F.col("line"))).alias("place", "token"))
+    tokens = _tokens(F.col("line"))
+    placed = distinct.select("leaf", "digest", "n_docs", F.posexplode(tokens).alias("place", "token"))
     fixed = (
         placed.groupBy("leaf", "place", "token")
         .agg(F.sum("n_docs").alias("n"))
         .where((F.col("n") >= min_docs) & ~F.col("token").rlike("[0-9]"))
         .select("leaf", "place", "token", F.lit(1).alias("fixed"))
     )
-    fixed = Stored(fixed, "fixed").df
+    fixed = scratch.store(fixed, "fixed")
     # a line that recurs by itself has all its tokens fixed but those with digits
     shared = F.col("n_docs") >= min_docs
     own = distinct.where(shared).select(
         "leaf",
-        "line",
-        F.array_join(F.transform(_tokens(F.col("line")), _generalised), " ").alias("template"),
-        F.aggregate(
-            _tokens(F.col("line")), F.lit(0), lambda n, x: n + F.when(x.rlike("[0-9]"), 0).otherwise(1)
-        ).alias("n_fixed"),
-        F.size(_tokens(F.col("line"))).alias("n_tokens"),
+        "digest",
+        F.array_join(F.transform(tokens, _generalised), " ").alias("template"),
+        F.aggregate(tokens, F.lit(0), lambda n, x: n + F.when(x.rlike("[0-9]"), 0).otherwise(1)).alias("n_fixed"),
+        F.size(tokens).alias("n_tokens"),
     )
     made = (
         placed.where(~shared)
         .join(fixed, ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "line")
+        .groupBy("leaf", "digest")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("place", F.when(F.col("fixed") == 1, F.col("token")).otherwise(FIELD).alias("t")))
@@ -106,15 +110,17 @@ def drop_recurring_lines(
             F.count("fixed").cast("int").alias("n_fixed"),
             F.count("*").cast("int").alias("n_tokens"),
         )
-        .select("leaf", "line", F.array_join(F.col("parts.t"), " ").alias("template"), "n_fixed", "n_tokens")
+        .select("leaf", "digest", F.array_join(F.col("parts.t"), " ").alias("template"), "n_fixed", "n_tokens")
     )
     templates = (
         own.unionByName(made)
         .where(F.col("n_fixed") >= min_fixed * F.col("n_tokens"))
-        .select("leaf", "line", F.xxhash64("leaf", "template").alias("template"))
+        .select("leaf", "digest", F.xxhash64("leaf", "template").alias("template"))
     )
     # (4) templates that recur in enough documents
-    seen = Stored(listed.join(templates, ["leaf", "line"]).select("doc_id", "version", "line", "template"), "seen").df
+    narrow = listed.select("doc_id", "version", "leaf", "digest")
+    seen = narrow.join(templates, ["leaf", "digest"]).select("doc_id", "version", "digest", "template")
+    seen = scratch.store(seen, "seen")
     recurring = (
         seen.select("doc_id", "version", "template")
         .distinct()
@@ -123,14 +129,16 @@ def drop_recurring_lines(
         .where(F.col("n") >= min_docs)
         .select("template")
     )
-    recurring = Stored(recurring, "recurring").df
+    recurring = scratch.store(recurring, "recurring")
     gone = (
         seen.join(small_or_shuffled(recurring, recurring.count(), BROADCAST_ROWS), "template")
         .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-        .agg(F.collect_set("line").alias("gone"))
+        .agg(F.collect_set("digest").alias("gone"))
     )
-    gone = Stored(gone, "gone").df
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), _trimmed(x)))
+    gone = store(gone, "gone")
+    scratch.drop()
+    none = F.array().cast("array<bigint>")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", none), F.xxhash64(_trimmed(x))))
     joined = rows.withColumn("_v", F.xxhash64("text")).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left"
     )
