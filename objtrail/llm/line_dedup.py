@@ -19,31 +19,29 @@ from pyspark.sql import functions as F
 
 from objtrail.llm.shared import Scratch, small_or_shuffled, store
 
-LEADING = 5
+LEADING = 3
 MIN_DOCS = 5
 MIN_FIXED = 0.5
 BROADCAST_ROWS = 1_000_000
 FIELD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """A trimmed line's tokens, cut at single spaces; a double space makes an empty token."""
-    return F.split(line, " ")
-
-
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+def _spaced(text: Column) -> Column:
+    """Text with one space for every run of spaces, tabs and carriage returns; trim gives a line's tokens."""
+    odd = F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r"))
+    return F.when(odd, F.regexp_replace(text, "[ \t\r]+", " ")).otherwise(text)
 
 
 def _generalised(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _leaf(line: Column, leading: int) -> Column:
-    """Digest of a trimmed line's path: token count and leading tokens, without cutting the rest."""
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    lead = F.transform(_tokens(F.substring_index(line, " ", leading)), _generalised)
-    return F.xxhash64(spaces, F.array_join(lead, "\x01"))
+def _leaf(spaced: Column, leading: int) -> Column:
+    """Digest of a spaced, trimmed line's path: token count and leading tokens, without cutting the rest."""
+    spaces = F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))
+    lead = F.substring_index(spaced, " ", leading)
+    field = F.regexp_replace(lead, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+    return F.xxhash64(spaces, F.when(lead.rlike("[0-9]"), field).otherwise(lead))
 
 
 def drop_recurring_lines(
@@ -56,8 +54,8 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without its recurring lines, per row.
 
-    Lines end at a line feed and are compared without spaces, tabs and carriage
-    returns around them; blank lines are never dropped.  A null text gives no
+    Lines end at a line feed; blank lines are never dropped.  Tokens are cut at runs
+    of spaces, tabs and carriage returns.  A null text gives no
     lines and an empty text, an empty one its one blank line.  Every row counts as
     a document of its own, so copies make their lines recur; run exact dedup
     first where that is not wanted.  Rows that repeat id and text get equal
@@ -65,23 +63,25 @@ def drop_recurring_lines(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    filled = F.filter(F.array_distinct(F.transform(lines, _trimmed)), lambda x: x != "")
+    filled = F.filter(F.array_distinct(lines), lambda x: x.rlike(r"[^ \t\r]"))
+    spaced = F.transform(F.split(_spaced(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x))
+    paths = F.transform(F.filter(F.array_distinct(spaced), lambda x: x != ""), lambda x: _leaf(x, leading))
     scratch = Scratch()
     # (1) leaves that recur, one row per document and leaf
-    leaves = rows.select(F.explode(F.array_distinct(F.transform(filled, lambda x: _leaf(x, leading)))).alias("leaf"))
+    leaves = rows.select(F.explode(F.array_distinct(paths)).alias("leaf"))
     hot = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     hot = scratch.store(hot, "leaves")
     hot_rows = hot.count()
     # (2) their lines, one row per document and distinct line; from here on a digest
     # stands for a line within its leaf, so texts do not travel with every token
     listed = rows.select("doc_id", F.xxhash64("text").alias("version"), F.explode(filled).alias("line"))
-    listed = listed.withColumns({"leaf": _leaf(F.col("line"), leading), "digest": F.xxhash64("line")})
+    listed = listed.withColumns({"leaf": _leaf(F.trim(_spaced(F.col("line"))), leading), "digest": F.xxhash64("line")})
     listed = scratch.store(listed.join(small_or_shuffled(hot, hot_rows, BROADCAST_ROWS), "leaf"), "lines")
     distinct = scratch.store(
         listed.groupBy("leaf", "digest").agg(F.count("*").alias("n_docs"), F.first("line").alias("line")), "distinct"
     )
     # (3) tokens of distinct lines, and which of them are fixed
-    tokens = _tokens(F.col("line"))
+    tokens = F.split(F.trim(_spaced(F.col("line"))), " ")
     placed = distinct.select("leaf", "digest", "n_docs", F.posexplode(tokens).alias("place", "token"))
     fixed = (
         placed.groupBy("leaf", "place", "token")
@@ -138,7 +138,7 @@ def drop_recurring_lines(
     gone = store(gone, "gone")
     scratch.drop()
     none = F.array().cast("array<bigint>")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", none), F.xxhash64(_trimmed(x))))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", none), F.xxhash64(x)))
     joined = rows.withColumn("_v", F.xxhash64("text")).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_v") == F.col("_version")), "left"
     )

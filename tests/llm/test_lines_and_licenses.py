@@ -23,6 +23,12 @@ def test_variable_words_are_generalised(docs):
     assert got[9].startswith("this is")
 
 
+def test_a_field_after_three_leading_tokens_is_generalised(docs):
+    rows = [(i, f"visit our shop today {w} for more good deals\nvisit  our\tshop in {w} for many fine things \r") for i, w in enumerate("abcdef")]
+    got = drop_recurring_lines(docs(rows)).collect()
+    assert all((r.text, r.n_lines, r.n_dropped) == ("", 2, 2) for r in got)
+
+
 def test_a_line_repeated_in_one_document_stays(docs):
     got = drop_recurring_lines(docs([(1, "\n".join(["same line again"] * 9))])).first()
     assert got.n_dropped == 0
