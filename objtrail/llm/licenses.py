@@ -1,15 +1,17 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each normalised and mapped to the identifier of a
-known licence sentence; the sequence of identifiers is matched against ordered
-rules.  Earlier rules are more specific, and the sentences they use are not used
-again.  Sentences that are not known may stand between those of a rule, up to
-``MAX_GAP`` of them.
+A text is cut into sentences at full stops and blank lines, and each normalised.
+Known licence sentences are looked for within a sentence, over its line breaks,
+semicolons and colons; one sentence may hold several.  The sequence of their
+identifiers is matched against ordered rules.  Earlier rules are more specific,
+and the sentences they use are not used again.  Sentences that are not known may
+stand between those of a rule, up to ``MAX_GAP`` of them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,62 +98,118 @@ RULES = (
     ("All-Rights-Reserved", ("all-rights",)),
 )
 _CUE = re.compile(r"licen[sc]|copyright|permission|redistribut|liab|rights reserved|public domain|free software|provided as is|\"as is\"|cc[ -](?:by|0)|cc0", re.I)
-_END = re.compile(r"\n[ \t]*\n|[.;:](?=\s|\Z)|\n")
+# a line without words is blank, so that comment marks do not hide it
+_END = re.compile(r"\n(?:[^\w\n]|_)*\n|[.;:](?=\s|\Z)|\n")
 _WORD = re.compile(r"[^\W_]+")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)")
 
 
-def _compile(pattern: str) -> re.Pattern[str]:
-    body = re.escape(pattern).replace(r"\*", "*")
-    body = body.replace(r"*\ ", "(?:.* )?").replace(r"\ *", "(?: .*)?")
-    return re.compile(body.replace("*", ".*"))
+def _chunks(pattern: str) -> tuple[list[str], bool, bool]:
+    """Literal word runs of a pattern, and whether words may stand before and after them."""
+    runs = [f" {c.strip()} " for c in pattern.split("*") if c.strip()]
+    return runs, pattern.startswith("*"), pattern.endswith("*")
 
 
-_KNOWN = tuple((name, _compile(p)) for name, p in SENTENCES)
+# most literal words first, so that a reference does not hide a sentence that holds it
+_KNOWN = tuple(
+    (name, *_chunks(p)) for name, p in sorted(SENTENCES, key=lambda x: -len(x[1].replace("*", "").split()))
+)
+
 
+class Words:
+    """A text's words in lower case, a line feed between sentences, and its segments.
 
-def sentences(text: str) -> list[tuple[str, int, int]]:
-    """(normalised sentence, start, end) of a text; line breaks inside prose join
-    only where the sentence cue words go on, so lines and full sentences both show."""
-    found, start = [], 0
-    ends = [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]
-    for stop, following in ends:
-        words = " ".join(_WORD.findall(text[start:stop])).lower()
-        if words:
-            found.append((words, start, stop))
-        start = following
-    return found
+    A segment is what stands between two line breaks or marks [.;:]; ``at`` and
+    ``till`` are its places in ``plain``, ``spans`` its places in the text.
+    """
 
+    __slots__ = ("at", "plain", "sentence", "spans", "till")
+
+    def __init__(self, text: str) -> None:
+        self.at, self.till, self.spans, self.sentence = [], [], [], []
+        pieces, size, number, start, fresh = [" "], 1, 0, 0, False
+        ends = [*((m.start(), m.end(), m.group()) for m in _END.finditer(text)), (len(text), len(text), "")]
+        for stop, following, mark in ends:
+            words = " ".join(_WORD.findall(text[start:stop])).lower()
+            if words:
+                if fresh:
+                    pieces.append("\n ")
+                    size, number, fresh = size + 2, number + 1, False
+                pieces.append(words + " ")
+                self.at.append(size)
+                self.till.append(size + len(words))
+                self.spans.append((start, stop))
+                self.sentence.append(number)
+                size += len(words) + 1
+            fresh |= bool(self.at) and (mark == "." or len(mark) > 1)
+            start = following
+        self.plain = "".join(pieces)
+
+
+def _places(plain: str, runs: list[str], before: bool, after: bool, starts: set[int], ends: set[int]) -> Iterator[list[tuple[int, int]]]:
+    """Places of a known sentence's word runs, each time within one sentence and as near as can be."""
+    at = 0
+    while (p := plain.find(runs[0], at)) >= 0:
+        at = p + 1
+        if not before and p + 1 not in starts:
+            continue
+        found = [(p + 1, p + len(runs[0]) - 1)]
+        limit = plain.find("\n", p) if len(runs) > 1 else 0
+        limit = len(plain) if limit < 0 else limit
+        for run in runs[1:]:
+            q = plain.find(run, found[-1][1], limit)
+            if q < 0:
+                break
+            found.append((q + 1, q + len(run) - 1))
+        if len(found) < len(runs):
+            at = limit
+            continue
+        while not after and len(runs) > 1 and found[-1][1] not in ends:
+            q = plain.find(runs[-1], found[-1][0], limit)
+            if q < 0:
+                break
+            found[-1] = (q + 1, q + len(runs[-1]) - 1)
+        if not after and found[-1][1] not in ends:
+            continue
+        if len(runs) > 1:
+            at = found[-1][1]
+            if before:
+                p = plain.rfind(runs[0], p, found[1][0])
+                found[0] = (p + 1, p + len(runs[0]) - 1)
+        yield found
 
-def identify(words: str) -> str | None:
-    """Identifier of a normalised sentence, or None."""
-    if not (_CUE.search(words) or "as is" in words or "liable" in words or "cc" in words):
-        return None
-    for name, pattern in _KNOWN:
-        if pattern.fullmatch(words):
-            return name
-    return None
+
+def known_sentences(text: str) -> list[tuple[str, int, int, int]]:
+    """(identifier, number of its sentence, start, end) of the known sentences, in page order.
+
+    One whose words belong to longer ones is left out; so is one joined from
+    several lines as soon as a word of it belongs to another.
+    """
+    words = Words(text)
+    starts, ends = set(words.at), set(words.till)
+    taken = bytearray(len(words.plain))
+    listed = []
+    for name, runs, before, after in _KNOWN:
+        for found in _places(words.plain, runs, before, after, starts, ends):
+            first = bisect_right(words.at, found[0][0]) - 1
+            last = bisect_right(words.at, found[-1][0]) - 1
+            last = max(last, bisect_right(words.at, found[-1][1] - 1) - 1)
+            if first < last:
+                if any(taken.find(1, a, b) >= 0 for a, b in found):
+                    continue
+            elif all(taken.find(0, a, b) < 0 for a, b in found):
+                continue
+            for a, b in found:
+                taken[a:b] = b"\x01" * (b - a)
+            listed.append((found[0][0], name, words.sentence[first], words.spans[first][0], words.spans[last][1]))
+    return [x[1:] for x in sorted(listed)]
 
 
 def scan(text: str) -> tuple[list[str], list[dict]]:
     """Sentence identifiers in order, and matches (license, start, end) in page order."""
     if not _CUE.search(text):
         return [], []
-    listed: list[tuple[str, int, int, int]] = []
-    parts = sentences(text)
-    for k, (words, start, end) in enumerate(parts):
-        name = identify(words)
-        if name is None and k + 1 < len(parts):
-            # a known sentence may be wrapped over two or more lines
-            joined, last = words, k
-            while name is None and last + 1 < len(parts) and last - k < 6 and _CUE.search(joined):
-                last += 1
-                joined += " " + parts[last][0]
-                name = _whole(joined)
-            if name is not None:
-                end = parts[last][2]
-        if name is not None:
-            listed.append((name, k, start, end))
+    listed = known_sentences(text)
     used = [False] * len(listed)
     matches = []
     for license_name, rule in RULES:
@@ -160,21 +218,14 @@ def scan(text: str) -> tuple[list[str], list[dict]]:
             if chain:
                 for c in chain:
                     used[c] = True
-                matches.append({"license": license_name, "start": listed[chain[0]][2], "end": listed[chain[-1]][3]})
+                end = max(listed[c][3] for c in chain)
+                matches.append({"license": license_name, "start": listed[chain[0]][2], "end": end})
     for m in _SPDX.finditer(text):
         matches.append({"license": m.group(1), "start": m.start(), "end": m.end()})
     matches.sort(key=lambda m: (m["start"], m["end"], m["license"]))
     return [x[0] for x in listed], matches
 
 
-def _whole(words: str) -> str | None:
-    """Like ``identify``, for patterns that begin with known words only."""
-    for (name, pattern), (_, plain) in zip(_KNOWN, SENTENCES, strict=True):
-        if not plain.startswith("*") and pattern.fullmatch(words):
-            return name
-    return None
-
-
 def _match(
     listed: list[tuple[str, int, int, int]], used: list[bool], first: int, rule: tuple[str, ...]
 ) -> list[int] | None:

@@ -65,6 +65,73 @@ def test_spans_cover_their_sentences():
     assert text[match["start"] : match["end"]].strip() == "Released under the MIT License"
 
 
+MIT_FULL = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD_FULL = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_FULL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE_FULL = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_notices():
+    assert names("Released under the MIT\nLicense.") == ["MIT"]
+    assert names("Licensed under the Apache\nLicense, Version 2.0") == ["Apache-2.0"]
+    ids, (title, whole) = scan(MIT_FULL)
+    assert ids == ["mit-ref", "mit-grant", "mit-notice", "as-is", "no-liability"]
+    assert (title["license"], whole["license"]) == ("MIT", "MIT")
+    assert MIT_FULL[whole["start"] : whole["end"]].startswith("Permission") and whole["end"] > MIT_FULL.index("LIABLE")
+    assert scan(BSD_FULL)[0] == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]
+    assert names(BSD_FULL) == ["BSD-3-Clause"]
+    assert names(GPL_FULL) == ["GPL-3.0-or-later", "GPL"]
+    assert names(GPL_FULL.replace("software:", "software;").replace("version 3", "version 2"))[0] == "GPL-2.0-or-later"
+    assert names(APACHE_FULL) == ["Apache-2.0"] and scan(APACHE_FULL)[0] == ["apache2-ref", "apache2-comply"]
+    commented = "\n".join(f" * {x}" for x in MIT_FULL.split("\n"))
+    assert scan(commented)[0] == scan(MIT_FULL)[0] and names(commented) == ["MIT", "MIT"]
+    assert names("Works on BSD and Linux\nMIT License") == ["MIT"]
+
+
 def test_frames(docs):
     rows = [(1, None), (2, ""), (3, "MIT License\n" + "word " * 20_000), (3, "x"), (None, "All rights reserved")]
     got = license_scan(docs(rows)).collect()
