@@ -97,7 +97,8 @@ RULES = (
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("all-rights",)),
 )
-_CUE = re.compile(r"licen[sc]|copyright|permission|redistribut|liab|rights reserved|public domain|free software|provided as is|\"as is\"|cc[ -](?:by|0)|cc0", re.I)
+# the longest word of every known sentence: a text without any of them holds none
+_CUES = tuple({max(p.replace("*", "").split(), key=len) for _, p in SENTENCES})
 # a line without words is blank, so that comment marks do not hide it
 _END = re.compile(r"\n(?:[^\w\n]|_)*\n|[.;:](?=\s|\Z)|\n")
 _WORD = re.compile(r"[^\W_]+")
@@ -207,7 +208,8 @@ def known_sentences(text: str) -> list[tuple[str, int, int, int]]:
 
 def scan(text: str) -> tuple[list[str], list[dict]]:
     """Sentence identifiers in order, and matches (license, start, end) in page order."""
-    if not _CUE.search(text):
+    lower = text.lower()
+    if not any(cue in lower for cue in _CUES):
         return [], []
     listed = known_sentences(text)
     used = [False] * len(listed)

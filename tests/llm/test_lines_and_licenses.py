@@ -1,4 +1,4 @@
-from objtrail.llm.licenses import license_scan, scan
+from objtrail.llm.licenses import SENTENCES, license_scan, scan
 from objtrail.llm.line_dedup import drop_recurring_lines
 
 
@@ -132,6 +132,14 @@ def test_wrapped_notices():
     assert names("Works on BSD and Linux\nMIT License") == ["MIT"]
 
 
+def test_every_known_sentence_passes_the_filter():
+    for name, pattern in SENTENCES:
+        bare = " ".join(pattern.replace("*", "").split())
+        assert scan(bare)[0] == [name], pattern
+    assert names("This work is available under Creative Commons Attribution-ShareAlike 4.0 International") == ["CC-BY-SA"]
+    assert names("Pictures: Creative\nCommons Attribution 4.0. Text: see license.") == ["CC-BY"]
+
+
 def test_frames(docs):
     rows = [(1, None), (2, ""), (3, "MIT License\n" + "word " * 20_000), (3, "x"), (None, "All rights reserved")]
     got = license_scan(docs(rows)).collect()
