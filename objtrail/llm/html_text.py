@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template.  Two pages of every host serve as its
-references; each page's DOM tree is aligned with theirs by simple tree matching.
-Blocks whose aligned counterparts hold the same text in the references are
-template, varying ones are content slots.  What HTML itself says about a region
+references; each page's DOM tree is aligned with theirs by simple tree matching,
+which gives its blocks their places.  A text that stands at one place on a share of
+all different pages of the host is template, varying ones are content slots; where
+neither reference has a region, its path of labels is the place.  What HTML itself says about a region
 (navigation, forms, asides, adverts, comments) is left out before that, and an
 ``article`` or ``main`` element, where there is one, bounds the content.
 
@@ -15,16 +16,23 @@ from __future__ import annotations
 
 import html
 import re
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.shared import Stored
+from objtrail.llm.shared import Stored, small_or_shuffled
 
 BROADCAST_BYTES = 64 << 20
+BROADCAST_HOSTS = 500_000
 CACHED_HOSTS = 200
+#: share of a host's different pages, and number of them, on which a template block stands
+SHARE = 0.2
+MIN_PAGES = 3
+#: two trees both deeper than this are not aligned; their blocks stand at their paths of labels
+DEEP = 300
 #: share of a reference's blocks that a page may have before it counts as a copy
 COPY_SHARE = 0.5
 
@@ -274,18 +282,70 @@ def constant_blocks(tree: Region, blocks: list[Block], reference: tuple[Region,
     return constant
 
 
-def extract(page: str, references: list[tuple[Region, list[Block]]]) -> list[str]:
-    """The article's blocks of one page, given its host's outlined references."""
+def _digest(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _regions(tree: Region) -> list[tuple[Region, int, int]]:
+    """All regions of a folded tree by depth, each with the digest of its path of labels and its depth."""
+    found = [(tree, 0, 0)]
+    for region, path, depth in found:
+        found.extend((x, _digest(str(path), x.label), depth + 1) for x in region.regions)
+    return found
+
+
+def places(tree: Region, references: list[tuple[Region, list[Block]]]) -> dict[int, set[int]]:
+    """Digests of place and text by block identity: a place is the aligned region
+    of a reference, or the path of labels where no reference has one."""
+    aligned: dict[int, list[str]] = {}
+    mine = _regions(tree)
+    for k, (ref_tree, _) in enumerate(references):
+        theirs = _regions(ref_tree)
+        if min(mine[-1][2], theirs[-1][2]) > DEEP:
+            continue
+        numbers = {id(x): i for i, (x, _, _) in enumerate(theirs)}
+        pairs: list[tuple[Region, Region]] = []
+        simple_tree_matching(tree, ref_tree, pairs)
+        for a, b in pairs:
+            aligned.setdefault(id(a), []).append(f"{k} {numbers[id(b)]}")
+    return {
+        id(b): {_digest(at, b.text) for at in aligned.get(id(region)) or [f"/{path}"]}
+        for region, path, _ in mine
+        for b in region.blocks
+    }
+
+
+def page_places(page: str, references: list[tuple[Region, list[Block]]]) -> tuple[int, list[int]]:
+    """Digest of a page's blocks, equal for copies, and its digests of place and text."""
+    tree, blocks = outline(parse(page))
+    at = places(tree, references)
+    shown = [b for b in blocks if not b.noise]
+    return _digest(*(b.text for b in shown)), sorted({d for b in shown for d in at[id(b)]})
+
+
+def extract(
+    page: str, references: list[tuple[Region, list[Block]]], recurring: frozenset[int] | None = None
+) -> list[str]:
+    """The article's blocks of one page, given its host's outlined references.
+
+    ``recurring`` holds the digests of place and text that recur on the host;
+    without it, the references alone are compared.
+    """
     tree, blocks = outline(parse(page))
     bounded = any(b.inside and not b.noise for b in blocks)
-    votes = [c for r in references if (c := constant_blocks(tree, blocks, r)) is not None]
-    template: set[int] = set.intersection(*votes) if votes else set()
+    if recurring is None:
+        votes = [c for r in references if (c := constant_blocks(tree, blocks, r)) is not None]
+        template: set[int] = set.intersection(*votes) if votes else set()
+        sure = len(votes) > 1
+    else:
+        template = {b for b, at in places(tree, references).items() if not at.isdisjoint(recurring)} if recurring else set()
+        sure = True
     kept = []
     for block in blocks:
         if block.noise or (bounded and not block.inside):
             continue
         # pages of a host may share a sentence: inside an article that is content
-        if id(block) in template and not (bounded and (block.prose or len(votes) < 2)):
+        if id(block) in template and not (bounded and (block.prose or not sure)):
             continue
         if not bounded and block.linked:
             continue
@@ -293,18 +353,51 @@ def extract(page: str, references: list[tuple[Region, list[Block]]]) -> list[str
     return kept
 
 
+class References:
+    """A host's outlined references, for some hosts at a time."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[tuple[Region, list[Block]]]] = {}
+
+    def of(self, host: str, *pages: str | None) -> list[tuple[Region, list[Block]]]:
+        if host not in self.known:
+            if len(self.known) >= CACHED_HOSTS:
+                self.known.clear()
+            self.known[host] = [outline(parse(p)) for p in pages if p]
+        return self.known[host]
+
+
+def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page digest and place digest, one row a place; a null place for a page without blocks."""
+    known = References()
+    for batch in batches:
+        hosts, digests, found = [], [], []
+        for name, body, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            digest, at = page_places(body, known.of(name, a, b))
+            for place in at or [None]:
+                hosts.append(name)
+                digests.append(digest)
+                found.append(place)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(found, pa.int64())],
+            names=["host", "page", "place"],
+        )
+
+
 def page_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """page_id, url, blocks (array<string>) and text of every page.
 
     Null or empty html gives no blocks and an empty text; a null or odd url has
-    the empty host, whose pages share references like any other's.  Copies of a
-    reference are not compared with it, so an article repeated on its host stays
-    whole.  Repeated rows give repeated results, an empty table an empty one;
-    other columns are ignored.
-
-    Only two pages a host travel: they are broadcast when their counted bytes are
+    the empty host, whose pages share references like any other's.  A block's
+    text and place are counted over all different pages of the host; copies of a
+    page count as one, so an article repeated on its host stays whole.  Repeated
+    rows give repeated results, an empty table an empty one; other columns are
+    ignored.
+
+    Only digests, two pages a host and its recurring digests travel, the latter no
+    more than ``1 / SHARE`` pages hold: they are broadcast when their counted bytes are
     within ``BROADCAST_BYTES``, else joined by a shuffle that the adaptive planner
     splits at a host with very many pages.
     """
@@ -320,28 +413,51 @@ def page_text(
     chosen = chosen.select(
         "host", F.col("a.html").alias("ref_a"), F.when(F.col("a") != F.col("b"), F.col("b.html")).alias("ref_b")
     )
-    references = Stored(chosen, "wrappers").df
-    weight = references.agg(
+    chosen = Stored(chosen, "wrappers").df
+    weight = chosen.agg(
         F.sum(F.length("ref_a") + F.coalesce(F.length("ref_b"), F.lit(0))).alias("n")
     ).first().n
     if (weight or 0) * 4 <= BROADCAST_BYTES:
-        references = F.broadcast(references)
-    joined = rows.join(references, "host", "left")
+        chosen = F.broadcast(chosen)
+    # (1) on how many different pages each text stands at its place
+    placed = rows.where(F.col("html") != "").join(chosen, "host").select("host", "html", "ref_a", "ref_b")
+    placed = Stored(
+        placed.mapInArrow(_count_places, "host string, page long, place long").distinct(), "places"
+    ).df
+    pages_of = placed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    pages_of = Stored(pages_of, "pages").df
+    pages_of = small_or_shuffled(pages_of, pages_of.count(), BROADCAST_HOSTS)
+    enough = F.greatest(F.lit(2), F.least(F.lit(MIN_PAGES), "n_pages"), SHARE * F.col("n_pages"))
+    recurring = (
+        placed.where(F.col("place").isNotNull())
+        .groupBy("host", "place")
+        .agg(F.count("*").alias("n"))
+        .join(pages_of, "host")
+        .where(F.col("n") >= enough)
+        .groupBy("host")
+        .agg(F.collect_list("place").alias("recurring"))
+    )
+    # (2) each page without its recurring blocks
+    recurring = Stored(recurring, "recurring").df
+    held = recurring.agg(F.sum(F.size("recurring")).alias("n")).first().n
+    joined = rows.join(chosen, "host", "left")
+    joined = joined.join(F.broadcast(recurring) if (held or 0) * 8 <= BROADCAST_BYTES else recurring, "host", "left")
     schema = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.string())), ("text", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known = References()
+        sets: dict[str, frozenset[int]] = {}
         for batch in batches:
             ids, urls, bodies, hosts, first, second = (batch.column(i).to_pylist() for i in range(6))
             blocks = []
-            for body, name, a, b in zip(bodies, hosts, first, second, strict=True):
-                if name not in known:
-                    if len(known) >= CACHED_HOSTS:
-                        known.clear()
-                    known[name] = [outline(parse(r)) for r in (a, b) if r]
-                blocks.append(extract(body, known[name]) if body else [])
+            for k, (body, name, a, b) in enumerate(zip(bodies, hosts, first, second, strict=True)):
+                if name not in sets:
+                    if len(sets) >= CACHED_HOSTS:
+                        sets.clear()
+                    sets[name] = frozenset(batch.column(6)[k].as_py() or ())
+                blocks.append(extract(body, known.of(name, a, b), sets[name]) if body else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, type=pa.int64()),
@@ -352,6 +468,6 @@ def page_text(
                 schema=schema,
             )
 
-    return joined.select("page_id", "url", "html", "host", "ref_a", "ref_b").mapInArrow(
+    return joined.select("page_id", "url", "html", "host", "ref_a", "ref_b", "recurring").mapInArrow(
         run, "page_id long, url string, blocks array<string>, text string"
     )

@@ -55,3 +55,24 @@ def test_frames(spark):
     got = sorted((r.page_id, r.text) for r in page_text(spark.createDataFrame(rows, schema)).collect())
     assert got == [(i, f"T{i} body {i}") for i in range(5)] + [(10, "x"), (11, ""), (12, ""), (12, "")]
     assert page_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def pages_of(spark, bodies):
+    rows = [(i, f"http://h.example/{i}", b) for i, b in enumerate(bodies)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in page_text(frame).collect()}
+
+
+def test_blocks_of_most_pages_are_template(spark):
+    bar = "<div id=x><p>Today only</p></div>"
+    make = lambda i: f"<body>{bar if i % 3 else ''}<div class=s{i % 2}><p>Section {i % 2}</p></div><div><h1>T{i}</h1><p>body {i}</p></div></body>"
+    assert pages_of(spark, [make(i) for i in range(24)]) == {i: f"T{i} body {i}" for i in range(24)}
+
+
+def test_references_lose_what_other_pages_lose(spark):
+    make = lambda i: f"<body><article><h1>T{i}</h1><div class=box>Read on here</div></article></body>"
+    assert pages_of(spark, [make(i) for i in range(12)]) == {i: f"T{i}" for i in range(12)}
+
+
+def test_deep_pages_with_references(spark):
+    assert pages_of(spark, ["<div>" * 3000 + f"deep {i}" for i in range(3)]) == {i: f"deep {i}" for i in range(3)}
