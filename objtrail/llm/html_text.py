@@ -31,10 +31,11 @@ CACHED_HOSTS = 200
 #: share of a host's different pages, and number of them, on which a template block stands
 SHARE = 0.2
 MIN_PAGES = 3
+#: the same for sentences inside an article, which pages of a host may share
+PROSE_SHARE = 0.5
+PROSE_PAGES = 10
 #: two trees both deeper than this are not aligned; their blocks stand at their paths of labels
 DEEP = 300
-#: share of a reference's blocks that a page may have before it counts as a copy
-COPY_SHARE = 0.5
 
 # fixed values: element names by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,7 +271,7 @@ def constant_blocks(tree: Region, blocks: list[Block], reference: tuple[Region,
     ref_tree, ref_blocks = reference
     mine = {b.text for b in blocks if not b.noise}
     theirs = {b.text for b in ref_blocks if not b.noise}
-    if mine and len(mine & theirs) > COPY_SHARE * len(mine):
+    if mine <= theirs or mine >= theirs:  # no slot varies
         return None
     pairs: list[tuple[Region, Region]] = []
     simple_tree_matching(tree, ref_tree, pairs)
@@ -324,27 +325,35 @@ def page_places(page: str, references: list[tuple[Region, list[Block]]]) -> tupl
 
 
 def extract(
-    page: str, references: list[tuple[Region, list[Block]]], recurring: frozenset[int] | None = None
+    page: str,
+    references: list[tuple[Region, list[Block]]],
+    recurring: frozenset[int] | None = None,
+    common: frozenset[int] = frozenset(),
 ) -> list[str]:
     """The article's blocks of one page, given its host's outlined references.
 
-    ``recurring`` holds the digests of place and text that recur on the host;
-    without it, the references alone are compared.
+    ``recurring`` holds the digests of place and text that recur on the host, and
+    ``common`` those on so many pages that they are not even an article's sentences;
+    without them, the references alone are compared.
     """
     tree, blocks = outline(parse(page))
     bounded = any(b.inside and not b.noise for b in blocks)
     if recurring is None:
         votes = [c for r in references if (c := constant_blocks(tree, blocks, r)) is not None]
         template: set[int] = set.intersection(*votes) if votes else set()
-        sure = len(votes) > 1
+        everywhere, sure = set(), len(votes) > 1
     else:
-        template = {b for b, at in places(tree, references).items() if not at.isdisjoint(recurring)} if recurring else set()
+        at = places(tree, references) if recurring else {}
+        template = {b for b, x in at.items() if not x.isdisjoint(recurring)}
+        everywhere = {b for b, x in at.items() if not x.isdisjoint(common)}
         sure = True
     kept = []
     for block in blocks:
         if block.noise or (bounded and not block.inside):
             continue
-        # pages of a host may share a sentence: inside an article that is content
+        if id(block) in everywhere:
+            continue
+        # a few pages of a host may share a sentence: inside an article that is content
         if id(block) in template and not (bounded and (block.prose or not sure)):
             continue
         if not bounded and block.linked:
@@ -428,6 +437,7 @@ def page_text(
     pages_of = Stored(pages_of, "pages").df
     pages_of = small_or_shuffled(pages_of, pages_of.count(), BROADCAST_HOSTS)
     enough = F.greatest(F.lit(2), F.least(F.lit(MIN_PAGES), "n_pages"), SHARE * F.col("n_pages"))
+    many = F.greatest(F.lit(PROSE_PAGES), PROSE_SHARE * F.col("n_pages"))
     recurring = (
         placed.where(F.col("place").isNotNull())
         .groupBy("host", "place")
@@ -435,11 +445,14 @@ def page_text(
         .join(pages_of, "host")
         .where(F.col("n") >= enough)
         .groupBy("host")
-        .agg(F.collect_list("place").alias("recurring"))
+        .agg(
+            F.collect_list("place").alias("recurring"),
+            F.collect_list(F.when(F.col("n") >= many, F.col("place"))).alias("common"),
+        )
     )
     # (2) each page without its recurring blocks
     recurring = Stored(recurring, "recurring").df
-    held = recurring.agg(F.sum(F.size("recurring")).alias("n")).first().n
+    held = recurring.agg(F.sum(F.size("recurring") + F.size("common")).alias("n")).first().n
     joined = rows.join(chosen, "host", "left")
     joined = joined.join(F.broadcast(recurring) if (held or 0) * 8 <= BROADCAST_BYTES else recurring, "host", "left")
     schema = pa.schema(
@@ -448,7 +461,7 @@ def page_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = References()
-        sets: dict[str, frozenset[int]] = {}
+        sets: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
         for batch in batches:
             ids, urls, bodies, hosts, first, second = (batch.column(i).to_pylist() for i in range(6))
             blocks = []
@@ -456,8 +469,8 @@ def page_text(
                 if name not in sets:
                     if len(sets) >= CACHED_HOSTS:
                         sets.clear()
-                    sets[name] = frozenset(batch.column(6)[k].as_py() or ())
-                blocks.append(extract(body, known.of(name, a, b), sets[name]) if body else [])
+                    sets[name] = tuple(frozenset(batch.column(c)[k].as_py() or ()) for c in (6, 7))
+                blocks.append(extract(body, known.of(name, a, b), *sets[name]) if body else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, type=pa.int64()),
@@ -468,6 +481,6 @@ def page_text(
                 schema=schema,
             )
 
-    return joined.select("page_id", "url", "html", "host", "ref_a", "ref_b", "recurring").mapInArrow(
+    return joined.select("page_id", "url", "html", "host", "ref_a", "ref_b", "recurring", "common").mapInArrow(
         run, "page_id long, url string, blocks array<string>, text string"
     )

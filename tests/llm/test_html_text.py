@@ -76,3 +76,13 @@ def test_references_lose_what_other_pages_lose(spark):
 
 def test_deep_pages_with_references(spark):
     assert pages_of(spark, ["<div>" * 3000 + f"deep {i}" for i in range(3)]) == {i: f"deep {i}" for i in range(3)}
+
+
+def test_short_articles_are_no_copies():
+    make = lambda i: "<body>" + "".join(f"<div id=b{k}><p>Boiler {k}</p></div>" for k in range(4)) + f"<div><h1>T{i}</h1><p>a {i}</p><p>b {i}</p></div></body>"
+    assert text(make(0), make(1), make(2)) == "T0 | a 0 | b 0"
+
+
+def test_prose_on_most_pages_of_a_host_goes(spark):
+    make = lambda i: f"<body><article><h1>T{i}</h1><p>Subscribe to us</p><p>body {i}</p><p>{'few' if i < 4 else i}</p></article></body>"
+    assert pages_of(spark, [make(i) for i in range(14)]) == {i: f"T{i} body {i} {'few' if i < 4 else i}" for i in range(14)}
