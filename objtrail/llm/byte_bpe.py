@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack as pack_ids
@@ -21,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: entries of a worker's cache, about 0.2 KB each
+#: entries of a worker's cache; none has a key over ``CACHED_CHARS``
 CACHE_LIMIT = 600_000
+CACHED_CHARS = 48
 _GAMMA = 2
 _ALL = 2**64 - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -90,27 +92,32 @@ class PerfectHash:
 
 
 class _Learnt(dict):
-    """A dict that asks ``learn`` for a missing key and forgets all when full."""
+    """A dict that asks ``learn`` for a missing key; it forgets all when full and keeps no long keys."""
 
     def __init__(self, learn: Callable[[str], bytes]) -> None:
         super().__init__()
         self.learn = learn
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_LIMIT:
-            self.clear()
-        value = self[key] = self.learn(key)
+        value = self.learn(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHE_LIMIT:
+                self.clear()
+            self[key] = value
         return value
 
 
 class ByteCoder:
     """Encoder and decoder of one vocabulary; ids are cached by chunk of text.
 
-    A single space between two other than white-space characters always begins a
-    pre-token, so texts without runs of white space are cut there for caching;
-    any other text is matched as a whole.
+    A single space between two characters other than white space always begins a
+    pre-token, so texts are cut there, and only there, for caching.
     """
 
+    #: white space next to a space, or at an end of the text; \s here knows more than the pattern's, which is safe
+    _BESIDE = re.compile(r" \s|\s | \Z")
+    _CUT = re.compile(r"(?<=\S)(?= \S)")
+
     def __init__(self, table: list[bytes], pattern: str, perfect: PerfectHash | None = None) -> None:
         self.table = table
         self.ranks = {t: i for i, t in enumerate(table)}
@@ -126,11 +133,11 @@ class ByteCoder:
         self.known = _Learnt(self._chunk)
 
     def encode(self, text: str) -> np.ndarray:
-        if "  " in text or "\0" in text or text.endswith(" "):
-            parts = map(self.known.__getitem__, self.pattern.findall(text))
+        if "\0" in text or self._BESIDE.search(text):
+            chunks = self._CUT.split(text)
         else:
-            parts = map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0"))
-        return np.frombuffer(b"".join(parts), dtype="<i4")
+            chunks = text.replace(" ", "\0 ").split("\0")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))

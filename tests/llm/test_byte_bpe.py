@@ -1,4 +1,5 @@
 import base64
+import itertools
 import random
 
 import pytest
@@ -34,6 +35,29 @@ def test_encodes_as_the_library(theirs, monkeypatch):
         assert coder.decode(ids).decode() == text
 
 
+def test_mixed_white_space(theirs):
+    coder = byte_bpe.ByteCoder(byte_bpe.read_ranks(VOCABULARY), public.PATTERN)
+    for n in range(6):
+        for chars in itertools.product("x \n\u00a0\u3000\x85\x1c", repeat=n):
+            text = "".join(chars)
+            assert coder.encode(text).tolist() == theirs.encode_ordinary(text), repr(text)
+
+
+def test_every_character_as_the_library(theirs):
+    coder = byte_bpe.ByteCoder(byte_bpe.read_ranks(VOCABULARY), public.PATTERN)
+    for cp in range(1, 0x20000):
+        if not 0xD800 <= cp < 0xE000:
+            text = f"a{chr(cp)}b1 {chr(cp)}{chr(cp)}' é{chr(cp)} x"
+            assert coder.encode(text).tolist() == theirs.encode_ordinary(text), hex(cp)
+
+
+def test_long_chunks_are_not_cached(theirs):
+    coder = byte_bpe.ByteCoder(byte_bpe.read_ranks(VOCABULARY), public.PATTERN)
+    text = "short ones " + "ab" * 5000 + " " + "中文" * 100 + "." * 99
+    assert coder.encode(text).tolist() == theirs.encode_ordinary(text)
+    assert max(map(len, coder.known)) <= byte_bpe.CACHED_CHARS
+
+
 def test_frames(docs, theirs):
     rows = [(1, None), (2, ""), (3, "hello  world"), (3, "hello  world"), (None, "x"), (4, "ab " * 3000)]
     coded = byte_bpe.encode(docs(rows), VOCABULARY, public.PATTERN, decode_too=True)
