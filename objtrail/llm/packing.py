@@ -6,9 +6,10 @@ is the tightest that fits; a segment tree indexed by remaining capacity finds it
 in O(log window).  Only lengths decide the placement, so token ids never move:
 they are cut where they are made, and short rows go to the packers.
 
-Pieces are dealt by a hash of their document to shards of about
-``SHARD_PIECES`` pieces, each packed on its own; a shard leaves at most one
-poorly filled window, and its memory is bounded at every input size.
+Pieces are dealt by a hash of their row, and equal rows by a hash of their number
+among them, to shards of about ``SHARD_PIECES`` pieces, each packed on its own; a
+shard leaves at most one poorly filled window, and its memory is bounded at every
+input size, also where ids are missing or repeated.
 """
 
 from __future__ import annotations
@@ -25,26 +26,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.shared import Stored
+from objtrail.llm.shared import store
 
 WINDOW = 2048
 SHARD_PIECES = 4096
-#: entries of each of a worker's two caches, about 0.2 KB each
-CACHE_LIMIT = 700_000
+#: entries of each of a worker's two caches; none has a key over ``CACHED_CHARS``
+CACHE_LIMIT = 400_000
+CACHED_CHARS = 48
 _LIMIT_BITS = 24
 
 
 class _Learnt(dict):
-    """A dict that asks ``learn`` for a missing key and forgets all when full."""
+    """A dict that asks ``learn`` for a missing key; it forgets all when full and keeps no long keys."""
 
     def __init__(self, learn: Callable[[str], bytes]) -> None:
         super().__init__()
         self.learn = learn
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_LIMIT:
-            self.clear()
-        value = self[key] = self.learn(key)
+        value = self.learn(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= CACHE_LIMIT:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -53,18 +57,30 @@ class WordPieces:
 
     No match of this kind of pre-tokenizer spans white space, so a text is the
     concatenation of its chunks.  A chunk not met before is cut into normalised
-    words, and a word not met before is encoded by the tokenizer itself.
+    words, and a word not met before is encoded by the tokenizer itself.  Only
+    scripts whose characters all Unicode versions treat alike are cut here; a
+    chunk with any other character goes to the tokenizer whole.  Literal added
+    tokens in a text are ids of their own, as the library has it by default.
     """
 
     _SPACE = regex.compile(r"\p{White_Space}+")
     _ODD = regex.compile("[\x1c-\x1f]")
     _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: letters and marks of Latin, Greek, Cyrillic, common punctuation, kana, CJK ideographs and Hangul
+    _PLAIN = regex.compile(
+        "[\x00-\u021f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u3001-\u3003\u3008-\u3011"
+        "\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+    )
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
+        self.whole = Tokenizer.from_file(path)
+        added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.added = {content: pack_ids("<I", number) for content, number in added.items()}
+        self.literals = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
         # words come normalised and cut: only the byte mapping and the merges are left
         steps = whole["pre_tokenizer"]["pretokenizers"]
         whole |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": steps[-1], "post_processor": None}
@@ -74,11 +90,21 @@ class WordPieces:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
+        if any(map(text.__contains__, self.added)):
+            parts = self.literals.split(text)
+            return b"".join([self.added[p] if k % 2 else self._plain(p) for k, p in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         split = self._SPACE.split(text) if self._ODD.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, split))
 
     def _word(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self._ids(self.tokenizer, word)
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> bytes:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
         return pack_ids("<%dI" % len(ids), *ids)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -87,9 +113,11 @@ class WordPieces:
             chunk = chunk.lower()
             if chunk.isalpha():
                 return words[chunk]
-        else:
+        elif self._PLAIN.fullmatch(chunk):
             # character by character, as the tokenizer does: no final sigma
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        else:
+            return self._ids(self.whole, chunk)
         return b"".join([words[w] for w in self._WORD.findall(chunk)])
 
 
@@ -203,16 +231,25 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     Adds ``sequence_id`` (unique over all shards), ``offset`` (gapless from 0 in
     each sequence) and ``padded_length`` (``window``, or the sequence's own
     length where that is a power of two).  The result depends on the rows alone,
-    not on how they were partitioned: shards are a hash of (doc_id, start) and a
-    shard is packed in the order of length, doc_id and start.  Equal rows are
-    placed one after the other.  An empty table gives an empty result.
+    not on how they were partitioned: a shard is packed in the order of length,
+    doc_id, start and a hash of the row, and which of equal rows comes first does
+    not show.  An empty table gives an empty result.
     """
-    table = Stored(pieces, "pieces").df
+    table = store(pieces, "pieces")
     shards = max(1, -(-table.count() // shard_pieces))
-    dealt = table.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("long"))
+    # equal rows are counted and dealt by their number, so that no shard gets them all
+    dealt = (
+        table.groupBy(*table.columns)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_row", F.xxhash64(*table.columns))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+        .withColumn("_shard", F.pmod(F.xxhash64("_row", "_copy"), F.lit(shards)).cast("long"))
+        .drop("_n", "_copy")
+    )
 
     def place(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("_row", "ascending")]
+        shard = shard.sort_by(order)
         number = shard.column("_shard")[0].as_py()
         lengths = shard.column("length").to_pylist()
         bins, offsets = best_fit_decreasing(lengths, window)
@@ -220,7 +257,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
         filled = np.bincount(bin_array, weights=lengths).astype(np.int64)[bin_array]
         exact = (filled & (filled - 1)) == 0
         return (
-            shard.drop_columns(["_shard"])
+            shard.drop_columns(["_row", "_shard"])
             .append_column("sequence_id", pa.array((number << _LIMIT_BITS) + bin_array))
             .append_column("offset", pa.array(offsets, type=pa.int64()))
             .append_column("padded_length", pa.array(np.where(exact, filled, window)))

@@ -16,9 +16,7 @@ VOCABULARY = public.path("word_bpe_49k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def check_packed(rows, window):
@@ -103,6 +101,33 @@ def test_caches_do_not_change_ids(tokenizer, monkeypatch):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_as_the_library(tokenizer):
+    coder = packing.WordPieces(VOCABULARY)
+    for cp in range(1, 0x20000):
+        if not 0xD800 <= cp < 0xE000:
+            c = chr(cp)
+            text = f"a{c}b1 {c}{c}' é{c}"
+            assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(cp)
+
+
+def test_literal_added_tokens_as_the_library(tokenizer):
+    coder = packing.WordPieces(VOCABULARY)
+    for text in ("hi <|endoftext|> there", "<|startoftext|>a<|endoftext|>", "<|endof text|>", "É<|endoftext|>\u0301x", "<|ENDOFTEXT|>"):
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_missing_ids_do_not_share_a_shard(docs):
+    rows = [(None, "word " * (i % 7)) for i in range(400)]
+    a, b = (
+        sorted(map(str, packing.pack(packing.token_pieces(docs(rows).repartition(n), VOCABULARY, window=64, digest=zlib.crc32), window=64, shard_pieces=50).collect()))
+        for n in (2, 5)
+    )
+    assert a == b and len(a) == 400
+    got = packing.pack(packing.token_pieces(docs(rows), VOCABULARY, window=64, digest=zlib.crc32), window=64, shard_pieces=50).collect()
+    check_packed(got, 64)
+    assert max(sum(r.sequence_id >> 24 == s for r in got) for s in range(8)) < 100
+
+
 def test_little_padding():
     rng = random.Random(5)
     lengths = sorted((min(2047, int(rng.lognormvariate(5.5, 1))) or 1 for _ in range(4000)), reverse=True)
