@@ -14,7 +14,7 @@ their ids.  Scoring is a narrow map over all rows and whole texts.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -64,16 +64,17 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Blank lines are left out; a text without any other counts as one empty line.
     """
-    rows: list[list[float]] = []
-    counts, sizes = [], []
+    lines: list[str] = []
+    counts = []
     for text in texts:
-        lines = [x for x in text.split("\n") if x.strip()] or [""]
-        counts.append(len(lines))
-        for line in lines:
-            rows.append(line_numbers(line))
-            sizes.append(len(line) or 1)
+        found = [x for x in text.split("\n") if x.strip()] or [""]
+        counts.append(len(found))
+        lines += found
     count = np.array(counts, dtype=np.int64)
-    own = np.array(rows, dtype=np.float64).reshape(-1, OWN)
+    sizes = np.fromiter((len(x) or 1 for x in lines), dtype=np.float64, count=len(lines))
+    own = np.empty((len(lines), OWN))
+    for k, line in enumerate(lines):
+        own[k] = line_numbers(line)
     starts = np.cumsum(count) - count
     x = np.zeros((len(own), WIDTH))
     if len(own):
@@ -85,7 +86,7 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x[:, -3] = 1
         x[starts, -2] = 1
         x[starts + count - 1, -1] = 1
-    return x, count, np.array(sizes, dtype=np.float64)
+    return x, count, sizes
 
 
 def forward_backward(
@@ -183,21 +184,35 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def quality_scores(
+def _bounded(texts: list[str], rows: int, chars: int) -> Iterator[list[str]]:
+    """Runs of texts of at most ``rows`` texts and, but for single longer ones, ``chars`` characters."""
+    part: list[str] = []
+    held = 0
+    for text in texts:
+        if part and (len(part) >= rows or held + len(text) > chars):
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
+def quality_scorer(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """doc_id, score in 0..1 (higher: likelier good) of every row of ``docs``.
+) -> Callable[[Column | str], Column]:
+    """Fit on the labelled training rows of ``docs``; the function returned scores any text column.
 
-    A null or blank text counts as one empty line and is scored like any other.
-    Without labels of both classes every text gets the same score: of the only
-    class seen, or 0.5.  Repeated rows get equal scores; labels repeated for an
+    Scores are in 0..1, higher: likelier good.  A null or blank text counts as one
+    empty line and is scored like any other.  Without labels of both classes every
+    text gets the same score: of the only class seen, or 0.5.  Labels repeated for an
     id count as good only if all are; labels of unknown ids and other columns are
-    ignored; an empty table gives an empty result.
+    ignored.
     """
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.min(label_col).cast("int").alias("_y")
@@ -216,13 +231,28 @@ def quality_scores(
     rows = sample.select("_text", "_y").coalesce(1).mapInArrow(learn, "model binary").collect()
     model = pickle.loads(rows[0].model) if rows else fit([], [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores = [score(model, texts[at : at + 256]) for at in range(0, len(texts), 256)]
-            flat = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, type=pa.float64())], ["doc_id", "score"])
+            texts = [t or "" for t in batch.to_pylist()]
+            scores = [score(model, part) for part in _bounded(texts, 256, 1 << 20)]
+            yield pa.array(np.concatenate([np.empty(0), *scores]), type=pa.float64())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, score double"
-    )
+    scored = F.arrow_udf(run, "double")
+    return lambda text: scored(F.col(text).cast("string") if isinstance(text, str) else text.cast("string"))
+
+
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """doc_id, score of every row of ``docs``, by ``quality_scorer``; only texts go to
+    the Python workers and only scores come back.
+
+    Repeated rows get equal scores; an empty table gives an empty result.
+    """
+    score = quality_scorer(docs, labels, id_col, text_col, label_col, max_rows)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col)).alias("score"))

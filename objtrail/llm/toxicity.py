@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
 Many voters look at a document: fixed lexicons and patterns, and lexicons of
-words and word stems induced from the labelled training rows.  A generative
-label model estimates from the votes alone, by expectation maximisation started
-at the labelled rows, how often each voter fires in either class (its accuracy)
-and how voters move together within a class (their correlations); correlated
-voters share their weight through the inverse covariance.  Its posteriors, not
-the labels, train a linear classifier over words and stems, which scores texts.
+words and word stems induced from labelled training rows.  Lexicons that vote
+on one part of the sample are induced from its other parts, so no row's own
+label reaches its votes.  A generative label model is estimated from the votes alone, by
+expectation maximisation: how much likelier each voter fires on a toxic text
+than on a clean one (its accuracy) and how voters move together within a class
+(their correlations).  Correlated voters share their say.  The model's
+posteriors, not the labels, train a linear classifier over words and stems,
+which scores texts.
 
 The fit sees a sample of at most ``max_rows`` labelled training rows, chosen by a
 hash of their ids.  Scoring is a narrow map over all rows and whole texts.
@@ -16,20 +18,23 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objtrail.llm.shared import labelled_sample
 
 MAX_ROWS = 8000
-CACHE_LIMIT = 250_000
-FEATURES = 4096
+#: chunks of text whose features a worker remembers; none is longer than ``CACHED_CHARS``
+CACHE_LIMIT = 150_000
+CACHED_CHARS = 48
 STEMS = (4, 5, 6)
+#: words in no more than this share of the sample tell near copies from other documents
+RARE = 0.005
 _WORD = re.compile(r"[^\W\d_]+")
 
 # fixed values: general insults, by language
@@ -64,37 +69,70 @@ def features_of(chunk: str) -> set[str]:
     return found
 
 
-def document_features(text: str) -> set[str]:
-    found: set[str] = set()
-    for chunk in set(text.split()):
-        found |= features_of(chunk)
-    return found
-
-
-class Voters:
-    """Votes 1 (toxic), -1 (looked, found nothing) or 0 (no words to look at)."""
-
-    GROUPS = 3
-
-    def __init__(self, induced: dict[str, float]) -> None:
-        self.fixed = [frozenset("w" + w for w in ws.split()) for ws in INSULTS.values()]
-        every = "|".join(sorted({w for ws in INSULTS.values() for w in ws.split()}))
-        self.patterns = [re.compile(p.replace("{{", "{").replace("}}", "}").replace("{}", every), re.S) for p in PATTERNS]
-        self.induced: list[frozenset[str]] = []
-        for kind in ("w", *map(str, STEMS)):
-            ranked = sorted((k for k in induced if k[0] == kind), key=lambda k: (-induced[k], k))
-            self.induced += [frozenset(ranked[g :: self.GROUPS]) for g in range(self.GROUPS)]
-
-    def vote(self, text: str, features: set[str]) -> list[int]:
-        if not features:
-            return [0] * (len(self.fixed) + len(self.patterns) + len(self.induced))
-        low = text.lower()
-        has = any(not f.isdisjoint(features) for f in self.fixed)
-        return (
-            [-1 if f.isdisjoint(features) else 1 for f in self.fixed]
-            + [1 if has and p.search(low) else -1 for p in self.patterns]
-            + [-1 if f.isdisjoint(features) else 1 for f in self.induced]
-        )
+#: kinds of features by their first letter; the number takes the last bits of a feature's digest
+_KINDS = {"w": 0, "4": 1, "5": 2, "6": 3}
+
+
+def _digest(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) & ~3 | _KINDS[feature[0]]
+
+
+class Features:
+    """Distinct features of documents: their digests in order (``names``), and flat
+    arrays of owners and places in ``names``."""
+
+    def __init__(self, texts: list[str]) -> None:
+        known: dict[str, tuple[int, ...]] = {}
+        rows = [np.empty(0, dtype=np.uint64)]
+        for text in texts:
+            found: set[int] = set()
+            for chunk in set(text.split()):
+                hit = known.get(chunk)
+                if hit is None:
+                    hit = tuple(map(_digest, features_of(chunk)))
+                    if len(chunk) <= CACHED_CHARS:
+                        if len(known) >= CACHE_LIMIT:
+                            known.clear()
+                        known[chunk] = hit
+                found.update(hit)
+            rows.append(np.fromiter(found, dtype=np.uint64, count=len(found)))
+        self.rows = len(texts)
+        self.owner = np.repeat(np.arange(self.rows, dtype=np.int32), [len(r) for r in rows[1:]])
+        flat = np.concatenate(rows)
+        del rows, known
+        self.names = np.unique(flat)
+        self.index = np.searchsorted(self.names, flat).astype(np.int32)
+        self.weight = self._weights()
+
+    def _weights(self) -> np.ndarray:
+        """What each document counts as evidence: near copies, told by the first of
+        their rare words in an order by digest, count as one together."""
+        holders = np.bincount(self.index, minlength=len(self.names))
+        rare = (holders > 1) & (holders <= max(2, RARE * self.rows)) & (self.names & np.uint64(3) == 0)
+        key = np.full(self.rows, -1, dtype=np.int64)
+        at = np.flatnonzero(rare[self.index])
+        if len(at):
+            # digests are in order, so the least place is the least digest
+            owner, first = np.unique(self.owner[at], return_index=True)
+            key[owner] = np.minimum.reduceat(self.index[at], first)
+        weight = np.ones(self.rows)
+        _, group, size = np.unique(key[key >= 0], return_inverse=True, return_counts=True)
+        weight[key >= 0] = 1 / np.sqrt(size[group])
+        return weight
+
+    def places(self, names: list[int]) -> np.ndarray:
+        """A lexicon as a mask over ``names``."""
+        return np.isin(self.names, np.array(names, dtype=np.uint64))
+
+    def hits(self, lexicon: np.ndarray) -> np.ndarray:
+        """Which documents hold a feature of a lexicon."""
+        found = np.zeros(self.rows, dtype=bool)
+        found[self.owner[lexicon[self.index]]] = True
+        return found
+
+    def counts(self, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Per feature, the summed weight of the documents with it, of a share of all documents."""
+        return np.bincount(self.index, (weight * share)[self.owner], len(self.names))
 
 
 def telling(n1: np.ndarray, n0: np.ndarray, base: float, tried: int) -> np.ndarray:
@@ -106,104 +144,154 @@ def telling(n1: np.ndarray, n0: np.ndarray, base: float, tried: int) -> np.ndarr
     return ((n1 + 2 * base) / (n + 2) >= 0.75) & (evidence > np.log(tried + 1) + 3)
 
 
-def induce(features: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Features that fire almost only in toxic rows, with the rows they fire in."""
-    toxic, clean = Counter(), Counter()
-    for found, y in zip(features, labels.tolist(), strict=True):
-        (toxic if y else clean).update(found)
-    names = list(toxic)
-    n1 = np.array([toxic[k] for k in names], dtype=float)
-    n0 = np.array([clean[k] for k in names], dtype=float)
-    keep = telling(n1, n0, float(np.clip(labels.mean(), 0.01, 0.5)), len(names))
-    return {names[i]: n1[i] for i in np.flatnonzero(keep)}
+def _base(weight: np.ndarray) -> float:
+    return float(np.clip(weight.mean(), 0.01, 0.5))
 
 
-class LabelModel:
-    """Two classes of vote vectors with class means and a shared covariance.
+class Voters:
+    """Votes 1 (toxic), -1 (looked, found nothing) or 0 (no words to look at).
 
-    A row's annotation takes part as one more voter of known accuracy.
+    One voter for each fixed lexicon and pattern, and ``GROUPS`` for each kind of
+    feature, among which its induced lexicon is dealt.  Lexicons that vote on one of ``FOLDS`` parts are induced from the others.
     """
 
-    ANNOTATION = 0.97
+    GROUPS = 1
+    FOLDS = 8
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25, shrink: float = 0.2) -> None:
-        said = np.where(start > 0.5, 1.0, -1.0) * np.log(self.ANNOTATION / (1 - self.ANNOTATION))
-        p = np.clip(start.astype(float), 0.02, 0.98)
+    def __init__(self) -> None:
+        self.fixed = [[_digest("w" + w) for w in ws.split()] for ws in INSULTS.values()]
+        every = "|".join(sorted({w for ws in INSULTS.values() for w in ws.split()}))
+        self.patterns = [re.compile(p.replace("{{", "{").replace("}}", "}").replace("{}", every), re.S) for p in PATTERNS]
+
+    def induce(self, features: Features, labels: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+        """Lexicons of features that fire almost only in the toxic rows among ``of``."""
+        of = of * features.weight
+        n1, n0 = features.counts(labels, of), features.counts(1 - labels, of)
+        names = features.names
+        keep = np.flatnonzero(telling(n1, n0, _base(labels[of > 0]), int((n1 + n0 > 0).sum())))
+        keep = keep[np.lexsort((names[keep], -n1[keep]))]
+        kind = names[keep] & np.uint64(3)
+        lexicons = []
+        for k in range(len(_KINDS)):
+            for g in range(self.GROUPS):
+                lexicons.append(np.zeros(len(names), dtype=bool))
+                lexicons[-1][keep[kind == k][g :: self.GROUPS]] = True
+        return lexicons
+
+    def votes(self, texts: list[str], features: Features, labels: np.ndarray) -> np.ndarray:
+        """A row of votes per text."""
+        fixed = [features.hits(features.places(f)) for f in self.fixed]
+        low = {i: texts[i].lower() for i in np.flatnonzero(np.any(fixed, axis=0)).tolist()}
+        fired = fixed + [np.array([i in low and p.search(low[i]) is not None for i in range(len(texts))]) for p in self.patterns]
+        fold = np.arange(len(texts)) % self.FOLDS
+        induced = np.zeros((len(_KINDS) * self.GROUPS, len(texts)), dtype=bool)
+        for k in range(self.FOLDS):
+            for j, lexicon in enumerate(self.induce(features, labels, (fold != k).astype(float))):
+                induced[j, fold == k] = features.hits(lexicon)[fold == k]
+        votes = np.where(np.concatenate([fired, induced]).T, 1.0, -1.0)
+        votes[np.bincount(features.owner, minlength=len(texts)) == 0] = 0.0
+        return votes
+
+
+class LabelModel:
+    """Two classes of vote vectors, estimated from the votes alone.
+
+    ``rate[c, j, v + 1]`` is how often voter j says v in class c.  ``correlation``
+    holds the voters' correlations within the classes, and ``say`` the share of its
+    own evidence that each voter brings, one over the sum of its squared
+    correlations: independent voters 1, k copies of one 1 / k each.  ``start`` is a first guess of the posteriors, by default from the
+    number of voters that fire.
+    """
+
+    def __init__(self, votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 50) -> None:
+        if start is None:
+            start = 1 - 0.5 ** (votes > 0).sum(axis=1)
+        p = np.clip(np.asarray(start, dtype=float), 0.02, 0.98)
         for _ in range(rounds):
-            self._maximise(votes, p, shrink)
-            q = self.posterior(votes, said)
-            if np.abs(q - p).max() < 1e-4:
-                break
+            self._maximise(votes, p)
+            q = self.posterior(votes)
+            moved = np.abs(q - p).max(initial=0.0)
             p = q
+            if moved < 1e-4:
+                break
         self.rows = p
 
-    def _maximise(self, votes: np.ndarray, p: np.ndarray, shrink: float) -> None:
-        n1, n0 = p.sum() + 1, (1 - p).sum() + 1
-        self.prior = n1 / (n1 + n0)
-        # a voter that never fires is held to a weak prior of being better than chance
-        self.mean1 = (p @ votes + 0.2) / n1
-        self.mean0 = ((1 - p) @ votes - 1) / n0
-        d1, d0 = votes - self.mean1, votes - self.mean0
-        cov = (d1 * p[:, None]).T @ d1 + (d0 * (1 - p)[:, None]).T @ d0
-        cov /= len(votes)
-        self.accuracy = (self.mean1 - self.mean0) / 2
+    def _maximise(self, votes: np.ndarray, p: np.ndarray) -> None:
+        self.prior = (p.sum() + 1) / (len(p) + 2)
+        share = np.stack([1 - p, p])
+        seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+        # a voter that hardly ever votes is held to be a little better than chance
+        weak = np.array([[1.0, 0.2, 0.1], [0.9, 0.2, 0.2]])[:, None, :]
+        counts = np.einsum("cn,njv->cjv", share, seen) + weak
+        self.rate = counts / counts.sum(axis=2, keepdims=True)
+        mean = self.rate[:, :, 2] - self.rate[:, :, 0]
+        #: how much a vote leans the right way, from -1 to 1
+        self.accuracy = (mean[1] - mean[0]) / 2
+        cov = sum(((votes - mean[c]) * share[c][:, None]).T @ (votes - mean[c]) for c in (0, 1)) / max(1, len(votes))
         scale = np.sqrt(np.diag(cov) + 1e-9)
         self.correlation = cov / scale[:, None] / scale[None, :]
-        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 0.02 * np.eye(len(cov))
-        self.weight = np.linalg.solve(cov, self.mean1 - self.mean0)
-        self.bias = np.log(self.prior / (1 - self.prior)) - self.weight @ (self.mean1 + self.mean0) / 2
+        self.say = 1 / (np.square(np.clip(self.correlation, 0, 1)).sum(axis=1) + 1e-6)
+        self.evidence = self.say[:, None] * np.log(self.rate[1] / self.rate[0])
+        self.weight = (self.evidence[:, 2] - self.evidence[:, 0]) / 2
 
-    def posterior(self, votes: np.ndarray, said: np.ndarray | float = 0.0) -> np.ndarray:
-        z = np.clip(votes @ self.weight + self.bias + said, -30, 30)
-        return 1 / (1 + np.exp(-z))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        z = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j in range(votes.shape[1]):
+            z += self.evidence[j][votes[:, j].astype(np.int64) + 1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(texts: list[str], labels: list[int]) -> dict:
     """Voters, label model and linear classifier of one bounded sample."""
     y = np.array(labels, dtype=float)
-    features = [document_features(t) for t in texts]
     if len(y) == 0 or y.min() == y.max():
         # nothing to learn from: only the fixed lexicons speak
-        names = sorted(frozenset().union(*Voters({}).fixed))
+        names = sorted({"w" + w for ws in INSULTS.values() for w in ws.split()})
         return {"names": names, "weights": np.full(len(names), 4.0), "bias": -2.0}
-    voters = Voters(induce(features, y))
-    votes = np.array([voters.vote(t, f) for t, f in zip(texts, features, strict=True)], dtype=float)
-    return _linear(features, LabelModel(votes, y).rows)
+    features = Features(texts)
+    model = LabelModel(Voters().votes(texts, features, y))
+    return _named(texts, _linear(features, model.rows))
 
 
-def _linear(features: list[set[str]], target: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> dict:
-    """Logistic regression on the features that tell the posterior classes apart."""
+def _linear(features: Features, target: np.ndarray, steps: int = 300, penalty: float = 1e-4) -> dict:
+    """Logistic regression on all features that tell the posterior classes apart."""
     n1, n0 = target.sum() + 1e-9, (1 - target).sum() + 1e-9
-    hits: Counter = Counter()
-    for found in features:
-        hits.update(found)
-    common = sorted(name for name, n in hits.items() if n >= 3)
-    place = {name: i for i, name in enumerate(common)}
-    rows = [np.array([place[f] for f in found if f in place], dtype=np.int64) for found in features]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    in1 = np.bincount(flat, weights=target[owner], minlength=len(common))
-    in0 = np.bincount(flat, minlength=len(common)) - in1
-    use = np.flatnonzero(telling(in1, in0, float(np.clip(target.mean(), 0.01, 0.5)), len(common)))
-    use = use[np.argsort(-in1[use], kind="stable")][:FEATURES]
-    column = np.full(len(common), -1, dtype=np.int64)
-    column[use] = np.arange(len(use))
-    keep = column[flat] >= 0
-    owner, flat = owner[keep], column[flat[keep]]
-    weights, bias = np.zeros(len(use)), 0.0
-    balance = np.where(target > 0.5, 0.5 / n1, 0.5 / n0)
-    m, v, mb, vb = np.zeros(len(use)), np.zeros(len(use)), 0.0, 0.0
+    in1, in0 = features.counts(target, features.weight), features.counts(1 - target, features.weight)
+    # what two documents or fewer hold is no evidence
+    use = telling(in1, in0, _base(target), len(in1)) & (in1 + in0 > 2.5)
+    names = features.names[use]
+    column = np.cumsum(use) - 1
+    keep = use[features.index]
+    owner, flat = features.owner[keep], column[features.index[keep]]
+    weights, bias = np.zeros(len(names)), 0.0
+    balance = target * (0.5 / n1) + (1 - target) * (0.5 / n0)
+    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, steps + 1):
         s = np.bincount(owner, weights=weights[flat], minlength=len(target)) + bias
         g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - target) * balance
-        gw = np.bincount(flat, weights=g[owner], minlength=len(use)) + penalty * weights
+        gw = np.bincount(flat, weights=g[owner], minlength=len(names)) + penalty * weights
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.1 / (1 - 0.9**t)
         weights -= rate * m / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * mb / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return {"names": [common[i] for i in use], "weights": weights, "bias": float(bias)}
+    return {"digests": names, "weights": weights, "bias": float(bias)}
+
+
+def _named(texts: list[str], model: dict) -> dict:
+    """The model with its features' names instead of their digests."""
+    wanted = dict(zip(model["digests"].tolist(), model["weights"].tolist(), strict=True))
+    found: dict[str, float] = {}
+    for text in texts:
+        if len(found) == len(wanted):
+            break
+        for chunk in set(text.split()):
+            for f in features_of(chunk):
+                if (weight := wanted.get(_digest(f))) is not None:
+                    found[f] = weight
+    names = sorted(found)
+    return {"names": names, "weights": np.array([found[f] for f in names]), "bias": model["bias"]}
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> dict:
@@ -230,47 +318,64 @@ class Scorer:
     def __init__(self, model: dict) -> None:
         self.weight = dict(zip(model["names"], model["weights"].tolist(), strict=True))
         self.bias = model["bias"]
-        self.chunks: dict[str, frozenset[str]] = {}
+        self.chunks: dict[str, frozenset[str] | None] = {}
 
     def score(self, text: str) -> float:
         chunks, weight, found = self.chunks, self.weight, set()
         for chunk in set(text.split()):
-            hit = chunks.get(chunk)
-            if hit is None:
-                if len(chunks) > CACHE_LIMIT:
-                    chunks.clear()
-                hit = chunks[chunk] = frozenset(f for f in features_of(chunk) if f in weight)
+            # most chunks hold no feature of the model: None stands for those
+            hit = chunks.get(chunk, 0)
+            if hit == 0:
+                hit = frozenset(f for f in features_of(chunk) if f in weight) or None
+                if len(chunk) <= CACHED_CHARS:
+                    if len(chunks) >= CACHE_LIMIT:
+                        chunks.clear()
+                    chunks[chunk] = hit
             if hit:
                 found |= hit
         z = self.bias + sum(weight[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def toxicity_scores(
+def toxicity_scorer(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """doc_id, score in 0..1 (higher: likelier toxic) of every row of ``docs``.
-
-    Null and empty texts hold no feature and get the classifier's base score,
-    which is below one half.  Without labels of both classes the fixed lexicons
-    alone decide.  Repeated rows get equal scores; labels repeated for an id count
-    as toxic if any is; labels of unknown ids and other columns are ignored; an
-    empty table gives an empty result.  Labels of rows outside the training
-    share are never read into the fit.
+) -> Callable[[Column | str], Column]:
+    """Fit on the labelled training rows of ``docs``; the function returned scores any text column.
+
+    Scores are in 0..1, higher: likelier toxic.  Null and empty texts hold no
+    feature and get the classifier's base score, which is below one half.  Without
+    labels of both classes the fixed lexicons alone decide.  Labels repeated for an
+    id count as toxic if any is; labels of unknown ids and other columns are
+    ignored.  Labels of rows outside the training share are never read into the fit.
     """
     model = fit_sample(docs, labels, id_col, text_col, label_col, max_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for batch in batches:
-            scores = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.array([scorer.score(t or "") for t in batch.to_pylist()], type=pa.float64())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, score double"
-    )
+    scored = F.arrow_udf(run, "double")
+    return lambda text: scored(F.col(text).cast("string") if isinstance(text, str) else text.cast("string"))
+
+
+def toxicity_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """doc_id, score of every row of ``docs``, by ``toxicity_scorer``; only texts
+    go to the Python workers and only scores come back.
+
+    Repeated rows get equal scores; an empty table gives an empty result.
+    """
+    score = toxicity_scorer(docs, labels, id_col, text_col, label_col, max_rows)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col)).alias("score"))

@@ -97,6 +97,49 @@ def test_correlated_voters_share_their_weight():
     assert model.weight[0] > model.weight[1:].sum() * 0.8
 
 
+def test_posterior_matches_brute_force():
+    rng = np.random.default_rng(8)
+    votes = rng.integers(-1, 2, size=(60, 5)).astype(float)
+    model = toxicity.LabelModel(votes, rounds=3)
+    for row, got in zip(votes, model.posterior(votes), strict=True):
+        joint = []
+        for c, prior in ((0, 1 - model.prior), (1, model.prior)):
+            joint.append(prior * np.prod([model.rate[c, j, int(v) + 1] ** model.say[j] for j, v in enumerate(row)]))
+        assert np.isclose(got, joint[1] / sum(joint))
+    for j in range(5):
+        say = 1 / sum(max(0.0, model.correlation[j, k]) ** 2 for k in range(5))
+        assert np.isclose(model.say[j], say, rtol=1e-3)
+
+
+def test_posteriors_not_labels_train_the_classifier():
+    rows, marks = labelled(1200)
+    texts, truth = [t for _, t in rows], np.array([t for _, _, t in marks])
+    rng = np.random.default_rng(2)
+    wrong = rng.random(len(truth)) < 0.1
+    said = np.where(wrong, 1 - truth, truth)
+    features = toxicity.Features(texts)
+    model = toxicity.LabelModel(toxicity.Voters().votes(texts, features, said.astype(float)))
+    assert ((model.rows > 0.5) == truth).mean() > 0.98 > (said == truth).mean()
+    scorer = toxicity.Scorer(toxicity.fit(texts, said.tolist()))
+    assert np.mean([(scorer.score(t) >= 0.5) == y for t, y in zip(texts, truth, strict=True)]) > 0.98
+
+
+def test_a_row_does_not_vote_for_its_own_label():
+    texts = [f"only{i} " * 3 for i in range(64)]
+    labels = np.array([i % 2 for i in range(64)], dtype=float)
+    features = toxicity.Features(texts)
+    assert (toxicity.Voters().votes(texts, features, labels) <= 0).all()
+
+
+def test_labels_with_clashing_columns(spark, docs):
+    rows, marks = labelled(150)
+    plain = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    clash = plain.withColumn("_id", F.lit("x")).withColumn("text", F.lit(1)).withColumn("_y", F.lit(None).cast("int")).withColumn("n", F.lit(0))
+    frame = docs(rows).withColumn("_y", F.lit(3)).withColumn("score", F.lit("s")).withColumn("quality", F.lit(0))
+    for run in (quality.quality_scores, toxicity.toxicity_scores):
+        assert sorted(run(frame, clash).collect()) == sorted(run(docs(rows), plain).collect())
+
+
 def test_rules_of_the_split(spark):
     rows = spark.range(100).select(F.col("id"), quality.training_row("id").alias("q"), toxicity.training_row("id").alias("t")).collect()
     for r in rows:
