@@ -8,11 +8,13 @@ sizes and positions filter group pairs before members are verified.
 
 Classes are wanted, not all pairs, so large groups of near copies never expand
 into their squares.  First every list links its groups to one of them (a star);
-verified links are merged into components.  Then the lists are expanded to
-members, and only members still in different components are verified: those of
-short lists as pairs, those of long ones as tiles, whose task compares whole
-tiles by an index of their shingles.  Pairs left out lie within one component, so
-no link between two components is lost and the classes are exact.
+verified links are merged into components.  Then only lists that still hold
+several components are expanded to members, and only members in different
+components are verified: those of short lists as pairs, those of long ones in
+tiles.  A long list is dealt by bands of size and, within a band, by tiles of
+bounded count and volume; a unit, one pair of tiles, is one task's work, whatever
+the length of the list.  Pairs left out lie within one component, so no link
+between two components is lost and the classes are exact.
 
 Only narrow rows meet in the lists.  Texts of documents in candidate pairs go,
 once per pair of blocks of documents, to the task that verifies those blocks.
@@ -36,12 +38,18 @@ PERCENT = 80
 #: how many of the commonest shingles are moved to the end of the order; any
 #: order gives right results, this bounds the table that every task holds
 COMMON = 1 << 18
-BLOCK_DOCS = 4000
-#: lists up to this length are verified as pairs, longer ones in tiles of TILE members
+#: documents are verified in blocks of about this many shingles
+BLOCK_SHINGLES = 1_000_000
+#: lists up to this length are verified as pairs, longer ones in tiles of at most
+#: TILE members and about TILE_SHINGLES shingles
 SHORT = 32
 TILE = 2000
-BROADCAST_ROWS = 1_000_000
-_COUNTED = 4_000_000
+TILE_SHINGLES = 1_000_000
+#: rows of 16 bytes
+BROADCAST_ROWS = 500_000
+#: shingles held while counting, and texts turned into Python strings at a time
+_COUNTED = 1_000_000
+_TEXTS = 512
 _BITS = 22
 
 
@@ -67,6 +75,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return s[new]
 
 
+def _texts(batch: pa.RecordBatch | pa.Table, column: int | str) -> Iterator[str | None]:
+    """A column's texts, some at a time."""
+    values = batch.column(column)
+    for at in range(0, len(values), _TEXTS):
+        yield from values.slice(at, _TEXTS).to_pylist()
+
+
 def required(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Least overlap with any set that a set of this size can be similar to."""
     return -(-percent * size // 100)
@@ -96,7 +111,7 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
             )
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in _texts(batch, 1):
                 held.append(shingles(text, words))
                 size += len(held[-1])
                 if size >= _COUNTED:
@@ -136,7 +151,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         leading[(tokens >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         for batch in batches:
             rows, firsts = [], [np.empty(0, dtype=np.int64)]
-            for text in batch.column(1).to_pylist():
+            for text in _texts(batch, 1):
                 s = shingles(text, words)
                 n = len(s)
                 if not n:
@@ -162,26 +177,6 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(columns, starts, ends) of the tokens with two or more rows; rows come sorted by token."""
-    carry: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        ends = np.r_[starts[1:], len(cols[0])]
-        # the last token may go on in the next batch
-        many = np.flatnonzero(ends[:-1] - starts[:-1] > 1)
-        if len(many):
-            yield cols, starts[many], ends[many]
-        carry = [c[starts[-1] :] for c in cols]
-    if carry is not None and len(carry[0]) > 1:
-        yield carry, np.array([0]), np.array([len(carry[0])])
-
-
 def _within(
     size_a: np.ndarray | int, pos_a: np.ndarray | int, size_b: np.ndarray, pos_b: np.ndarray, percent: int
 ) -> np.ndarray:
@@ -191,7 +186,11 @@ def _within(
 
 
 def _stars(entries: DataFrame, percent: int) -> DataFrame:
-    """Lists of two or more groups (kind 0) and their star pairs (kind 1)."""
+    """Lists of two or more groups (kind 0) and their star pairs (kind 1).
+
+    Lists are streamed: of a list that goes on in the next batch only its present
+    lead is held, so a list of any length takes the memory of a batch.
+    """
     names = ("kind", "token", "pos", "size", "a", "b")
     schema = pa.schema([(c, pa.int64()) for c in names])
 
@@ -200,26 +199,42 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for (token, size, _, node, pos), starts, ends in _runs(batches):
-            length = ends - starts
-            list_of = np.repeat(np.arange(len(starts)), length)
-            rows = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + starts[list_of]
+        # the lead of the last token, and whether it is yet to be listed
+        carry: list[np.ndarray] | None = None
+        pending = False
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4)]
+            if not len(cols[0]):
+                continue
+            if carry is not None:
+                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            token, size, node, pos = cols
+            n = len(token)
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            length = np.diff(np.r_[starts, n])
+            listed = np.repeat(length > 1, length)
+            listed[0] &= carry is None or pending
+            rows = np.flatnonzero(listed)
             zero = np.zeros(len(rows), dtype=np.int64)
             parts.append((zero, token[rows], pos[rows], size[rows], node[rows], zero))
             # the first row of a list leads those its size admits; the first of the rest leads on
-            todo = np.arange(len(rows))
+            todo = np.flatnonzero(np.repeat(length > 1, length))
+            last_lead = n - 1
             while len(todo):
-                first = np.r_[True, list_of[todo[1:]] != list_of[todo[:-1]]]
-                lead = rows[todo[np.maximum.accumulate(np.where(first, np.arange(len(todo)), 0))]]
-                own = rows[todo]
-                inside = 100 * size[lead] >= percent * size[own]
-                pair = ~first & _within(size[lead], pos[lead], size[own], pos[own], percent)
+                first = np.r_[True, token[todo[1:]] != token[todo[:-1]]]
+                lead = todo[np.maximum.accumulate(np.where(first, np.arange(len(todo)), 0))]
+                inside = 100 * size[lead] >= percent * size[todo]
+                pair = ~first & _within(size[lead], pos[lead], size[todo], pos[todo], percent)
                 if pair.any():
-                    x, y = node[lead[pair]], node[own[pair]]
+                    x, y = node[lead[pair]], node[todo[pair]]
                     one, none = np.ones(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
                     parts.append((one, none, none, none, np.minimum(x, y), np.maximum(x, y)))
+                if todo[-1] == n - 1 and inside[-1]:
+                    last_lead = int(lead[-1])
                 todo = todo[~inside]
-            held += 2 * len(rows)
+            carry = [c[last_lead : last_lead + 1] for c in cols]
+            pending = length[-1] == 1
+            held += 2 * n
             if held > 200_000:
                 yield emit(parts)
                 parts, held = [], 0
@@ -235,84 +250,150 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _crossing(entries: DataFrame, percent: int) -> DataFrame:
-    """What is left to verify in lists (token, pos, size, node, component).
+def _open_lists(lists: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (token, pos, size, node, component, total) of lists that hold several components.
 
-    Kind 0 are filtered pairs (a, b) of short lists whose members are in different
-    components.  Kind 1 are members of units, pairs of tiles of long lists: unit,
-    node a and component b.  Tiles follow the order of size, and those whose sizes
-    rule out a link make no unit.
+    ``lists`` has the groups of every list (token, pos, size, lead), ``nodes`` the
+    members of every group with their components.  Whether a list is open is found
+    on the ranges of its groups' components; only open lists are expanded.
     """
-    schema = pa.schema([("kind", pa.int64()), ("unit", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    ranges = nodes.groupBy("g1", "g2").agg(
+        F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("n"), F.first("size").alias("size"),
+    )
+    ranges = scratch.store(ranges, "ranges")
+    # a group of several sets is a list of its own
+    own = ranges.where("n > 1 AND low < high").select(
+        F.xxhash64("g1", "g2").alias("token"), F.lit(0).cast("long").alias("pos"), "size", "lead"
+    )
+    listed = lists.unionByName(own)
+    span = listed.join(ranges.select("lead", "low", "high", "n"), "lead")
+    several = (
+        span.groupBy("token")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("total"))
+        .where("low < high")
+        .select("token", "total")
+    )
+    several = scratch.store(several, "several")
+    members = nodes.join(ranges.select("g1", "g2", "lead"), ["g1", "g2"]).select("lead", "node", "component")
+    open_ = listed.join(small_or_shuffled(several, several.count(), BROADCAST_ROWS), "token")
+    return scratch.store(
+        open_.join(members, "lead").select("token", "pos", "size", "node", "component", "total"), "open"
+    )
+
+
+def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Filtered pairs (a, b) in different components of short lists (token, pos, size, node, component)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        units: list[np.ndarray] = []
-        count = 0
-
-        def emit() -> pa.RecordBatch:
-            rows = [np.empty((0, 4), dtype=np.int64), *units]
-            if pairs:
-                own = np.unique(np.concatenate(pairs), axis=0)
-                rows.append(np.concatenate([np.zeros_like(own), own], axis=1))
-            cols = np.concatenate(rows).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], schema=schema)
-
-        def open_lists() -> Iterator[tuple[np.ndarray, ...]]:
-            for cols, starts, ends in _runs(batches):
-                component = cols[3]
-                # bounds of each list and of the rows between lists, of which every other is dropped
-                edges = np.stack([starts, ends], axis=1).ravel()
-                edges = edges[:-1] if edges[-1] == len(component) else edges
-                low, high = np.minimum.reduceat(component, edges)[::2], np.maximum.reduceat(component, edges)[::2]
-                for k in np.flatnonzero(low != high):
-                    yield tuple(c[starts[k] : ends[k]] for c in cols)
-
-        for token, size, node, component, pos in open_lists():
-            n = len(size)
-            if n <= SHORT:
-                ok = (
-                    (component[:, None] != component)
-                    & _within(size[:, None], pos[:, None], size, pos, percent)
-                    & (np.arange(n)[:, None] < np.arange(n))
-                )
-                i, j = np.nonzero(ok)
-                if len(i):
-                    pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-                    count += len(i)
-            else:
-                for i in range(0, n, TILE):
-                    for j in range(i, n, TILE):
-                        if 100 * size[min(i + TILE, n) - 1] < percent * size[j]:
-                            break
-                        at = np.arange(i, min(i + TILE, n))
-                        if j > i:
-                            at = np.concatenate([at, np.arange(j, min(j + TILE, n))])
-                        if (component[at] == component[at[0]]).all():
-                            continue
-                        name = xxhash.xxh3_64_intdigest(np.array([token[0], i, j]).tobytes()) >> 1
-                        one = np.ones(len(at), dtype=np.int64)
-                        units.append(np.stack([one, one * name, node[at], component[at]], axis=1))
-                        count += len(at)
-            if count > 200_000:
-                yield emit()
-                pairs, units, count = [], [], 0
-        if count:
-            yield emit()
+        carry: list[np.ndarray] | None = None
+
+        def of(cols: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            """All lists of a batch at once: row k is paired with those 1, 2, .. rows later."""
+            token, size, node, component, pos = cols
+            last = np.repeat(ends, ends - starts)
+            at = np.arange(starts[0], ends[-1])
+            found = [np.empty((0, 2), dtype=np.int64)]
+            for step in range(1, int((ends - starts).max(initial=1))):
+                keep = at + step < last
+                at, last = at[keep], last[keep]
+                i, j = at, at + step
+                ok = (component[i] != component[j]) & _within(size[i], pos[i], size[j], pos[j], percent)
+                x, y = node[i[ok]], node[j[ok]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0).T
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs], schema=schema)
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if carry is not None:
+                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            # the last list may go on in the next batch
+            if len(starts) > 1:
+                yield of(cols, starts[:-1], starts[1:])
+            carry = [c[starts[-1] :] for c in cols]
+        if carry is not None and len(carry[0]):
+            yield of(carry, np.array([0]), np.array([len(carry[0])]))
 
     return (
         entries.select("token", "size", "node", "component", "pos")
         .repartition("token")
         .sortWithinPartitions("token", "size", "node")
-        .mapInArrow(run, "kind long, unit long, a long, b long")
+        .mapInArrow(run, "a long, b long")
     )
 
 
+def _units(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (unit, node a, component b) of pairs of tiles of long lists that have a partner there.
+
+    Sizes of linked sets lie in the same band or in two that follow one another.
+    Band s meets itself (own) and band s + 1; unit (token, s, i, j, own) holds tiles i
+    and j of band s, the others tile i of band s and j of band s + 1.
+    """
+    band = F.floor(F.log("size") / (np.log(100 / percent) + 1e-9)).cast("long")
+    banded = entries.withColumn("band", band)
+    at = ["token", "band"]
+    count = F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)
+    tiles = scratch.store(banded.groupBy(*at).agg(F.ceil(count).cast("long").alias("tiles")), "tiles")
+    rows = tiles.count()
+    for name, step in (("above", 1), ("below", -1)):
+        other = tiles.select("token", (F.col("band") - step).alias("band"), F.col("tiles").alias(name))
+        tiles = tiles.join(small_or_shuffled(other, rows, BROADCAST_ROWS), at, "left")
+    dealt = banded.join(small_or_shuffled(tiles, rows, BROADCAST_ROWS), at)
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+
+    def partners(n: str, entry) -> F.Column:
+        many = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1), entry)
+        return F.filter(many, lambda _: F.col(n).isNotNull())
+
+    def entry(s, i, j, left, right, own: bool) -> F.Column:
+        unit = F.xxhash64("token", s, i, j, F.lit(own))
+        return F.struct(unit.alias("unit"), left.alias("left"), right.alias("right"))
+
+    mine, here, yes, no = F.col("tile"), F.col("band"), F.lit(True), F.lit(False)
+    copies = F.concat(
+        partners("tiles", lambda o: entry(here, F.least(mine, o), F.greatest(mine, o), mine <= o, mine >= o, True)),
+        partners("above", lambda o: entry(here, mine, o, yes, no, False)),
+        partners("below", lambda o: entry(here - 1, o, mine, no, yes, False)),
+    )
+    dealt = dealt.select("size", "pos", "node", "component", F.explode(copies).alias("u")).select(
+        "u.*", "size", "pos", "node", "component"
+    )
+    return dealt.groupBy("unit").applyInArrow(lambda t: _with_partners(t, percent), "unit long, a long, b long")
+
+
+def _with_partners(table: pa.Table, percent: int) -> pa.Table:
+    """Members of a unit that sizes and positions let link to one of another component there."""
+    size, pos, node, component = (table.column(c).to_numpy() for c in ("size", "pos", "node", "component"))
+    left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
+    right = np.flatnonzero(table.column("right").to_numpy(zero_copy_only=False))
+    kept = np.zeros(len(node), dtype=bool)
+    if component.min() != component.max():
+        for start in range(0, len(left), 500):
+            i = left[start : start + 500, None]
+            small, large = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
+            room = np.minimum(size[i] - pos[i], size[right] - pos[right])
+            ok = (100 * small >= percent * large) & (room * (100 + percent) >= percent * (small + large))
+            ok &= component[i] != component[right]
+            kept[i[:, 0]] |= ok.any(axis=1)
+            kept[right] |= ok.any(axis=0)
+    some = np.flatnonzero(kept)
+    # a member that is in the unit twice is one
+    _, once = np.unique(node[some], return_index=True)
+    some = some[once]
+    unit = table.column("unit").to_numpy()[some]
+    return pa.table({"unit": unit, "a": node[some], "b": component[some]})
+
+
 def _links_of_unit(table: pa.Table, words: int, percent: int) -> pa.Table:
     """Edges between different components among a unit's documents (a node, b component, text)."""
     nodes = table.column("a").to_numpy()
     _, group = np.unique(table.column("b").to_numpy(), return_inverse=True)
-    sets = [shingles(t, words) for t in table.column("text").to_pylist()]
+    sets = [shingles(t, words) for t in _texts(table, "text")]
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -356,13 +437,19 @@ def _verify_units(units: DataFrame, docs: DataFrame, words: int, percent: int) -
     )
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
-    """Edges that connect what the similar pairs among ``pairs`` connect; None without pairs."""
+def _verify(
+    pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
+) -> DataFrame | None:
+    """Edges that connect what the similar pairs among ``pairs`` connect; None without pairs.
+
+    ``sizes`` (node, size) says how much the texts of a pair weigh.
+    """
     pairs = scratch.store(pairs, "pairs")
-    involved = pairs.select("a").union(pairs.select("b")).distinct().count()
-    if not involved:
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    volume = involved.join(sizes.select("node", "size"), "node").agg(F.sum("size").alias("n")).first().n
+    if not volume:
         return None
-    blocks = -(-involved // BLOCK_DOCS)
+    blocks = -(-volume // BLOCK_SHINGLES)
 
     def block(c: str) -> F.Column:
         return F.pmod(F.xxhash64(c), F.lit(blocks))
@@ -377,7 +464,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
-        for name, text in zip(right.column("doc_id").to_pylist(), right.column("text").to_pylist(), strict=True):
+        for name, text in zip(right.column("doc_id").to_pylist(), _texts(right, "text"), strict=True):
             sets.setdefault(name, []).append(shingles(text, words))
         parent: dict[int, int] = {}
 
@@ -388,11 +475,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch
             return x
 
         found = []
-        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)):
-            x, y = find(a), find(b)
-            if x != y and any(similar(s, t, percent) for s in sets.get(a, ()) for t in sets.get(b, ())):
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        for k in np.lexsort((b, a)).tolist():
+            s, t = int(a[k]), int(b[k])
+            x, y = find(s), find(t)
+            if x != y and any(similar(u, v, percent) for u in sets.get(s, ()) for v in sets.get(t, ())):
                 parent[max(x, y)] = min(x, y)
-                found.append((a, b))
+                found.append((s, t))
         return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], schema=schema)
 
     return keyed.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(check, "a long, b long")
@@ -430,34 +519,26 @@ def ngram_classes(
         "token", F.col("pos").cast("long").alias("pos"), "size", "node"
     )
     lists = scratch.store(_stars(entries, percent), "lists")
-    first = _verify(lists.where("kind = 1").select("a", "b").distinct(), docs, words, percent, scratch)
-    label = nodes.select("node", F.col("node").alias("component")).limit(0)
-    edges = None
-    if first is not None:
-        edges = scratch.store(first, "links")
-        label = connected_components(edges)
-
-    leads = nodes.groupBy("g1", "g2").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
-    members = nodes.join(leads, ["g1", "g2"])
-    listed = lists.where("kind = 0").select("token", "pos", "size", F.col("a").alias("lead"))
-    expanded = listed.join(members.select("lead", "node"), "lead").select("token", "pos", "size", "node")
-    together = members.where("n > 1").select(
-        F.xxhash64("g1", "g2").alias("token"), F.lit(0).cast("long").alias("pos"), "size", "node"
-    )
-    labelled = (
-        expanded.unionByName(together)
-        .join(label, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    left = scratch.store(_crossing(labelled, percent), "crossing")
-    second = _verify(left.where("kind = 0").select("a", "b").distinct(), docs, words, percent, scratch)
-    third = _verify_units(left.where("kind = 1"), docs, words, percent)
-    for more in (second, third):
-        if more is not None:
-            edges = more if edges is None else edges.unionByName(more)
-    edges = scratch.store(edges, "links")
+    edges = _same_id(filled, nodes)
+    first = _verify(lists.where("kind = 1").select("a", "b").distinct(), nodes, docs, words, percent, scratch)
+    edges = scratch.store(edges if first is None else edges.unionByName(first), "links")
     label = connected_components(edges)
 
+    placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    listed = lists.where("kind = 0").select("token", "pos", "size", F.col("a").alias("lead"))
+    left = _open_lists(listed, scratch.store(placed, "placed"), scratch)
+    more = [
+        _verify(_short_pairs(left.where(F.col("total") <= SHORT), percent).distinct(), nodes, docs, words, percent, scratch)
+    ]
+    units = scratch.store(_units(left.where(F.col("total") > SHORT), percent, scratch), "units")
+    if not units.isEmpty():
+        more.append(_verify_units(units, docs, words, percent))
+    for found in more:
+        if found is not None:
+            edges = edges.unionByName(found)
+    if any(found is not None for found in more):
+        label = connected_components(scratch.store(edges, "links"))
+
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")
     )
@@ -470,3 +551,13 @@ def ngram_classes(
     return joined.select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id")
     )
+
+
+def _same_id(filled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the sets of rows that repeat an id."""
+    again = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sets = filled.select("doc_id", "s1", "s2").join(again, "doc_id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    # an id's sets all hold it, so their nodes are all linked to the smallest of them
+    sets = sets.select("doc_id", "node").distinct()
+    low = sets.groupBy("doc_id").agg(F.min("node").alias("low"))
+    return sets.join(low, "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))

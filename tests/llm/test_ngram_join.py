@@ -66,7 +66,7 @@ def test_matches_all_pairs(docs):
 def test_long_lists_in_tiles(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 1)
     monkeypatch.setattr(ngram_join, "TILE", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 900)
     rows = corpus(2)
     assert got(ngram_join.ngram_classes(docs(rows))) == brute(rows)
 
@@ -89,6 +89,35 @@ def test_repeated_and_missing_ids(docs):
     assert len(found) == 4
 
 
+def brute_by_id(rows):
+    """Links of all texts of an id: sets that share an id are linked as well."""
+    classes = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    ids = [i for i, _ in rows]
+    label = {k: c for k, (n, c) in classes.items() if n}
+    for _ in rows:
+        for k in label:
+            same = {label[j] for j in label if ids[j] == ids[k]} | {label[k]}
+            label = {j: min(same) if c in same else c for j, c in label.items()}
+    low = {c: min(ids[j] for j in label if label[j] == c) for c in label.values()}
+    return sorted((ids[k], classes[k][0], low[label[k]] if k in label else ids[k]) for k in classes)
+
+
+def test_sets_of_a_repeated_id_are_linked(docs):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "x y z w v u"), (9, "x y z w v u"), (12, "k l m n o p"), (12, "q r s t u v")]
+    rows += [(20 + i % 7, t) for i, (_, t) in enumerate(corpus(5, 28))]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(docs(rows)).collect())
+    assert found == brute_by_id(rows)
+
+
+def test_lists_over_many_batches(spark, docs):
+    rows = corpus(6, 112)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert got(ngram_join.ngram_classes(docs(rows))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("size", range(1, 60))
 def test_prefix_length_is_safe(size):
     need = ngram_join.required(size, 80)
