@@ -1,12 +1,15 @@
 """Exact dedup by distributed MSD radix partitioning.
 
-Documents are split by successive leading bytes.  Each round looks ``depth``
-bytes into the texts that are still undecided and counts the documents of every
-prefix; a prefix with one document is a singleton, one whose texts have ended is
-a group of equal texts, and all others go to the next, deeper round.  Prefixes
-themselves are the group keys, so equality never rests on a digest.  Depths grow
-geometrically, so a text of n bytes takes O(log n) rounds, and only texts that
-still share a prefix move again.
+Documents are split by successive bytes.  Each round looks at the next bytes of
+the texts that are still undecided and counts the documents of every group and
+segment; one document alone is a singleton, texts that have ended there are equal,
+and all others make new groups for the next, deeper round.  Segments themselves are
+the keys, so equality never rests on a digest.  Depths grow geometrically, so a
+text of n bytes takes O(log n) rounds.
+
+Rows have a number of their own, and only narrow rows (number, segment) meet at a
+group's key; texts move by row number, evenly, and only those still undecided.  A
+group of a thousandth of a round's rows or more is dealt over ``SALTS`` keys.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objtrail.llm.shared import Stored
+from objtrail.llm.shared import Scratch, store
 
 FIRST_DEPTH = 32
 GROWTH = 16
+#: a group with more than one of this many parts of a round's rows is hot; so there are no more hot groups than that
+HOT = 1000
+SALTS = 64
 
 
 def exact_dedup(
@@ -34,56 +40,92 @@ def exact_dedup(
     marked kept when theirs is the surviving id.  A null id is smaller than any
     other; a group of null ids has a null ``keep_id`` and all its rows are kept.
     An empty table gives an empty result; other columns are ignored.
-
-    Skew: prefixes are counted with map-side partial sums, and the counts return
-    to the texts by a left join whose text side the adaptive planner may split
-    at a hot prefix, since no operator above needs a key's rows together.
     """
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    active = docs.select(F.col(id_col).alias("doc_id"), body.alias("body"))
-    depth, rounds, finished = first_depth, [], False
-    while not finished:
-        table = Stored(_split(active, depth), "radix")
-        rounds.append(table)
-        active = table.df.where("body IS NOT NULL").select("doc_id", "body")
-        finished = active.isEmpty()
-        depth *= growth
-    done = None
-    for table in rounds:
-        part = table.df.where("body IS NULL").drop("body")
-        done = part if done is None else done.unionByName(part)
-    return done.select(
+    scratch = Scratch()
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
+    rows = scratch.store(rows, "rows")
+    decided = _decide(rows, first_depth, growth, scratch)
+    hashed = rows.select("row", F.unhex(F.sha2("body", 256)).alias("sha"))
+    found = store(decided.join(hashed, "row"), "classes")
+    scratch.drop()
+    return found.select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def _split(active: DataFrame, depth: int) -> DataFrame:
-    """One radix round: decided rows lose their body, the others keep it."""
-    keyed = active.select(
+def distinct_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    first_depth: int = FIRST_DEPTH,
+    growth: int = GROWTH,
+) -> DataFrame:
+    """The rows of ``docs`` without repeated texts, in all their columns.
+
+    Rows are decided one by one: of equal texts, null being empty, one row stays, that
+    with the largest id; of rows that repeat the id as well, or have none, any one.
+    """
+    scratch = Scratch()
+    numbered = scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
+    gone = _decide(rows, first_depth, growth, scratch).where("row <> keep_row").select(F.col("row").alias("_row"))
+    kept = store(numbered.join(gone, "_row", "left_anti").drop("_row"), "kept")
+    scratch.drop()
+    return kept
+
+
+def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataFrame:
+    """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body)."""
+    before, bodies, done = 0, rows.withColumn("group", F.lit(0).cast("long")), None
+    while True:
+        table = scratch.store(_split(bodies, before, depth, scratch), "radix")
+        part = table.where("group IS NULL").drop("group")
+        done = part if done is None else done.unionByName(part)
+        active = table.where("group IS NOT NULL").select("row", "group")
+        if active.isEmpty():
+            return done
+        bodies = scratch.store(bodies.drop("group").join(active, "row"), "bodies")
+        before, depth = depth, depth * growth
+
+
+def _split(bodies: DataFrame, before: int, depth: int, scratch: Scratch) -> DataFrame:
+    """One radix round over the bytes before..depth: ``group`` is null for decided rows,
+    else the number of the group that goes on, the smallest of its rows."""
+    keyed = bodies.select(
+        "row",
         "doc_id",
-        "body",
-        F.substring("body", 1, depth).alias("prefix"),
-        (F.length("body") <= depth).alias("ended"),
+        F.struct(
+            "group",
+            F.substring("body", before + 1, depth - before).alias("segment"),
+            (F.length("body") <= depth).alias("ended"),
+        ).alias("key"),
     )
     shared = (
-        keyed.groupBy("prefix", "ended")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        keyed.groupBy("key")
+        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top"), F.min("row").alias("low"))
         .where("n > 1")
-        .select(F.struct("prefix", "ended").alias("key"), "n", "top")
+        .withColumn("route", F.xxhash64("key"))
     )
-    # another key than the counts are grouped by: the counts are dealt anew, and
-    # the planner is free to split a hot prefix
-    keyed = keyed.select("doc_id", "body", "ended", F.struct("prefix", "ended").alias("key"))
-    joined = keyed.join(shared, "key", "left")
-    going_on = F.col("n").isNotNull() & ~F.col("ended")
+    shared = scratch.store(shared, "shared")
+    # no more than HOT routes: each holds its part of the rows
+    hot = [r.route for r in shared.select("route", "n").where(F.col("n") > bodies.count() / HOT).collect()]
+    salted = F.xxhash64("key").isin(hot) if hot else F.lit(False)
+    keyed = keyed.withColumn("salt", F.when(salted, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int"))
+    several = F.col("route").isin(hot) if hot else F.lit(False)
+    salts = F.when(several, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    joined = keyed.join(shared.select("key", "n", "top", "low", F.explode(salts).alias("salt")), ["key", "salt"], "left")
+    alone = F.col("n").isNull()
     return joined.select(
+        "row",
         "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"),
-        F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
-        F.when(~going_on, F.sha2("body", 256)).alias("text_sha256"),
-        F.when(going_on, F.col("body")).alias("body"),
+        F.when(alone, F.col("row")).otherwise(F.col("top.row")).alias("keep_row"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.when(~alone & ~F.col("key.ended"), F.col("low")).alias("group"),
     )
