@@ -553,6 +553,30 @@ def ngram_classes(
     )
 
 
+def one_of_each_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` of which one of each class stays, in all their columns.
+
+    Rows are decided one by one, whether they have an id of their own or not: of each
+    class the row with the smallest id stays (null ids come last), and of rows that
+    repeat that id one.  Rows without words are classes of their own.
+    """
+    scratch = Scratch()
+    numbered = scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = ngram_classes(numbered, "_row", text_col, words, percent).select("doc_id", "component_id")
+    classes = classes.withColumnsRenamed({"doc_id": "_row", "component_id": "_class"})
+    # most rows are alone in their class
+    several = classes.where("_row <> _class").select("_class").distinct()
+    members = scratch.store(classes.join(several, "_class"), "members")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
+    first = numbered.select("_row", id_col).join(members, "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
+    gone = members.select("_row").join(first.select("_row"), "_row", "left_anti")
+    kept = store(numbered.join(gone, "_row", "left_anti").drop("_row"), "kept")
+    scratch.drop()
+    return kept
+
+
 def _same_id(filled: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that join the sets of rows that repeat an id."""
     again = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
