@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the colum
 of ``docs``; the last returns the packed pieces.  ``run`` writes every stage's
 result as Parquet in the shared folder and rereads it as the next one's input.
 
-A filtering stage decides rows by a narrow table of ids and joins it back to the
-documents with a semi join, so rows that repeat an id share their fate and no
-row is multiplied.
+A filtering stage decides rows one by one, not by their ids: the classifiers are
+columns over the text, and the dedup stages number the rows they read.  Rows that
+repeat an id or have none are decided like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from objtrail.llm import exact_dedup, ngram_join, packing, quality, toxicity
 from objtrail.llm.shared import load, store
@@ -26,33 +25,26 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL: str | None = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (doc_id); null ids match each other."""
-    wanted = ids.select(F.col("doc_id").alias("_wanted"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field scores one half or more."""
-    scores = quality.quality_scores(docs, load(spark, sf_dir, "labels"))
-    return _keep(docs, scores.where("score >= 0.5"))
+    """Documents that the line field scores one half or more; a null text is scored like an empty one."""
+    score = quality.quality_scorer(docs, load(spark, sf_dir, "labels"))
+    return docs.where(score("text") >= 0.5)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier scores below one half."""
-    scores = toxicity.toxicity_scores(docs, load(spark, sf_dir, "labels"))
-    return _keep(docs, scores.where("score < 0.5"))
+    score = toxicity.toxicity_scorer(docs, load(spark, sf_dir, "labels"))
+    return docs.where(score("text") < 0.5)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Of equal texts the row with the largest doc_id; of whole-row repeats one."""
+    return exact_dedup.distinct_rows(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id."""
-    classes = ngram_join.ngram_classes(docs)
-    return _keep(docs, classes.where("doc_id <=> component_id"))
+    """Of each class of near copies the row with the smallest doc_id."""
+    return ngram_join.one_of_each_class(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
