@@ -51,6 +51,30 @@ def test_each_stage_does_its_part(spark, folder):
     assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_are_decided_one_by_one(spark, folder):
+    path, texts = folder
+    some = list(texts.values())
+    toxic = next(t for t in some if "idiot" in t)
+    clean = [t for t in some if not any(w in t for w in ("idiot", "scum", "zurk")) and t.capitalize() == t and len(t) < 150][:3]
+    rows = [(None, toxic), (None, clean[0]), (None, clean[0]), (7, clean[1]), (7, clean[1]), (7, toxic), (8, clean[1]), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in rows], COLUMNS)
+    got = {name: sorted(map(str, ((r.doc_id, r.text) for r in stage(spark, docs, path).collect()))) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert str((7, toxic)) not in got["toxicity"] and str((None, toxic)) not in got["toxicity"]
+    assert str((7, clean[1])) in got["toxicity"] and str((None, clean[0])) in got["toxicity"]
+    assert len(got["exact_dedup"]) == 4
+    assert got["exact_dedup"] == sorted(map(str, ((7, toxic), (None, clean[0]), (8, clean[1]), (9, ""))))
+    assert got["ngram_jaccard_join"] == sorted(map(str, ((7, toxic), (None, clean[0]), (7, clean[1]), (None, None), (9, ""))))
+
+
+def test_empty_tables(spark, folder):
+    docs = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder[0]).collect() == [], name
+
+
 def test_run_gives_the_last_stage(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0]).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
