@@ -38,8 +38,9 @@ PERCENT = 80
 #: how many of the commonest shingles are moved to the end of the order; any
 #: order gives right results, this bounds the table that every task holds
 COMMON = 1 << 18
-#: documents are verified in blocks of about this many shingles
+#: documents are verified in blocks of about this many shingles and documents at most
 BLOCK_SHINGLES = 1_000_000
+BLOCK_DOCS = 2000
 #: lists up to this length are verified as pairs, longer ones in tiles of at most
 #: TILE members and about TILE_SHINGLES shingles
 SHORT = 32
@@ -446,10 +447,10 @@ def _verify(
     """
     pairs = scratch.store(pairs, "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    volume = involved.join(sizes.select("node", "size"), "node").agg(F.sum("size").alias("n")).first().n
-    if not volume:
+    held = involved.join(sizes.select("node", "size"), "node").agg(F.sum("size").alias("volume"), F.count("*").alias("n")).first()
+    if not held.n:
         return None
-    blocks = -(-volume // BLOCK_SHINGLES)
+    blocks = max(-(-held.volume // BLOCK_SHINGLES), -(-held.n // BLOCK_DOCS))
 
     def block(c: str) -> F.Column:
         return F.pmod(F.xxhash64(c), F.lit(blocks))
