@@ -19,6 +19,7 @@ unit vectors' coordinates lie within -1..1.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objtrail.operators.components import connected_components
-from objtrail.llm.shared import Stored
+from objtrail.llm.shared import Scratch, store
 
 COSINE = 0.9
 BLOCKS = 4
@@ -37,8 +38,9 @@ _SLACK = 1e-4
 _SEED = 20240607
 
 
+@lru_cache(maxsize=8)
 def rotation(width: int) -> np.ndarray:
-    """A fixed random rotation of that many dimensions."""
+    """A fixed random rotation of that many dimensions; a worker process makes it once."""
     q, r = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((width, width)))
     return q * np.sign(np.diag(r))
 
@@ -179,20 +181,21 @@ def embedding_classes(
     bad = F.exists("raw", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = (F.size("raw") > 0) & ~bad & F.exists("raw", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    nodes = Stored(
+    scratch = Scratch()
+    nodes = scratch.store(
         rows.where("usable")
         .groupBy("raw")
         .agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
         .withColumn("key", F.monotonically_increasing_id()),
         "nodes",
-    ).df
-    strips = Stored(_strips(nodes, cosine, blocks), "strips").df
-    found = Stored(
-        _dealt(strips, tile)
+    )
+    strips = scratch.store(_strips(nodes, cosine, blocks), "strips")
+    found = scratch.store(
+        _dealt(strips, tile, scratch)
         .groupBy("width", "block", "s", "i", "j", "own")
         .applyInArrow(lambda table: _links(table, cosine, blocks), "kind long, a long, b long"),
         "links",
-    ).df
+    )
     label = connected_components(found.where("kind = 1").select("a", "b"))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("partners"))
     placed = (
@@ -203,9 +206,11 @@ def embedding_classes(
             (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).cast("long").alias("n_links"),
         )
     )
-    placed = Stored(placed, "placed").df
+    placed = scratch.store(placed, "placed")
     names = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = Stored(placed.join(names, "component").select("raw", "n_links", "component_id"), "classes").df
+    # all that the result reads besides the vectors
+    known = store(placed.join(names, "component").select("raw", "n_links", "component_id"), "classes")
+    scratch.drop()
     linked = rows.where("usable").join(known, "raw").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
@@ -215,16 +220,16 @@ def embedding_classes(
     )
 
 
-def _dealt(strips: DataFrame, tile: int) -> DataFrame:
+def _dealt(strips: DataFrame, tile: int, scratch: Scratch) -> DataFrame:
     """Every node's copies for the pairs of tiles it takes part in.
 
     Strip s meets itself (own) and strip s + 1.  Pair (s, i, j, own) holds tiles i
     and j of strip s; (s, i, j, not own) holds tile i of strip s and j of strip s + 1.
     """
     at = ["width", "block", "strip"]
-    tiles = Stored(
+    tiles = scratch.store(
         strips.groupBy(*at).agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles")), "tiles"
-    ).df
+    )
     above = tiles.select("width", "block", (F.col("strip") - 1).alias("strip"), F.col("tiles").alias("above"))
     below = tiles.select("width", "block", (F.col("strip") + 1).alias("strip"), F.col("tiles").alias("below"))
     for other in (above, below):
