@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         if mark[0] == 0:
             break
-        new = Stored(_small_star(_large_star(now.df)), "edges")
+        # a round adds no edges, so the count before it bounds the files
+        new = Stored(_small_star(_large_star(now.df)), "edges", mark[0])
         new_mark = _mark(new.df)
         now.drop()
         now = new

@@ -25,11 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: narrow rows that a file of a small table holds
+ROWS_PER_FILE = 250_000
+
+
 class Stored:
-    """A table written to the shared folder, cutting the lineage before it."""
+    """A table written to the shared folder, cutting the lineage before it.
+
+    ``rows``, where a bound of its rows is known, keeps a small table from being
+    spread over a file for every shuffle partition.  It narrows the last stage too, so
+    it is for tables whose last stage is light.
+    """
 
-    def __init__(self, df: DataFrame, label: str) -> None:
+    def __init__(self, df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> None:
         self.spark = df.sparkSession
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.parquet(self.path)
@@ -44,8 +55,8 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    return Stored(df, label).df
+def store(df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    return Stored(df, label, rows, per_file).df
 
 
 class Scratch:
@@ -54,8 +65,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[Stored] = []
 
-    def store(self, df: DataFrame, label: str) -> DataFrame:
-        self.tables.append(Stored(df, label))
+    def store(self, df: DataFrame, label: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
+        self.tables.append(Stored(df, label, rows, per_file))
         return self.tables[-1].df
 
     def drop(self) -> None:
