@@ -12,6 +12,7 @@ from objtrail.operators.normalize import normalized
 from objtrail.operators.report import Report
 from objtrail.operators.shape import require_shape
 from objtrail.operators.validate import validate
+from objtrail.storage import store
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ def build(
     spark: SparkSession | None = None,
     *,
     check_shape: bool = True,
+    store_inputs: bool | None = None,
     event_types: DataFrame | Iterable[object] = (),
     object_types: DataFrame | Iterable[object] = (),
     events: DataFrame | Iterable[object] = (),
@@ -56,12 +58,43 @@ def build(
     Tables come as DataFrames or as iterables of records.  A shape violation
     raises its exception; ``check_shape=False`` saves that job for sources that
     guarantee shapes.
+
+    The rules look at the log as it came: no rule depends on nested order, so the
+    report needs no sorting.  Tables that are not read as they lie (joins, unions,
+    aggregates) are stored once in the shared folder, since the shape rules, the
+    validator and the candidate all read them; ``store_inputs`` says otherwise.
     """
     log = frames(
         spark or SparkSession.getActiveSession(),
         event_types=event_types, object_types=object_types, events=events, objects=objects, e2o=e2o, o2o=o2o,
     )
+    log = settled(log, store_inputs)
     if check_shape:
         require_shape(log)
-    candidate = normalized(log)
-    return BuildResult(candidate, validate(candidate))
+    return BuildResult(normalized(log), validate(log))
+
+
+#: what a plan may hold to be read again at the cost of a scan
+_CHEAP = ("Project", "Filter", "LogicalRelation", "LocalRelation", "Range", "InMemoryRelation", "LogicalRDD", "DataSourceV2ScanRelation")
+
+
+def settled(log: OcelFrames, wanted: bool | None = None) -> OcelFrames:
+    """The log with its computed tables (joins, unions, aggregates) stored in the shared folder.
+
+    The validator alone reads a log ten times; tables that are scans stay as they are.
+    ``wanted`` stores all tables, or none.
+    """
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        return store(df, f"log-{name}") if (_computed(df) if wanted is None else wanted) else df
+
+    return OcelFrames(**{name: one(name, df) for name, df in log.tables()})
+
+
+def _computed(df: DataFrame) -> bool:
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _CHEAP:
+        if node.children().isEmpty():
+            return False
+        node = node.children().head()
+    return True

@@ -8,6 +8,8 @@ collected or written.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,37 +18,41 @@ from objtrail.functions.values import time_key, value_key
 from objtrail.storage import store
 
 
-def _sorted(items: Column, *keys) -> Column:
-    """An array sorted by keys of its elements, elements unchanged."""
-    keyed = F.transform(items, lambda a: F.struct(*[k(a).alias(f"k{i}") for i, k in enumerate(keys)], a.alias("item")))
-
-    def compare(x: Column, y: Column) -> Column:
-        order = F.lit(0)
-        for i in reversed(range(len(keys))):
-            a, b = x[f"k{i}"], y[f"k{i}"]
-            order = F.when(a < b, -1).when(a > b, 1).otherwise(order)
-        return order
+def _sorted(items: Column, own: Callable[[Column], list[Column]], key: Callable[[Column], Column]) -> Column:
+    """An array sorted by ``own`` fields of its elements, then by ``key``, elements unchanged.
 
-    return F.transform(F.array_sort(keyed, compare), lambda x: x["item"])
+    Shape rules make the own fields unique within a row, so the natural order of structs
+    does; only where they repeat is the key, which costs more, computed at all.
+    """
+    plain = F.sort_array(F.transform(items, lambda a: F.struct(*[c.alias(f"k{i}") for i, c in enumerate(own(a))], a.alias("item"))))
+    n = len(own(F.lit(None)))
+    head = lambda x: F.struct(*[x[f"k{i}"].alias(f"k{i}") for i in range(n)])
+    repeats = F.exists(
+        F.zip_with(plain, F.slice(plain, 2, F.size(plain)), lambda x, y: y.isNotNull() & (head(x) == head(y))),
+        lambda same: F.coalesce(same, F.lit(False)),
+    )
+    keyed = F.sort_array(
+        F.transform(items, lambda a: F.struct(*[c.alias(f"k{i}") for i, c in enumerate(own(a))], key(a).alias("key"), a.alias("item")))
+    )
+    return F.when(repeats, F.transform(keyed, lambda x: x["item"])).otherwise(F.transform(plain, lambda x: x["item"]))
 
 
 def sort_type_attributes(types: DataFrame) -> DataFrame:
     """Declarations by (name, type)."""
-    return types.withColumn("attributes", F.array_sort("attributes"))
+    return types.withColumn("attributes", F.sort_array("attributes"))
 
 
 def sort_event_attributes(events: DataFrame) -> DataFrame:
     """Attributes by (name, value key)."""
     return events.withColumn(
-        "attributes", _sorted(F.col("attributes"), lambda a: a["name"], lambda a: value_key(a["value"]))
+        "attributes", _sorted(F.col("attributes"), lambda a: [a["name"]], lambda a: value_key(a["value"]))
     )
 
 
 def sort_object_history(objects: DataFrame) -> DataFrame:
     """Assignments by (name, time, value key)."""
     return objects.withColumn(
-        "attributes",
-        _sorted(F.col("attributes"), lambda a: a["name"], lambda a: time_key(a["time"]), lambda a: value_key(a["value"])),
+        "attributes", _sorted(F.col("attributes"), lambda a: [a["name"], a["time"]], lambda a: value_key(a["value"]))
     )
 
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from objtrail.frames import OcelFrames
 from objtrail.operators.report import Report
 from objtrail.operators.results import COMPUTED, UNAVAILABLE
-from objtrail.operators.validate import duplicate_relations, relation_issues
-from objtrail.storage import store
+from objtrail.operators.validate import counted_ids, duplicate_relations, relation_issues
+from objtrail.storage import Scratch, store
 
 _ORDER = ("time", "event")
 
@@ -57,9 +57,10 @@ def traces(log: OcelFrames, object_type: str | None = None) -> DataFrame:
 
 def relation_integrity(log: OcelFrames) -> Report:
     """Dangling ends and repeated relations."""
+    events, objects = counted_ids(log.events), counted_ids(log.objects)
     parts = [
-        relation_issues(log.e2o, "e2o", (("event", "event", log.events), ("object", "object", log.objects))),
-        relation_issues(log.o2o, "o2o", (("source", "source object", log.objects), ("target", "target object", log.objects))),
+        relation_issues(log.e2o, "e2o", (("event", "event", events), ("object", "object", objects))),
+        relation_issues(log.o2o, "o2o", (("source", "source object", objects), ("target", "target object", objects))),
         duplicate_relations(log.e2o, "e2o"),
         duplicate_relations(log.o2o, "o2o"),
     ]
@@ -112,18 +113,15 @@ def lifecycle_completeness(log: OcelFrames, required: Sequence[str], object_type
 
     An object without any event is unavailable: nothing was observed of it.
     """
-    seen = (
-        project_events(log, object_type)
-        .where(F.col("activity").isin(*required))
-        .groupBy("object")
-        .agg(F.collect_set("activity").alias("seen"))
+    # one aggregate serves both: which required activities, and whether any event at all
+    seen = project_events(log, object_type).groupBy("object").agg(
+        F.collect_set(F.when(F.col("activity").isin(*required), F.col("activity"))).alias("seen"), F.lit(True).alias("_any")
     )
-    any_event = project_events(log, object_type).select("object").distinct().withColumn("_any", F.lit(True))
     objects = log.objects.where(F.col("type") == object_type).select(F.col("id").alias("object")).distinct()
     wanted = F.array(*map(F.lit, sorted(required)))
     seen_set = F.coalesce("seen", F.array().cast("array<string>"))
     there = F.col("_any").isNotNull()
-    joined = objects.join(seen, "object", "left").join(any_event, "object", "left")
+    joined = objects.join(seen, "object", "left")
     return joined.select(
         "object",
         F.when(there, F.size(seen_set).cast("long")).alias("observed"),
@@ -148,7 +146,9 @@ def lineage(log: OcelFrames, seeds: DataFrame, depth: int, directed: bool = Fals
     ).unionByName(link("source", "object", "target", "object", log.o2o))
     if not directed:
         links = links.unionByName(link("target", "object", "source", "object", log.o2o))
-    links = links.distinct()
+    # dealt once by the node that a step starts from, and read by every step
+    scratch = Scratch()
+    links = scratch.store(links.distinct().repartition("kind", "node"), "links")
     reached = seeds.select("seed", F.lit("object").alias("kind"), F.col("seed").alias("node"), F.lit(0).cast("long").alias("distance")).distinct()
     frontier = reached
     for step in range(1, depth + 1):
@@ -163,6 +163,7 @@ def lineage(log: OcelFrames, seeds: DataFrame, depth: int, directed: bool = Fals
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+    scratch.drop()
     return reached
 
 

@@ -94,13 +94,10 @@ def _attributes(table: str) -> list[Column]:
     return [*rules, _found(twice, "ValueError", f"{record} {what}", "must not contain duplicates")]
 
 
-def shape_violations(log: OcelFrames) -> DataFrame:
-    """table, field, error_class, message: one row per row and rule broken.
-
-    A narrow pass over each table, without any shuffle.
-    """
+def _numbered_violations(log: OcelFrames) -> DataFrame:
+    """rank (table, rule), table, field, error_class, message: one row per row and rule broken."""
     parts = []
-    for table, df in log.tables():
+    for number, (table, df) in enumerate(log.tables()):
         record = RECORD_OF[table]
         rules = [r for c in _TEXTS[table] for r in _text(F.col(c), f"{record}.{c}")]
         if table in ("e2o", "o2o"):
@@ -109,12 +106,22 @@ def shape_violations(log: OcelFrames) -> DataFrame:
             rules.append(_found(F.col("time").isNull(), "TypeError", "Event.time", "must be a datetime"))
         if table in _ITEM:
             rules += _attributes(table)
-        parts.append(df.select(F.explode(F.concat(*rules)).alias("v")).select(F.lit(table).alias("table"), "v.*"))
+        ranked = [F.transform(r, lambda x, k=k: F.struct(F.lit(100 * number + k).alias("rank"), x.alias("v"))) for k, r in enumerate(rules)]
+        parts.append(df.select(F.explode(F.concat(*ranked)).alias("x")).select("x.rank", F.lit(table).alias("table"), "x.v.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def shape_violations(log: OcelFrames) -> DataFrame:
+    """table, field, error_class, message: one row per row and rule broken.
+
+    A narrow pass over each table, without any shuffle.
+    """
+    return _numbered_violations(log).drop("rank")
+
+
 def require_shape(log: OcelFrames) -> None:
-    """Raise the first violation as the exception it names."""
-    bad = shape_violations(log).limit(1).collect()
-    if bad:
-        raise {"TypeError": TypeError, "ValueError": ValueError}[bad[0].error_class](bad[0].message)
+    """Raise the first violation, by table and rule, as the exception it names."""
+    first = F.min(F.struct("rank", "error_class", "message")).alias("first")
+    bad = _numbered_violations(log).agg(first).first().first
+    if bad is not None:
+        raise {"TypeError": TypeError, "ValueError": ValueError}[bad.error_class](bad.message)

@@ -54,9 +54,15 @@ def duplicate_types(types: DataFrame, kind: str) -> DataFrame:
     return _one(_repeated(types, "name"), issue(f"duplicate_{kind}_type", _say(text, name), f"{kind}_type", name))
 
 
-def duplicate_ids(entities: DataFrame, kind: str) -> DataFrame:
+def counted_ids(entities: DataFrame) -> DataFrame:
+    """id, n: the distinct ids of a table; the rules that need them share one exchange."""
+    return entities.groupBy("id").agg(F.count("*").alias("n"))
+
+
+def duplicate_ids(ids: DataFrame, kind: str) -> DataFrame:
+    """Of counted ids, those that occur more than once."""
     text = f"{kind.capitalize()} id '{{}}' occurs more than once."
-    return _one(_repeated(entities, "id"), issue(f"duplicate_{kind}_id", _say(text, F.col("id")), kind, F.col("id")))
+    return _one(ids.where("n > 1"), issue(f"duplicate_{kind}_id", _say(text, F.col("id")), kind, F.col("id")))
 
 
 def entity_issues(entities: DataFrame, types: DataFrame, kind: str) -> DataFrame:
@@ -112,16 +118,17 @@ def entity_issues(entities: DataFrame, types: DataFrame, kind: str) -> DataFrame
 
 
 def relation_issues(relations: DataFrame, kind: str, ends: tuple[tuple[str, str, DataFrame], ...]) -> DataFrame:
-    """Dangling ends of each relation row; both may dangle.  ends: column, noun, ids."""
+    """Dangling ends of each relation row; both may dangle.  ends: column, noun, counted ids."""
     joined, place = relations, (kind, *(F.col(c) for c, _, _ in ends), F.col("qualifier"))
     found = []
     for column, noun, ids in ends:
-        known = ids.select(F.col("id").alias(f"_{column}")).distinct()
+        # the count tells who is there: without it the planner would build another exchange than that of the duplicates
+        known = ids.select(F.col("id").alias(f"_{column}"), F.col("n").alias(f"_n_{column}"))
         joined = joined.join(known, F.col(column) == F.col(f"_{column}"), "left")
         text = f"{kind.upper()} refers to unknown {noun} '{{}}'."
         found.append(
             _when(
-                F.col(f"_{column}").isNull(),
+                F.col(f"_n_{column}").isNull(),
                 issue(f"dangling_{kind}_{column}", _say(text, F.col(column)), *place),
             )
         )
@@ -136,18 +143,19 @@ def duplicate_relations(relations: DataFrame, kind: str) -> DataFrame:
 
 def rules(log: OcelFrames) -> dict[str, DataFrame]:
     """The passes of the validator, by a name of each; together they are the report."""
+    event_ids, object_ids = counted_ids(log.events), counted_ids(log.objects)
     return {
         "event_types": duplicate_types(log.event_types, "event"),
         "object_types": duplicate_types(log.object_types, "object"),
-        "event_ids": duplicate_ids(log.events, "event"),
-        "object_ids": duplicate_ids(log.objects, "object"),
+        "event_ids": duplicate_ids(event_ids, "event"),
+        "object_ids": duplicate_ids(object_ids, "object"),
         "events": entity_issues(log.events, log.event_types, "event"),
         "objects": entity_issues(log.objects, log.object_types, "object"),
         "e2o": relation_issues(
-            log.e2o, "e2o", (("event", "event", log.events), ("object", "object", log.objects))
+            log.e2o, "e2o", (("event", "event", event_ids), ("object", "object", object_ids))
         ),
         "o2o": relation_issues(
-            log.o2o, "o2o", (("source", "source object", log.objects), ("target", "target object", log.objects))
+            log.o2o, "o2o", (("source", "source object", object_ids), ("target", "target object", object_ids))
         ),
         "e2o_rows": duplicate_relations(log.e2o, "e2o"),
         "o2o_rows": duplicate_relations(log.o2o, "o2o"),

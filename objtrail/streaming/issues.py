@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from objtrail.operators.validate import entity_issues, relation_issues
+from objtrail.operators.validate import counted_ids, entity_issues, relation_issues
 
 
 def stream_entity_issues(entities: DataFrame, types: DataFrame, kind: str) -> DataFrame:
@@ -22,7 +22,7 @@ def stream_entity_issues(entities: DataFrame, types: DataFrame, kind: str) -> Da
 
 def stream_relation_issues(relations: DataFrame, kind: str, ends: tuple[tuple[str, str, DataFrame], ...]) -> DataFrame:
     """Dangling ends of streaming relations; ends: column, noun, table of ids."""
-    return relation_issues(relations, kind, ends)
+    return relation_issues(relations, kind, tuple((column, noun, counted_ids(ids)) for column, noun, ids in ends))
 
 
 def write_issues(issues: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
