@@ -24,6 +24,8 @@ GROWTH = 16
 #: a group with more than one of this many parts of a round's rows is hot; so there are no more hot groups than that
 HOT = 1000
 SALTS = 64
+#: texts a file of undecided rows holds
+BODIES_PER_FILE = 5000
 
 
 def exact_dedup(
@@ -83,20 +85,22 @@ def distinct_rows(
 def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataFrame:
     """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body)."""
     before, bodies, done = 0, rows.withColumn("group", F.lit(0).cast("long")), None
+    count = rows.count()
     while True:
-        table = scratch.store(_split(bodies, before, depth, scratch), "radix")
+        table = scratch.store(_split(bodies, count, before, depth, scratch), "radix", count)
         part = table.where("group IS NULL").drop("group")
         done = part if done is None else done.unionByName(part)
         active = table.where("group IS NOT NULL").select("row", "group")
-        if active.isEmpty():
+        count = active.count()
+        if not count:
             return done
-        bodies = scratch.store(bodies.drop("group").join(active, "row"), "bodies")
+        bodies = scratch.store(bodies.drop("group").join(active, "row"), "bodies", count, BODIES_PER_FILE)
         before, depth = depth, depth * growth
 
 
-def _split(bodies: DataFrame, before: int, depth: int, scratch: Scratch) -> DataFrame:
-    """One radix round over the bytes before..depth: ``group`` is null for decided rows,
-    else the number of the group that goes on, the smallest of its rows."""
+def _split(bodies: DataFrame, count: int, before: int, depth: int, scratch: Scratch) -> DataFrame:
+    """One radix round of ``count`` rows over the bytes before..depth: ``group`` is null for
+    decided rows, else the number of the group that goes on, the smallest of its rows."""
     keyed = bodies.select(
         "row",
         "doc_id",
@@ -112,9 +116,9 @@ def _split(bodies: DataFrame, before: int, depth: int, scratch: Scratch) -> Data
         .where("n > 1")
         .withColumn("route", F.xxhash64("key"))
     )
-    shared = scratch.store(shared, "shared")
+    shared = scratch.store(shared, "shared", count)
     # no more than HOT routes: each holds its part of the rows
-    hot = [r.route for r in shared.select("route", "n").where(F.col("n") > bodies.count() / HOT).collect()]
+    hot = [r.route for r in shared.select("route", "n").where(F.col("n") > count / HOT).collect()]
     salted = F.xxhash64("key").isin(hot) if hot else F.lit(False)
     keyed = keyed.withColumn("salt", F.when(salted, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int"))
     several = F.col("route").isin(hot) if hot else F.lit(False)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objtrail.operators.components import connected_components
-from objtrail.llm.shared import Scratch, small_or_shuffled, store
+from objtrail.llm.shared import ROWS_PER_FILE, Scratch, small_or_shuffled, store
 
 WORDS = 5
 PERCENT = 80
@@ -47,7 +47,7 @@ SHORT = 32
 TILE = 2000
 TILE_SHINGLES = 1_000_000
 #: rows of 16 bytes
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
 #: shingles held while counting, and texts turned into Python strings at a time
 _COUNTED = 1_000_000
 _TEXTS = 512
@@ -251,8 +251,8 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _open_lists(lists: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (token, pos, size, node, component, total) of lists that hold several components.
+def _open_lists(lists: DataFrame, nodes: DataFrame, count: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Members (token, pos, size, node, component, total) of lists that hold several components, and their number.
 
     ``lists`` has the groups of every list (token, pos, size, lead), ``nodes`` the
     members of every group with their components.  Whether a list is open is found
@@ -262,7 +262,7 @@ def _open_lists(lists: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFra
         F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.count("*").alias("n"), F.first("size").alias("size"),
     )
-    ranges = scratch.store(ranges, "ranges")
+    ranges = scratch.store(ranges, "ranges", count)
     # a group of several sets is a list of its own
     own = ranges.where("n > 1 AND low < high").select(
         F.xxhash64("g1", "g2").alias("token"), F.lit(0).cast("long").alias("pos"), "size", "lead"
@@ -275,12 +275,12 @@ def _open_lists(lists: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFra
         .where("low < high")
         .select("token", "total")
     )
-    several = scratch.store(several, "several")
+    several = scratch.store(several, "several", lists.count())
+    held = several.agg(F.sum("total").alias("n")).first().n or 0
     members = nodes.join(ranges.select("g1", "g2", "lead"), ["g1", "g2"]).select("lead", "node", "component")
     open_ = listed.join(small_or_shuffled(several, several.count(), BROADCAST_ROWS), "token")
-    return scratch.store(
-        open_.join(members, "lead").select("token", "pos", "size", "node", "component", "total"), "open"
-    )
+    members = open_.join(members, "lead").select("token", "pos", "size", "node", "component", "total")
+    return scratch.store(members, "open", held), held
 
 
 def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _units(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _units(entries: DataFrame, count: int, percent: int, scratch: Scratch) -> DataFrame:
     """Members (unit, node a, component b) of pairs of tiles of long lists that have a partner there.
 
     Sizes of linked sets lie in the same band or in two that follow one another.
@@ -338,8 +338,8 @@ def _units(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     band = F.floor(F.log("size") / (np.log(100 / percent) + 1e-9)).cast("long")
     banded = entries.withColumn("band", band)
     at = ["token", "band"]
-    count = F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)
-    tiles = scratch.store(banded.groupBy(*at).agg(F.ceil(count).cast("long").alias("tiles")), "tiles")
+    weight = F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)
+    tiles = scratch.store(banded.groupBy(*at).agg(F.ceil(weight).cast("long").alias("tiles")), "tiles", count)
     rows = tiles.count()
     for name, step in (("above", 1), ("below", -1)):
         other = tiles.select("token", (F.col("band") - step).alias("band"), F.col("tiles").alias(name))
@@ -364,7 +364,8 @@ def _units(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     dealt = dealt.select("size", "pos", "node", "component", F.explode(copies).alias("u")).select(
         "u.*", "size", "pos", "node", "component"
     )
-    return dealt.groupBy("unit").applyInArrow(lambda t: _with_partners(t, percent), "unit long, a long, b long")
+    found = dealt.groupBy("unit").applyInArrow(lambda t: _with_partners(t, percent), "unit long, a long, b long")
+    return found.repartition(_files(count))
 
 
 def _with_partners(table: pa.Table, percent: int) -> pa.Table:
@@ -427,7 +428,11 @@ def _links_of_unit(table: pa.Table, words: int, percent: int) -> pa.Table:
     return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _verify_units(units: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _files(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
+def _verify_units(units: DataFrame, count: int, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges of the units (unit, node a, component b); each ships its members' texts once."""
     needed = units.select("unit", F.col("a").alias("doc_id"), "b")
     texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id")
@@ -435,17 +440,19 @@ def _verify_units(units: DataFrame, docs: DataFrame, words: int, percent: int) -
         texts.select("unit", F.col("doc_id").alias("a"), "b", "text")
         .groupBy("unit")
         .applyInArrow(lambda table: _links_of_unit(table, words, percent), "a long, b long")
+        .repartition(_files(count))
     )
 
 
 def _verify(
-    pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
+    pairs: DataFrame, bound: int, sizes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
 ) -> DataFrame | None:
     """Edges that connect what the similar pairs among ``pairs`` connect; None without pairs.
 
-    ``sizes`` (node, size) says how much the texts of a pair weigh.
+    ``pairs`` has no more than ``bound`` rows; ``sizes`` (node, size) says how much the
+    texts of a pair weigh.
     """
-    pairs = scratch.store(pairs, "pairs")
+    pairs = scratch.store(pairs, "pairs", bound)
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = involved.join(sizes.select("node", "size"), "node").agg(F.sum("size").alias("volume"), F.count("*").alias("n")).first()
     if not held.n:
@@ -457,9 +464,8 @@ def _verify(
 
     key = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
     keyed = pairs.withColumn("key", key)
-    needed = scratch.store(
-        keyed.select("key", F.col("a").alias("doc_id")).union(keyed.select("key", F.col("b"))).distinct(), "needed"
-    )
+    ends = keyed.select("key", F.col("a").alias("doc_id")).union(keyed.select("key", F.col("b")))
+    needed = scratch.store(ends.distinct(), "needed", 2 * bound)
     texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id").select("key", "doc_id", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -485,7 +491,9 @@ def _verify(
                 found.append((s, t))
         return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], schema=schema)
 
-    return keyed.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(check, "a long, b long")
+    # the forest of a block pair has fewer edges than documents; few files hold them all
+    found = keyed.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(check, "a long, b long")
+    return found.repartition(_files(held.n))
 
 
 def ngram_classes(
@@ -505,6 +513,7 @@ def ngram_classes(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch()
     prefixes = scratch.store(_prefixes(docs, words, percent), "prefixes")
+    count = prefixes.count()
     filled = prefixes.where("size > 0 AND doc_id IS NOT NULL")
     # copies of a set are one node; its smallest id stands for it
     nodes = scratch.store(
@@ -512,6 +521,7 @@ def ngram_classes(
             F.min("doc_id").alias("node"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("size").alias("size")
         ),
         "nodes",
+        count,
     )
     groups = filled.groupBy("g1", "g2").agg(
         F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
@@ -521,31 +531,31 @@ def ngram_classes(
     )
     lists = scratch.store(_stars(entries, percent), "lists")
     edges = _same_id(filled, nodes)
-    first = _verify(lists.where("kind = 1").select("a", "b").distinct(), nodes, docs, words, percent, scratch)
-    edges = scratch.store(edges if first is None else edges.unionByName(first), "links")
+    stars = lists.where("kind = 1").select("a", "b")
+    first = _verify(stars.distinct(), stars.count(), nodes, docs, words, percent, scratch)
+    edges = scratch.store(edges if first is None else edges.unionByName(first), "links", count)
     label = connected_components(edges)
 
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     listed = lists.where("kind = 0").select("token", "pos", "size", F.col("a").alias("lead"))
-    left = _open_lists(listed, scratch.store(placed, "placed"), scratch)
-    more = [
-        _verify(_short_pairs(left.where(F.col("total") <= SHORT), percent).distinct(), nodes, docs, words, percent, scratch)
-    ]
-    units = scratch.store(_units(left.where(F.col("total") > SHORT), percent, scratch), "units")
+    left, held = _open_lists(listed, scratch.store(placed, "placed", count), count, scratch)
+    short = _short_pairs(left.where(F.col("total") <= SHORT), percent).distinct()
+    more = [_verify(short, held * SHORT, nodes, docs, words, percent, scratch)]
+    units = scratch.store(_units(left.where(F.col("total") > SHORT), held, percent, scratch), "units")
     if not units.isEmpty():
-        more.append(_verify_units(units, docs, words, percent))
+        more.append(_verify_units(units, count, docs, words, percent))
     for found in more:
         if found is not None:
             edges = edges.unionByName(found)
     if any(found is not None for found in more):
-        label = connected_components(scratch.store(edges, "links"))
+        label = connected_components(scratch.store(edges, "links", count))
 
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")
     )
     # all that the result reads: narrow rows
-    of_node = store(of_node, "classes")
-    sets = store(prefixes.select("doc_id", "size", "s1", "s2"), "sets")
+    of_node = store(of_node, "classes", count)
+    sets = store(prefixes.select("doc_id", "size", "s1", "s2"), "sets", count)
     scratch.drop()
     joined = sets.join(of_node, ["s1", "s2"], "left")
     own = F.when(F.col("size") > 0, F.col("component"))
@@ -569,7 +579,7 @@ def one_of_each_class(
     classes = classes.withColumnsRenamed({"doc_id": "_row", "component_id": "_class"})
     # most rows are alone in their class
     several = classes.where("_row <> _class").select("_class").distinct()
-    members = scratch.store(classes.join(several, "_class"), "members")
+    members = scratch.store(classes.join(several, "_class"), "members", numbered.count())
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
     first = numbered.select("_row", id_col).join(members, "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
     gone = members.select("_row").join(first.select("_row"), "_row", "left_anti")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.storage import Scratch, Stored, shared_folder, store
+from objtrail.storage import ROWS_PER_FILE, Scratch, Stored, shared_folder, store
 
-__all__ = ["Scratch", "Stored", "labelled_sample", "load", "shared_folder", "small_or_shuffled", "store"]
+__all__ = ["ROWS_PER_FILE", "Scratch", "Stored", "labelled_sample", "load", "shared_folder", "small_or_shuffled", "store"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
