@@ -1,8 +1,9 @@
 """What users of the engine import."""
 
 from objtrail.frames import OcelFrames, frames
-from objtrail.operators.build import BuildResult, build
+from objtrail.operators.build import BuildResult, build, settled
 from objtrail.operators.findings import Plan, analyze, compute, interpret, process_state
+from objtrail.operators.normalize import ordered, records
 from objtrail.operators.report import Issue, Level, Report
 from objtrail.operators.results import ComputationResult
 from objtrail.operators.shape import require_shape, shape_violations
@@ -10,6 +11,7 @@ from objtrail.operators.validate import validate
 from objtrail.records import (
     E2O,
     O2O,
+    OCEL,
     Attribute,
     Event,
     EventAttr,
@@ -17,6 +19,7 @@ from objtrail.records import (
     Object,
     ObjectAttr,
     ObjectType,
+    Value,
     ValueType,
 )
 from objtrail.schema import OCEL_EPOCH, configure
@@ -25,7 +28,7 @@ from objtrail.sources.exchange import ImportResult, read_json, read_sqlite, read
 
 __all__ = [
     "OCEL_EPOCH", "Attribute", "BuildResult", "ComputationResult", "E2O", "Event", "EventAttr", "EventType", "ImportResult", "Issue", "Level",
-    "O2O", "Object", "ObjectAttr", "ObjectType", "OcelFrames", "Plan", "Report", "ValueType", "analyze", "build",
-    "compute", "configure", "frames", "interpret", "process_state", "read_bundle", "read_csv", "read_json", "read_sqlite",
-    "read_xml", "require_shape", "shape_violations", "validate", "write_bundle", "write_csv",
+    "O2O", "OCEL", "Object", "ObjectAttr", "ObjectType", "OcelFrames", "Plan", "Report", "Value", "ValueType", "analyze", "build",
+    "compute", "configure", "frames", "interpret", "ordered", "process_state", "read_bundle", "read_csv", "read_json", "read_sqlite",
+    "read_xml", "records", "require_shape", "settled", "shape_violations", "validate", "write_bundle", "write_csv",
 ]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from objtrail.frames import OcelFrames
 from objtrail.functions.values import time_key, value_key
+from objtrail.records import OCEL, as_record
 from objtrail.storage import store
 
 
@@ -91,6 +92,17 @@ def ordered(df: DataFrame, table: str) -> DataFrame:
     return df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]).orderBy(*names).drop(*names)
 
 
+def records(log: OcelFrames, limit: int = 100_000) -> OCEL:
+    """A small log as records, normalised and in canonical order; more than ``limit`` rows are refused."""
+    found = {}
+    for table, df in normalized(log).tables():
+        rows = ordered(df, table).limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"{table} has more than {limit} rows; read it as a DataFrame")
+        found[table] = tuple(as_record(table, row) for row in rows)
+    return OCEL(**found)
+
+
 def numbered(df: DataFrame, table: str) -> DataFrame:
     """``ord``: each row's place (from 1) in the canonical order, without one task for all.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from objtrail.records import _string, _text
+from objtrail.records import _text
 from objtrail.schema import ISSUE, plain
 
 
@@ -83,9 +84,17 @@ class Report:
         """Issues per code; an addition of this engine."""
         return self.issues.groupBy("code").agg(F.count("*").alias("n"))
 
-    def collect(self) -> tuple[Issue, ...]:
-        """All issues in order; for small reports."""
-        return tuple(Issue(r.code, r.message, Level(r.level), tuple(r.at)) for r in self.ordered().collect())
+    def collect(self, limit: int = 100_000) -> tuple[Issue, ...]:
+        """All issues in order; a report of more than ``limit`` is refused, ``iterate`` reads those."""
+        rows = self.ordered().limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"the report has more than {limit} issues")
+        return tuple(map(_issue, rows))
 
+    def iterate(self) -> Iterator[Issue]:
+        """All issues in order, a partition at a time."""
+        return map(_issue, self.ordered().toLocalIterator())
 
-__all__ = ["Issue", "Level", "Report", "issue", "_string"]
+
+def _issue(row: Row) -> Issue:
+    return Issue(row.code, row.message, Level(row.level), tuple(row.at))

@@ -8,13 +8,15 @@ duplicates never multiply issues.
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from objtrail.frames import OcelFrames
+from objtrail.frames import OcelFrames, frames
 from objtrail.operators.report import Report, issue
+from objtrail.records import OCEL
 
 #: declarations up to this number are broadcast; more are joined by a shuffle
 BROADCAST_TYPES = 100_000
@@ -162,8 +164,10 @@ def rules(log: OcelFrames) -> dict[str, DataFrame]:
     }
 
 
-def validate(log: OcelFrames) -> Report:
-    """All issues of a log, as a multiset; the log is not changed."""
+def validate(log: OcelFrames | OCEL) -> Report:
+    """All issues of a log, as a multiset; the log, in frames or in records, is not changed."""
+    if isinstance(log, OCEL):
+        log = frames(SparkSession.getActiveSession(), **{f.name: getattr(log, f.name) for f in fields(log)})
     if not isinstance(log, OcelFrames):
         raise TypeError("ocel must be OCEL")
     return Report(reduce(DataFrame.unionByName, rules(log).values()))

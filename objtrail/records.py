@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
-from datetime import datetime
+from datetime import datetime, timezone
 from decimal import Decimal
 from enum import Enum
 from math import isfinite
 from typing import Any
 
 
+#: what an attribute may hold
+Value = str | datetime | int | float | bool
+
+
 class ValueType(str, Enum):
     """Primitive attribute types."""
 
@@ -111,13 +115,13 @@ class ObjectType(_Checked):
 @dataclass(frozen=True, slots=True)
 class EventAttr(_Checked):
     name: str = _is(_text)
-    value: str | datetime | int | float | bool = _is(_value)
+    value: Value = _is(_value)
 
 
 @dataclass(frozen=True, slots=True)
 class ObjectAttr(_Checked):
     name: str = _is(_text)
-    value: str | datetime | int | float | bool = _is(_value)
+    value: Value = _is(_value)
     time: datetime = _is(_instant)
 
 
@@ -152,6 +156,18 @@ class O2O(_Checked):
     qualifier: str = _is(_string)
 
 
+@dataclass(frozen=True, slots=True)
+class OCEL(_Checked):
+    """A small log as records, in the order given."""
+
+    event_types: tuple[EventType, ...] = _is(_many(EventType), default=())
+    object_types: tuple[ObjectType, ...] = _is(_many(ObjectType), default=())
+    events: tuple[Event, ...] = _is(_many(Event), default=())
+    objects: tuple[Object, ...] = _is(_many(Object), default=())
+    e2o: tuple[E2O, ...] = _is(_many(E2O), default=())
+    o2o: tuple[O2O, ...] = _is(_many(O2O), default=())
+
+
 RECORDS = {
     "event_types": EventType,
     "object_types": ObjectType,
@@ -191,3 +207,47 @@ def as_row(record: Any) -> tuple:
         else:
             cells.append(x.value if isinstance(x, Enum) else x)
     return tuple(cells)
+
+
+def untagged(v: Any) -> Value:
+    """The value of a tagged row."""
+    match v.tag:
+        case "time":
+            return _utc(v.t)
+        case "integer":
+            return int(v.i)
+        case "float":
+            return v.f
+        case "boolean":
+            return v.b
+        case _:
+            return v.s
+
+
+def _utc(x: datetime) -> datetime:
+    """An instant as Spark collects it, without a zone in the machine's own, in UTC."""
+    return x.astimezone(timezone.utc)
+
+
+_ITEMS = {"event_types": Attribute, "object_types": Attribute, "events": EventAttr, "objects": ObjectAttr}
+
+
+def as_record(table: str, row: Any) -> Any:
+    """The record of a table's row."""
+
+    def cell(name: str, x: Any) -> Any:
+        match name:
+            case "attributes":
+                kind = _ITEMS[table]
+                return tuple(kind(*[cell(f.name, item[f.name]) for f in fields(kind)]) for item in x)
+            case "value":
+                return untagged(x)
+            case "time":
+                return _utc(x)
+            case "type" if table in ("event_types", "object_types"):
+                return ValueType(x)
+            case _:
+                return x
+
+    kind = RECORDS[table]
+    return kind(*[cell(f.name, row[f.name]) for f in fields(kind)])

@@ -8,6 +8,7 @@ UTC, and that is listed as evidence.
 
 from __future__ import annotations
 
+import os
 import re
 import sqlite3
 from collections.abc import Iterable
@@ -36,6 +37,8 @@ ALIASES = {
     "float": "float", "double": "float", "real": "float", "number": "float",
     "boolean": "boolean", "bool": "boolean",
 }
+#: bytes of a JSON document or SQLite file that is read as one
+MAX_DOCUMENT = 1 << 30
 MODES = ("strict", "recover", "inspect")
 _ZONE = r"(?:[zZ]|[+-]\d{2}:?\d{2})$"
 
@@ -81,7 +84,9 @@ def _types(rows: DataFrame) -> DataFrame:
 
 def _with_types(entities: DataFrame, types: DataFrame, timed: bool) -> DataFrame:
     """Raw attributes (name, value text, time text) as tagged values."""
-    kinds = types.groupBy("name").agg(F.min("attributes").alias("_fields")).withColumnRenamed("name", "_type")
+    # of a type declared twice no declaration is preferred: its values stay strings, and the validator reports the type
+    kinds = types.groupBy(F.col("name").alias("_type")).agg(F.count("*").alias("_n"), F.first("attributes").alias("_fields"))
+    kinds = kinds.select("_type", F.when(F.col("_n") == 1, F.col("_fields")).alias("_fields"))
     kinds = F.broadcast(kinds) if types.count() <= BROADCAST_TYPES else kinds
     joined = entities.join(kinds, entities["type"] == kinds["_type"], "left")
 
@@ -106,7 +111,11 @@ def _assemble(
     event_types: DataFrame, object_types: DataFrame, events: DataFrame, objects: DataFrame, child: str, mode: str,
     corrupt: list[DataFrame],
 ) -> ImportResult:
-    """events, objects: id, type, time text, attributes, relationships."""
+    """events, objects: id, type, time text, attributes, relationships.
+
+    An attribute of an object without a time holds from the epoch on and a relation
+    without a qualifier has an empty one; both are evidence, as are times without a zone.
+    """
     event_types, object_types = _types(event_types), _types(object_types)
     log = OcelFrames(
         event_types=event_types,
@@ -118,11 +127,22 @@ def _assemble(
     )
     unread = events.where(F.col("time").isNotNull() & instant(F.col("time")).isNull())
     naive = events.where(instant(F.col("time")).isNotNull() & ~F.col("time").rlike(_ZONE))
-    lost = [(unread, "unreadable_time"), (events.where("time IS NULL"), "missing_time")]
-    parts = [df.select(F.lit(kind).alias("kind"), F.col("id").alias("subject"), F.col("time").alias("detail")) for df, kind in lost]
-    parts += corrupt
-    noted = naive.select(F.lit("time_without_zone").alias("kind"), F.col("id").alias("subject"), F.col("time").alias("detail"))
-    errors = reduce(DataFrame.unionByName, parts)
+    given = objects.select("id", F.explode("attributes").alias("a")).select("id", F.col("a.name").alias("name"), F.col("a.time").alias("time"))
+    lost = [
+        (unread, "unreadable_time"),
+        (events.where("time IS NULL"), "missing_time"),
+        (given.where(F.col("time").isNotNull() & instant(F.col("time")).isNull()), "unreadable_time"),
+    ]
+    row = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), F.col("id").alias("subject"), detail.alias("detail"))
+    errors = reduce(DataFrame.unionByName, [*[row(df, kind, F.col("time")) for df, kind in lost], *corrupt])
+    # what is read in one way though the source leaves it open
+    noted = row(naive, "time_without_zone", F.col("time"))
+    zoneless = given.where(instant(F.col("time")).isNotNull() & ~F.col("time").rlike(_ZONE))
+    noted = noted.unionByName(row(zoneless, "time_without_zone", F.col("time")))
+    noted = noted.unionByName(row(given.where("time IS NULL"), "attribute_without_time", F.col("name")))
+    for df in (events, objects):
+        bare = df.select("id", F.explode("relationships").alias("r")).where("r.qualifier IS NULL")
+        noted = noted.unionByName(row(bare, "relation_without_qualifier", F.col(f"r.{child}")))
     evidence = errors.unionByName(noted)
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -144,12 +164,26 @@ _JSON = (
 )
 
 
-def read_json(spark: SparkSession, path: str | list[str], mode: str = "strict") -> ImportResult:
-    """JSON documents, each a whole log or a part of one."""
+def _size(spark: SparkSession, path: str | list[str]) -> int:
+    """Bytes of the largest file, from the listing."""
+    listed = spark.read.format("binaryFile").load(path).select("length")
+    return listed.agg(F.max("length").alias("n")).first().n or 0
+
+
+def read_json(spark: SparkSession, path: str | list[str], mode: str = "strict", lines: bool = False) -> ImportResult:
+    """JSON documents, each a whole log or a part of one.
+
+    With ``lines`` every line is a document, so files are split over tasks and a log may
+    have any size: one line may hold one event.  Without, a file is one document and
+    one task's row; files over ``MAX_DOCUMENT`` bytes are refused.
+    """
     configure(spark)
-    # whole texts, parsed by an expression: the file source does not read its corrupt records alone
+    if not lines and (size := _size(spark, path)) > MAX_DOCUMENT:
+        return ImportResult("unsupported", None, None, (f"a document of {size} bytes: write it as lines, one event or object each",))
+    # texts parsed by an expression: the file source does not read its corrupt records alone
     read = F.from_json("value", _JSON, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
-    raw = spark.read.option("wholetext", True).text(path).select(read.alias("d")).select("d.*")
+    texts = spark.read.option("wholetext", not lines).text(path).where("trim(value) <> ''")
+    raw = texts.select(read.alias("d")).select("d.*")
     corrupt = raw.where("_corrupt_record IS NOT NULL").select(
         F.lit("unreadable_document").alias("kind"), F.lit(None).cast("string").alias("subject"), F.col("_corrupt_record").alias("detail")
     )
@@ -158,11 +192,27 @@ def read_json(spark: SparkSession, path: str | list[str], mode: str = "strict")
 
 
 def read_xml(spark: SparkSession, path: str, mode: str = "strict") -> ImportResult:
-    """XML documents; a relation is a ``relationship`` or an ``object`` element."""
+    """XML documents; a relation is a ``relationship`` or an ``object`` element.
+
+    Elements that do not parse, and elements that begin but are not read to their end,
+    are evidence; either makes a strict import invalid.
+    """
     configure(spark)
 
     def rows(tag: str, schema: str) -> DataFrame:
-        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
+        return reader.option("columnNameOfCorruptRecord", "_corrupt_record").schema(f"{schema}, _corrupt_record string").load(path)
+
+    def unread(tag: str, read: DataFrame) -> DataFrame:
+        """Evidence of corrupt elements, and of elements that began but were not read."""
+        text = F.regexp_replace("value", "<!--.*?-->", "")
+        begun = spark.read.text(path).agg(F.sum(F.regexp_count(text, F.lit(f"<{tag}\\s[^>]*?\\b(?:id|name)\\s*="))).alias("n"))
+        counted = read.agg(F.count("*").alias("m"), F.count("_corrupt_record").alias("bad"))
+        both = begun.join(F.broadcast(counted), F.lit(True)).where("coalesce(n, 0) > m - bad")
+        detail = F.concat((F.col("m") - F.col("bad")).cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(f" {tag} elements read"))
+        return both.select(F.lit("unreadable_document").alias("kind"), F.lit(None).cast("string").alias("subject"), detail.alias("detail"))
+
+    corrupt = []
 
     fields = "attributes struct<attribute:array<struct<_name:string,_type:string>>>"
     link = "array<struct<`_object-id`:string,_qualifier:string>>"
@@ -170,13 +220,18 @@ def read_xml(spark: SparkSession, path: str, mode: str = "strict") -> ImportResu
     inside = f"objects struct<relationship:{link},object:{link}>"
 
     def types(tag: str) -> DataFrame:
-        return rows(tag, f"_name string, {fields}").where("_name IS NOT NULL").select(
+        read = rows(tag, f"_name string, {fields}").where("_name IS NOT NULL OR _corrupt_record IS NOT NULL")
+        corrupt.append(unread(tag, read))
+        return read.where("_name IS NOT NULL").select(
             F.col("_name").alias("name"),
             F.transform("attributes.attribute", lambda a: F.struct(a["_name"].alias("name"), a["_type"].alias("type"))).alias("attributes"),
         )
 
     def entities(tag: str, time: Column, timed: bool) -> DataFrame:
-        read = rows(tag, f"_id string, _type string, _time string, {values}, {inside}").where("_id IS NOT NULL")
+        read = rows(tag, f"_id string, _type string, _time string, {values}, {inside}")
+        read = read.where("_id IS NOT NULL OR _corrupt_record IS NOT NULL")
+        corrupt.append(unread(tag, read))
+        read = read.where("_id IS NOT NULL")
         empty = F.array().cast(link)
         links = F.concat(F.coalesce("objects.relationship", empty), F.coalesce("objects.object", empty))
 
@@ -192,18 +247,20 @@ def read_xml(spark: SparkSession, path: str, mode: str = "strict") -> ImportResu
             F.transform(links, lambda r: F.struct(r["_object-id"].alias("objectId"), r["_qualifier"].alias("qualifier"))).alias("relationships"),
         )
 
-    return _assemble(
-        types("event-type"), types("object-type"), entities("event", F.col("_time"), False),
-        entities("object", F.lit(None).cast("string"), True), "objectId", mode, [],
-    )
+    event_types, object_types = types("event-type"), types("object-type")
+    events, objects = entities("event", F.col("_time"), False), entities("object", F.lit(None).cast("string"), True)
+    return _assemble(event_types, object_types, events, objects, "objectId", mode, corrupt)
 
 
 def read_sqlite(spark: SparkSession, path: str, mode: str = "strict") -> ImportResult:
     """A SQLite file, read by the driver alone: for logs that fit there.
 
-    No JDBC driver for it comes with Spark; convert larger logs to a bundle first.
+    No JDBC driver for it comes with Spark; files over ``MAX_DOCUMENT`` bytes are refused,
+    convert such logs to a bundle first.
     """
     configure(spark)
+    if (size := os.path.getsize(path)) > MAX_DOCUMENT:
+        return ImportResult("unsupported", None, None, (f"a file of {size} bytes: convert it to a bundle",))
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         names = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
         needed = {"event", "object", "event_object", "object_object", "event_map_type", "object_map_type"}
@@ -240,7 +297,7 @@ def read_sqlite(spark: SparkSession, path: str, mode: str = "strict") -> ImportR
         def links(table: str, a: str, b: str) -> dict[str, list]:
             found: dict[str, list] = {}
             for x, y, q in db.execute(f"SELECT {a}, {b}, ocel_qualifier FROM {table}").fetchall():
-                found.setdefault(x, []).append((y, q or ""))
+                found.setdefault(x, []).append((y, q))
             return found
 
         (event_types, events), (object_types, objects) = entities("event"), entities("object")

@@ -1,7 +1,11 @@
 import json
 import sqlite3
 
-from objtrail.api import frames, read_bundle, read_csv, read_json, read_sqlite, read_xml, validate, write_bundle, write_csv
+import pytest
+
+from objtrail.api import frames, read_bundle, read_csv, read_json, read_sqlite, read_xml, records, validate, write_bundle, write_csv
+from objtrail.operators.normalize import normalized
+from objtrail.sources import exchange
 from tests.logs import valid_log
 
 
@@ -104,3 +108,70 @@ INSERT INTO object_Order VALUES ('o1', '1970-01-01T00:00:00Z', NULL, 1.5), ('o1'
     with sqlite3.connect(tmp_path / "empty.sqlite") as db:
         db.execute("CREATE TABLE t(x)")
     assert read_sqlite(spark, str(tmp_path / "empty.sqlite")).status == "unsupported"
+
+
+def test_what_a_source_leaves_open_is_evidence(spark, tmp_path):
+    bad = document()
+    del bad["objects"][0]["attributes"][0]["time"]
+    del bad["events"][0]["relationships"][0]["qualifier"]
+    path = tmp_path / "log.json"
+    path.write_text(json.dumps(bad))
+    result = read_json(spark, str(path))
+    assert result.status == "recovered"
+    assert sorted(r.kind for r in result.evidence.collect()) == ["attribute_without_time", "relation_without_qualifier"]
+    bad["objects"][0]["attributes"][0]["time"] = "long ago"
+    path.write_text(json.dumps(bad))
+    assert read_json(spark, str(path)).status == "invalid"
+
+
+def test_a_type_declared_twice_is_not_chosen(spark, tmp_path):
+    bad = document()
+    bad["eventTypes"].append({"name": "place", "attributes": [{"name": "n", "type": "string"}]})
+    path = tmp_path / "log.json"
+    path.write_text(json.dumps(bad))
+    log = read_json(spark, str(path)).log
+    assert {a.value.tag for a in log.events.first().attributes} == {"string"}
+    assert [i.code for i in validate(log).collect()] == ["duplicate_event_type"]
+
+
+def test_json_lines(spark, tmp_path):
+    whole = document()
+    lines = [{"eventTypes": whole["eventTypes"]}, {"objectTypes": whole["objectTypes"]}]
+    lines += [{"objects": [o]} for o in whole["objects"]] + [{"events": [e]} for e in whole["events"]]
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(map(json.dumps, lines)) + "\n")
+    result = read_json(spark, str(path), lines=True)
+    assert result.status == "valid"
+    (tmp_path / "log.json").write_text(json.dumps(whole))
+    same(result.log, read_json(spark, str(tmp_path / "log.json")).log)
+
+
+def test_too_large_documents_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exchange, "MAX_DOCUMENT", 10)
+    (tmp_path / "log.json").write_text(json.dumps(document()))
+    assert read_json(spark, str(tmp_path / "log.json")).status == "unsupported"
+    with sqlite3.connect(tmp_path / "log.sqlite") as db:
+        db.execute("CREATE TABLE t(x)")
+    assert read_sqlite(spark, str(tmp_path / "log.sqlite")).status == "unsupported"
+
+
+def test_malformed_xml_leaves_evidence(spark, tmp_path):
+    path = tmp_path / "log.xml"
+    good = '<event id="e1" type="place" time="2026-01-01T10:00:00Z"/>'
+    for bad in ('<event id="e2" type="place" time="2026-01-01T10:00:00Z"><attributes></event>', '<event id="e2" type="place"'):
+        path.write_text(f'<log><event-types><event-type name="place"/></event-types><events>{good}\n{bad}</events></log>')
+        result = read_xml(spark, str(path))
+        assert result.status == "invalid", bad
+        assert {r.kind for r in result.evidence.collect()} >= {"unreadable_document"}
+        assert read_xml(spark, str(path), "recover").log.events.where("id = 'e1'").count() == 1
+
+
+def test_records_round_trip(spark):
+    parts = valid_log()
+    log = frames(spark, **parts)
+    back = records(log)
+    same(normalized(log), frames(spark, **{n: getattr(back, n) for n in ("event_types", "object_types", "events", "objects", "e2o", "o2o")}))
+    assert [e.id for e in back.events] == sorted(e.id for e in back.events)
+    assert validate(back).collect() == validate(log).collect()
+    with pytest.raises(ValueError):
+        records(log, 0)
