@@ -392,8 +392,8 @@ def _with_partners(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _links_of_unit(table: pa.Table, words: int, percent: int) -> pa.Table:
-    """Edges between different components among a unit's documents (a node, b component, text)."""
-    nodes = table.column("a").to_numpy()
+    """Edges between different components among a unit's documents (doc_id, b component, text)."""
+    nodes = table.column("doc_id").to_numpy()
     _, group = np.unique(table.column("b").to_numpy(), return_inverse=True)
     sets = [shingles(t, words) for t in _texts(table, "text")]
     size = np.array([len(s) for s in sets])
@@ -432,68 +432,82 @@ def _files(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_FILE))
 
 
-def _verify_units(units: DataFrame, count: int, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges of the units (unit, node a, component b); each ships its members' texts once."""
-    needed = units.select("unit", F.col("a").alias("doc_id"), "b")
-    texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id")
-    return (
-        texts.select("unit", F.col("doc_id").alias("a"), "b", "text")
-        .groupBy("unit")
-        .applyInArrow(lambda table: _links_of_unit(table, words, percent), "a long, b long")
-        .repartition(_files(count))
-    )
-
-
 def _verify(
-    pairs: DataFrame, bound: int, sizes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch
+    pairs: DataFrame,
+    bound: int,
+    units: DataFrame | None,
+    sizes: DataFrame,
+    docs: DataFrame,
+    words: int,
+    percent: int,
+    scratch: Scratch,
 ) -> DataFrame | None:
-    """Edges that connect what the similar pairs among ``pairs`` connect; None without pairs.
+    """Edges that connect what the similar pairs among ``pairs`` (a, b) connect, and what
+    members of a unit (unit, node a, component b) link to in other components; None
+    without either.
 
     ``pairs`` has no more than ``bound`` rows; ``sizes`` (node, size) says how much the
-    texts of a pair weigh.
+    texts of a pair weigh.  Documents are dealt to blocks, and pairs to pairs of blocks.
+    Texts are joined once to all blocks and units that need them, by document; whether
+    the narrow side is broadcast is left to the planner, which knows its bytes.
     """
     pairs = scratch.store(pairs, "pairs", bound)
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = involved.join(sizes.select("node", "size"), "node").agg(F.sum("size").alias("volume"), F.count("*").alias("n")).first()
-    if not held.n:
+    members = 0 if units is None else units.count()
+    if not held.n and not members:
         return None
-    blocks = max(-(-held.volume // BLOCK_SHINGLES), -(-held.n // BLOCK_DOCS))
+    blocks = max(1, -(-(held.volume or 0) // BLOCK_SHINGLES), -(-held.n // BLOCK_DOCS))
 
     def block(c: str) -> F.Column:
         return F.pmod(F.xxhash64(c), F.lit(blocks))
 
-    key = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
-    keyed = pairs.withColumn("key", key)
-    ends = keyed.select("key", F.col("a").alias("doc_id")).union(keyed.select("key", F.col("b")))
-    needed = scratch.store(ends.distinct(), "needed", 2 * bound)
-    texts = docs.join(small_or_shuffled(needed, needed.count(), BROADCAST_ROWS), "doc_id").select("key", "doc_id", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cell = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
+    keyed = pairs.select(F.lit(0).alias("kind"), cell.alias("key"), "a", "b")
+    ends = keyed.select("kind", "key", F.col("a").alias("doc_id")).union(keyed.select("kind", "key", "b")).distinct()
+    ends = ends.withColumn("b", F.lit(None).cast("long"))
+    if members:
+        ends = ends.unionByName(units.select(F.lit(1).alias("kind"), F.col("unit").alias("key"), F.col("a").alias("doc_id"), "b"))
+    needed = scratch.store(ends, "needed", 2 * bound + members)
+    texts = docs.join(needed, "doc_id").select("kind", "key", "doc_id", "b", "text")
+    found = (
+        keyed.groupBy("kind", "key")
+        .cogroup(texts.groupBy("kind", "key"))
+        .applyInArrow(
+            lambda left, right: _links_of_unit(right, words, percent) if left.num_rows == 0 else _links_of_pairs(left, right, words, percent),
+            "a long, b long",
+        )
+    )
+    # a forest has fewer edges than documents; few files hold them all
+    return found.repartition(_files(held.n + members))
 
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for name, text in zip(right.column("doc_id").to_pylist(), _texts(right, "text"), strict=True):
-            sets.setdefault(name, []).append(shingles(text, words))
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = parent.get(p, p)
-                x = p
-            return x
-
-        found = []
-        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
-        for k in np.lexsort((b, a)).tolist():
-            s, t = int(a[k]), int(b[k])
-            x, y = find(s), find(t)
-            if x != y and any(similar(u, v, percent) for u in sets.get(s, ()) for v in sets.get(t, ())):
-                parent[max(x, y)] = min(x, y)
-                found.append((s, t))
-        return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], schema=schema)
 
-    # the forest of a block pair has fewer edges than documents; few files hold them all
-    found = keyed.groupBy("key").cogroup(texts.groupBy("key")).applyInArrow(check, "a long, b long")
-    return found.repartition(_files(held.n))
+def _files(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
+def _links_of_pairs(left: pa.Table, right: pa.Table, words: int, percent: int) -> pa.Table:
+    """Edges of a block pair's pairs (a, b), given its documents (doc_id, text)."""
+    sets: dict[int, list[np.ndarray]] = {}
+    for name, text in zip(right.column("doc_id").to_pylist(), _texts(right, "text"), strict=True):
+        sets.setdefault(name, []).append(shingles(text, words))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    found = []
+    a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+    for k in np.lexsort((b, a)).tolist():
+        s, t = int(a[k]), int(b[k])
+        x, y = find(s), find(t)
+        if x != y and any(similar(u, v, percent) for u in sets.get(s, ()) for v in sets.get(t, ())):
+            parent[max(x, y)] = min(x, y)
+            found.append((s, t))
+    return pa.table([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def ngram_classes(
@@ -532,7 +546,7 @@ def ngram_classes(
     lists = scratch.store(_stars(entries, percent), "lists")
     edges = _same_id(filled, nodes)
     stars = lists.where("kind = 1").select("a", "b")
-    first = _verify(stars.distinct(), stars.count(), nodes, docs, words, percent, scratch)
+    first = _verify(stars.distinct(), stars.count(), None, nodes, docs, words, percent, scratch)
     edges = scratch.store(edges if first is None else edges.unionByName(first), "links", count)
     label = connected_components(edges)
 
@@ -540,15 +554,11 @@ def ngram_classes(
     listed = lists.where("kind = 0").select("token", "pos", "size", F.col("a").alias("lead"))
     left, held = _open_lists(listed, scratch.store(placed, "placed", count), count, scratch)
     short = _short_pairs(left.where(F.col("total") <= SHORT), percent).distinct()
-    more = [_verify(short, held * SHORT, nodes, docs, words, percent, scratch)]
     units = scratch.store(_units(left.where(F.col("total") > SHORT), held, percent, scratch), "units")
-    if not units.isEmpty():
-        more.append(_verify_units(units, count, docs, words, percent))
-    for found in more:
-        if found is not None:
-            edges = edges.unionByName(found)
-    if any(found is not None for found in more):
-        label = connected_components(scratch.store(edges, "links", count))
+    more = _verify(short, held * SHORT, units, nodes, docs, words, percent, scratch)
+    if more is not None:
+        edges = scratch.store(edges.unionByName(more), "links", count)
+        label = connected_components(edges)
 
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")
