@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from objtrail.frames import OcelFrames
 from objtrail.operators.components import connected_components
 from objtrail.operators.process import project_events, traces
+from objtrail.operators.results import COMPUTED, UNAVAILABLE
+from objtrail.storage import Scratch, store
 
 
 def flatten(log: OcelFrames, object_type: str) -> DataFrame:
@@ -57,8 +59,9 @@ def object_summary(log: OcelFrames) -> DataFrame:
         F.max("time").alias("end"),
         F.count("*").alias("n_events"),
     )
-    pairs = rows.select("event", "object").join(rows.select("event", F.col("object").alias("other")), "event")
-    partners = pairs.where("object <> other").groupBy("object").agg(F.count_distinct("other").alias("n_partners"))
+    pairs = object_interactions(log).select("object", "other")
+    both = pairs.unionByName(pairs.select(F.col("other").alias("object"), F.col("object").alias("other")))
+    partners = both.groupBy("object").agg(F.count("*").alias("n_partners"))
     return own.join(partners, "object", "left").select(
         "object",
         "object_type",
@@ -71,6 +74,24 @@ def object_summary(log: OcelFrames) -> DataFrame:
     )
 
 
+def object_interactions(log: OcelFrames) -> DataFrame:
+    """object, other, n_events: pairs of objects that share events, each once (object < other).
+
+    An event of k objects makes k (k - 1) / 2 pairs: the graph itself.
+    """
+    rows = project_events(log).select("event", "object").distinct()
+    pairs = rows.join(rows.withColumnRenamed("object", "other"), "event").where("object < other")
+    return pairs.groupBy("object", "other").agg(F.count("*").alias("n_events"))
+
+
+def activities_of_types(log: OcelFrames) -> DataFrame:
+    """object_type, activity, n_events, n_objects: which activities the objects of each type take part in."""
+    rows = project_events(log).select("object_type", "activity", "event", "object").distinct()
+    return rows.groupBy("object_type", "activity").agg(
+        F.count_distinct("event").alias("n_events"), F.count_distinct("object").alias("n_objects")
+    )
+
+
 def extended_table(log: OcelFrames, object_types: list[str]) -> DataFrame:
     """event, activity, time and per object type the sorted ids of its objects."""
     rows = project_events(log).drop("qualifier").distinct()
@@ -142,11 +163,60 @@ def variants(log: OcelFrames, object_type: str) -> DataFrame:
     return rows.groupBy("variant").agg(F.count("*").alias("n"), F.min("object").alias("example"))
 
 
+def graph_variants(log: OcelFrames, rounds: int = 3) -> DataFrame:
+    """variant, n executions, n_events of each, example (smallest execution): connected executions
+    whose event graphs look alike.
+
+    Weisfeiler-Lehman labels: an event's label is its activity, and in each round a digest of
+    its own, its predecessors' and its successors' labels.  Neighbours and events are summed
+    up by their digests, so neither a busy event nor a large execution is gathered.
+    Isomorphic graphs always get one variant; others may, if ``rounds`` cannot tell them apart.
+    """
+    scratch = Scratch()
+    total = lambda c: F.sum(c.cast("decimal(38,0)")).cast("string")
+    edges = scratch.store(event_graph(log), "graph")
+    start = log.events.groupBy(F.col("id").alias("event")).agg(F.min("type").alias("type"))
+    labels = scratch.store(start.select("event", F.xxhash64("type").alias("label")), "labels")
+    for _ in range(rounds):
+        after = edges.join(labels.withColumnRenamed("event", "target"), "target").groupBy(F.col("source").alias("event"))
+        before = edges.join(labels.withColumnRenamed("event", "source"), "source").groupBy(F.col("target").alias("event"))
+        again = F.xxhash64("label")
+        joined = labels.join(after.agg(total(again).alias("out")), "event", "left").join(before.agg(total(again).alias("in")), "event", "left")
+        fresh = F.xxhash64("label", F.coalesce("out", F.lit("")), F.lit("|"), F.coalesce("in", F.lit("")))
+        labels = scratch.store(joined.select("event", fresh.alias("label")), "labels")
+    placed = executions_connected(log).join(labels, "event")
+    shapes = placed.groupBy("execution").agg(F.count("*").alias("n_events"), total(F.xxhash64("label")).alias("shape"))
+    found = shapes.groupBy("shape", "n_events").agg(F.count("*").alias("n"), F.min("execution").alias("example"))
+    found = store(found.select(F.sha2("shape", 256).alias("variant"), "n", "n_events", "example"), "variants")
+    scratch.drop()
+    return found
+
+
 def statistics(log: OcelFrames) -> DataFrame:
-    """object_type, activity, n_events, n_objects, rework (objects that have it more than once)."""
-    rows = traces(log).groupBy("object_type", "activity", "object").agg(F.count("*").alias("k"))
+    """object_type, activity, n_events, n_objects, rework (objects that have it more than once) and
+    mean_sojourn_seconds: from the object's event before; null for activities that only come first."""
+    order = Window.partitionBy("object").orderBy("position")
+    gap = F.unix_micros("time") - F.unix_micros(F.lag("time").over(order))
+    rows = traces(log).withColumn("gap", gap).groupBy("object_type", "activity", "object").agg(
+        F.count("*").alias("k"), F.sum("gap").alias("gap"), F.count("gap").alias("gaps")
+    )
     return rows.groupBy("object_type", "activity").agg(
-        F.sum("k").alias("n_events"), F.count("*").alias("n_objects"), F.count_if(F.col("k") > 1).alias("rework")
+        F.sum("k").alias("n_events"), F.count("*").alias("n_objects"), F.count_if(F.col("k") > 1).alias("rework"),
+        (F.sum("gap") / F.nullif(F.sum("gaps"), F.lit(0)) / 1_000_000).alias("mean_sojourn_seconds"),
+    )
+
+
+def service_times(log: OcelFrames, start: str) -> DataFrame:
+    """activity, n_events, mean_seconds, status: from the time in the event attribute ``start`` to the event's.
+
+    An activity none of whose events has such a time is unavailable.
+    """
+    begun = F.get(F.filter("attributes", lambda a: (a["name"] == start) & a["value"]["t"].isNotNull()), 0)["value"]["t"]
+    rows = log.events.select(F.col("type").alias("activity"), (F.unix_micros("time") - F.unix_micros(begun)).alias("took"))
+    return rows.groupBy("activity").agg(
+        F.count("took").alias("n_events"),
+        (F.avg("took") / 1_000_000).alias("mean_seconds"),
+        F.when(F.count("took") > 0, COMPUTED).otherwise(UNAVAILABLE).alias("status"),
     )
 
 

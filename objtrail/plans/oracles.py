@@ -208,13 +208,13 @@ WITH {_COMPLETE} SELECT object, CASE WHEN n_events > 0 THEN observed END AS obse
   CASE WHEN n_events > 0 THEN missing END AS missing, CASE WHEN n_events > 0 THEN 'computed' ELSE 'unavailable' END AS status
 FROM complete
 """
-ORACLES["c_evidence_lineage"] = """
-WITH seeds AS (SELECT concat('customer:', c_custkey) AS seed, c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
-reached AS (
-  SELECT seed, 'object' AS kind, seed AS node, 0 AS distance FROM seeds
-  UNION ALL SELECT s.seed, 'event', concat('po:', o.o_orderkey), 1 FROM seeds s JOIN orders o ON o.o_custkey = s.c_custkey
-  UNION ALL SELECT s.seed, 'object', concat('order:', o.o_orderkey), 1 FROM seeds s JOIN orders o ON o.o_custkey = s.c_custkey)
-SELECT seed, kind, node, CAST(distance AS BIGINT) AS distance FROM reached
+ORACLES["c_evidence_lineage"] = f"""
+WITH {LINES}, reached AS (
+  SELECT c_custkey, 'object' AS kind, concat('customer:', c_custkey) AS node, 0 AS distance FROM customer
+  UNION ALL SELECT c_custkey, 'object', concat('order:', o_orderkey), 1 FROM customer JOIN orders ON o_custkey = c_custkey
+  UNION ALL SELECT c_custkey, 'event', concat('po:', o_orderkey), 2 FROM customer JOIN orders ON o_custkey = c_custkey
+  UNION ALL SELECT c_custkey, 'event', line, 2 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lines ON l_orderkey = o_orderkey)
+SELECT concat('customer:', c_custkey) AS seed, kind, node, CAST(distance AS BIGINT) AS distance FROM reached
 """
 _RUNS = f"""{USERS}, placed AS (
   SELECT *, row_number() OVER w AS position, CAST(props::JSON->>'k' AS BIGINT) AS k,
@@ -290,11 +290,26 @@ SELECT 'customer' AS object_type, activity, count(*) FILTER (WHERE p = 1) AS sta
 FROM placed GROUP BY activity HAVING count(*) FILTER (WHERE p = 1 OR p = n) > 0
 """
 ORACLES["x_object_summary"] = f"""
-WITH rel AS (
-  SELECT concat('order:', o_orderkey) AS object, concat('customer:', o_custkey) AS other, o_orderkey, o_orderdate FROM orders
-  UNION ALL SELECT concat('customer:', o_custkey), concat('order:', o_orderkey), o_orderkey, o_orderdate FROM orders)
-SELECT object, string_agg('place_order', '>') AS lifecycle, {ISO.format('min(o_orderdate)')} AS start,
-  {ISO.format('max(o_orderdate)')} AS "end", count(*) AS n_events, count(DISTINCT other) AS n_partners FROM rel GROUP BY object
+WITH {LINES}, steps AS (
+  SELECT concat('order:', o_orderkey) AS object, concat('po:', o_orderkey) AS event, 'place_order' AS activity, o_orderdate AS time FROM orders
+  UNION ALL SELECT concat('customer:', o_custkey), concat('po:', o_orderkey), 'place_order', o_orderdate FROM orders
+  UNION ALL SELECT concat('customer:', o_custkey), line, 'ship_item', l_shipdate FROM lines JOIN orders ON l_orderkey = o_orderkey),
+partners AS (SELECT a.object, count(DISTINCT b.object) AS n FROM steps a JOIN steps b ON a.event = b.event AND a.object <> b.object GROUP BY a.object)
+SELECT s.object, string_agg(activity, '>' ORDER BY time, event) AS lifecycle, {ISO.format('min(time)')} AS start,
+  {ISO.format('max(time)')} AS "end", count(*) AS n_events, coalesce(max(p.n), 0) AS n_partners
+FROM steps s LEFT JOIN partners p ON p.object = s.object GROUP BY s.object
+"""
+ORACLES["x_object_interactions"] = """
+SELECT concat('customer:', o_custkey) AS object, concat('order:', o_orderkey) AS other, CAST(1 AS BIGINT) AS n_events FROM orders
+"""
+ORACLES["x_activities_of_types"] = """
+SELECT 'customer' AS object_type, event_type AS activity, count(*) AS n_events, count(DISTINCT user_id) AS n_objects
+FROM events JOIN customer ON c_custkey = user_id GROUP BY event_type
+UNION ALL SELECT 'customer', 'place_order', count(*), count(DISTINCT o_custkey) FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'order', 'place_order', count(*), count(*) FROM orders
+UNION ALL SELECT 'order', 'ship_item', count(*), count(DISTINCT l_orderkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'part', 'ship_item', count(*), count(DISTINCT l_partkey) FROM lineitem JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT 'supplier', 'ship_item', count(*), count(DISTINCT l_suppkey) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
 """
 ORACLES["x_extended_table"] = """
 SELECT concat('po:', o_orderkey) AS event, 'place_order' AS activity, concat('customer:', o_custkey) AS customer,
@@ -332,15 +347,84 @@ traces AS (SELECT concat('order:', o_orderkey) AS object, string_agg(activity, '
 SELECT variant, count(*) AS n, min(object) AS example FROM traces GROUP BY variant
 """
 ORACLES["x_statistics"] = f"""
-WITH {USERS}, k AS (SELECT activity, object, count(*) AS k FROM users GROUP BY activity, object)
+WITH {USERS}, placed AS (
+  SELECT *, epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY object ORDER BY time, event)) AS gap FROM users),
+k AS (SELECT activity, object, count(*) AS k, sum(gap) AS gap, count(gap) AS gaps FROM placed GROUP BY activity, object)
 SELECT 'customer' AS object_type, activity, CAST(sum(k) AS BIGINT) AS n_events, count(*) AS n_objects,
-  count(*) FILTER (WHERE k > 1) AS rework FROM k GROUP BY activity
+  count(*) FILTER (WHERE k > 1) AS rework, round(CAST(sum(gap) AS DOUBLE) / sum(gaps) / 1000000, 2) AS mean_sojourn_seconds
+FROM k GROUP BY activity
+"""
+ORACLES["x_service_times"] = """
+SELECT 'ship_item' AS activity, count(*) AS n_events, round(avg(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000000, 2) AS mean_seconds,
+  'computed' AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'place_order', 0, NULL, 'unavailable'
+"""
+ORACLES["x_graph_variants"] = f"""
+WITH {LINES}, steps AS (
+  SELECT o_orderkey, concat('po:', o_orderkey) AS event, 'place_order' AS activity, o_orderdate AS time FROM orders
+  UNION ALL SELECT o_orderkey, line, 'ship_item', l_shipdate FROM lines JOIN orders ON o_orderkey = l_orderkey),
+traces AS (
+  SELECT o_orderkey, string_agg(activity, '>' ORDER BY time, event) AS variant, count(*) AS n_events, min(event) AS execution
+  FROM steps GROUP BY o_orderkey)
+SELECT count(*) AS n, n_events, min(execution) AS example FROM traces GROUP BY variant, n_events
 """
 ORACLES["x_eventually_follows"] = f"""
 WITH {USERS}, placed AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY time, event) AS p FROM users)
 SELECT a.activity AS source, b.activity AS target, count(DISTINCT a.object) AS n
 FROM placed a JOIN placed b ON a.object = b.object AND a.p < b.p GROUP BY a.activity, b.activity
 """
-ORACLES["x_object_state_at"] = f"""
-SELECT {EV} AS event, concat('customer:', user_id) AS object, c_mktsegment AS value FROM events JOIN customer ON c_custkey = user_id
-"""
+ORACLES["x_object_state_at"] = """
+WITH day AS (
+  SELECT o_custkey, o_orderdate + CASE WHEN o_custkey % 2 = 0 THEN INTERVAL 100 DAY ELSE INTERVAL 0 DAY END AS since, max(o_orderstatus) AS status
+  FROM orders GROUP BY o_custkey, o_orderdate)
+SELECT concat('po:', o.o_orderkey) AS event, concat('customer:', o.o_custkey) AS object, max_by(d.status, d.since) AS value
+FROM orders o JOIN day d ON d.o_custkey = o.o_custkey AND d.since <= o.o_orderdate GROUP BY o.o_orderkey, o.o_custkey
+"""
+_HELD = "SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'"
+_ROWS = """rows AS (
+  SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderpriority = '1-URGENT')"""
+_END = ("'e2o'", "concat('po:', o_orderkey)", "concat('customer:', o_custkey)", "'placed_by'")
+ORACLES["v_both_ends"] = f"WITH {_ROWS} " + " UNION ALL ".join([
+    _issues("dangling_e2o_event", "concat('E2O refers to unknown event ''po:', o_orderkey, '''.')",
+            "FROM rows WHERE o_orderpriority = '2-HIGH'", *_END),
+    _issues("dangling_e2o_object", "concat('E2O refers to unknown object ''customer:', o_custkey, '''.')",
+            f"FROM rows WHERE o_custkey NOT IN ({_HELD})", *_END),
+    _issues("duplicate_e2o", "concat('E2O relation (''po:', o_orderkey, ''', ''customer:', o_custkey, ''', ''placed_by'') occurs more than once.')",
+            "FROM orders WHERE o_orderpriority = '1-URGENT'", *_END),
+])
+ORACLES["d_relation_digest"] = """
+WITH rows AS (
+  SELECT 'e2o' AS "table", sha256(concat('{"event":"po:', l_orderkey, '","object":"part:', l_partkey, '","qualifier":"contains"}')) AS digest FROM lineitem
+  UNION ALL
+  SELECT 'o2o', sha256(concat('{"source":"order:', l_orderkey, '","target":"part:', l_partkey, '","qualifier":"contains"}')) FROM lineitem),
+counted AS (SELECT "table", digest, count(*) AS n FROM rows GROUP BY ALL),
+l6 AS (
+  SELECT "table", digest[1:6] AS bucket, sum(n) AS n, sha256(string_agg(concat(digest, ':', n), ',' ORDER BY concat(digest, ':', n))) AS digest
+  FROM counted GROUP BY 1, 2),
+l4 AS (
+  SELECT "table", bucket[1:4] AS b, sum(n) AS n, sha256(string_agg(concat(bucket, '=', digest), ',' ORDER BY concat(bucket, '=', digest))) AS digest
+  FROM l6 GROUP BY 1, 2),
+l2 AS (
+  SELECT "table", b[1:2] AS bucket, sum(n) AS n, sha256(string_agg(concat(b, '=', digest), ',' ORDER BY concat(b, '=', digest))) AS digest
+  FROM l4 GROUP BY 1, 2)
+SELECT "table", CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(concat(bucket, '=', digest), ',' ORDER BY concat(bucket, '=', digest))) AS digest
+FROM l2 GROUP BY 1
+"""
+_BROKEN = [
+    *[(t, f"{r}.name", "ValueError", f"{r}.name must not be empty", "k % 5 = 0") for t, r in (("event_types", "EventType"), ("object_types", "ObjectType"))],
+    *[(t, "Attribute.type", "TypeError", "Attribute.type must be ValueType", "k % 3 = 0") for t in ("event_types", "object_types")],
+    *[(t, f"{r} attribute names", "ValueError", f"{r} attribute names must not contain duplicates", "k % 2 = 0")
+      for t, r in (("event_types", "EventType"), ("object_types", "ObjectType"))],
+    ("objects", "Object.id", "ValueError", "Object.id must not be empty", "k % 5 = 1"),
+    ("objects", "Object.type", "TypeError", "Object.type must be a string", "k % 5 = 2"),
+    ("objects", "ObjectAttr.value", "TypeError", "ObjectAttr.value must be str, datetime, int, float, or bool", "k % 3 = 0"),
+    ("objects", "ObjectAttr.time", "TypeError", "ObjectAttr.time must be a datetime", "k % 4 = 0"),
+    ("objects", "Object attribute assignments", "ValueError", "Object attribute assignments must not contain duplicates", "k % 2 = 0"),
+    ("e2o", "E2O.event", "ValueError", "E2O.event must not be empty", "k % 5 = 3"),
+    ("e2o", "E2O.qualifier", "TypeError", "E2O.qualifier must be a string", "k % 5 = 4"),
+    ("o2o", "O2O.target", "TypeError", "O2O.target must be a string", "k % 5 = 0"),
+]
+ORACLES["s_shape_all_tables"] = "WITH rows AS (SELECT n_nationkey AS k FROM nation) " + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{f}' AS field, '{e}' AS error_class, '{m}' AS message, count(*) AS n FROM rows WHERE {w}"""
+    for t, f, e, m, w in _BROKEN
+)

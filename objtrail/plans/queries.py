@@ -269,10 +269,10 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c_evidence_lineage")
 def evidence_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two steps reach from the customers of one market segment."""
-    log = td.placing(spark, sf_dir)
-    some = log.objects.where(F.get("attributes", 2)["value"]["s"] == "BUILDING").select(F.col("id").alias("seed"))
-    return process.lineage(log, some, 2)
+    """What three steps reach from every customer: orders, their events and lines; nothing is reached twice."""
+    log = td.fulfilling(spark, sf_dir)
+    seeds = log.objects.where("type = 'customer'").select(F.col("id").alias("seed"))
+    return process.lineage(log, seeds, 3)
 
 
 @query("c_retry_recovery_metrics")
@@ -344,6 +344,42 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_digest(td.placing(spark, sf_dir))
 
 
+@query("d_relation_digest")
+def relation_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of relations, repeated ones too."""
+    log = td.repeated_relations(spark, sf_dir)
+    return content_digest(log).where("table IN ('e2o', 'o2o')")
+
+
+@query("v_both_ends")
+def both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a log where one, both or no end of relations exists, some of them twice."""
+    return flat_issues(validate.validate(td.broken_both(spark, sf_dir)).issues)
+
+
+@query("s_shape_all_tables")
+def shape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape rules of all six tables over rows made to break them, counted."""
+    t = td.Tables(spark, sf_dir)
+    nation = F.col("n_nationkey")
+    blank = lambda c, k: F.when(nation % 5 == k, F.lit(" ")).otherwise(c)
+    name = F.col("n_name")
+    item = lambda n, kind: F.struct(n.alias("name"), kind.alias("type"))
+    twice = F.array(item(name, F.lit("string")), item(F.when(nation % 2 == 0, name).otherwise("other"), F.when(nation % 3 == 0, "text").otherwise("float")))
+    types = t.nation.select(blank(name, 0).alias("name"), twice.alias("attributes"))
+    when = F.when(nation % 4 != 0, F.timestamp_seconds(F.lit(0)))
+    odd = values.string_value(F.col("n_name")).withField("b", F.when(nation % 3 == 0, F.lit(True)))
+    change = lambda n: F.struct(F.lit(n).alias("name"), odd.alias("value"), when.alias("time"))
+    second = F.when(nation % 2 == 0, change("a")).otherwise(change("b"))
+    objects = t.nation.select(
+        blank(name, 1).alias("id"), F.when(nation % 5 != 2, name).alias("type"), F.array(change("a"), second).alias("attributes")
+    )
+    e2o = t.nation.select(blank(name, 3).alias("event"), name.alias("object"), F.when(nation % 5 != 4, "q").alias("qualifier"))
+    o2o = t.nation.select(name.alias("source"), F.when(nation % 5 != 0, name).alias("target"), F.lit("").alias("qualifier"))
+    found = shape_violations(td.log(spark, event_types=types, object_types=types, objects=objects, e2o=e2o, o2o=o2o))
+    return found.groupBy("table", "field", "error_class", "message").agg(F.count("*").alias("n"))
+
+
 @query("x_flatten")
 def x_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extras.flatten(td.placing(spark, sf_dir), "customer").withColumn("time", time_key(F.col("time")))
@@ -361,13 +397,23 @@ def x_start_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x_object_summary")
 def x_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extras.object_summary(td.placing(spark, sf_dir))
+    rows = extras.object_summary(td.shipping_to_customers(spark, sf_dir))
     return rows.select(
         "object", F.array_join("lifecycle", ">").alias("lifecycle"), time_key(F.col("start")).alias("start"),
         time_key(F.col("end")).alias("end"), "n_events", "n_partners",
     )
 
 
+@query("x_object_interactions")
+def x_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.object_interactions(td.placing(spark, sf_dir))
+
+
+@query("x_activities_of_types")
+def x_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.activities_of_types(td.clean(spark, sf_dir))
+
+
 @query("x_extended_table")
 def x_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extras.extended_table(td.placing(spark, sf_dir), ["customer", "order"])
@@ -406,7 +452,18 @@ def x_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x_statistics")
 def x_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extras.statistics(td.users(spark, sf_dir))
+    return extras.statistics(td.users(spark, sf_dir)).withColumn("mean_sojourn_seconds", F.round("mean_sojourn_seconds", 2))
+
+
+@query("x_service_times")
+def x_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extras.service_times(td.started(spark, sf_dir), "start").withColumn("mean_seconds", F.round("mean_seconds", 2))
+
+
+@query("x_graph_variants")
+def x_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions of orders and their lines; a variant's name is a digest, its members tell it."""
+    return extras.graph_variants(td.shipping(spark, sf_dir), rounds=7).select("n", "n_events", "example")
 
 
 @query("x_eventually_follows")
@@ -416,5 +473,6 @@ def x_eventually(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x_object_state_at")
 def x_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extras.object_state_at(td.users(spark, sf_dir), "mktsegment")
+    """What had been said of each customer when an order was placed, if anything had."""
+    rows = extras.object_state_at(td.histories(spark, sf_dir), "segment")
     return rows.select("event", "object", F.col("value.s").alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from objtrail.frames import OcelFrames
-from objtrail.functions.values import float_value, integer_value, string_value
+from objtrail.functions.values import float_value, integer_value, string_value, time_value
 from objtrail.schema import SCHEMAS, configure
 
 # fixed values: declarations of the clean log
@@ -298,6 +298,75 @@ def repeated_relations(spark: SparkSession, sf_dir: str) -> OcelFrames:
     )
 
 
+def histories(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """Orders placed by customers with a history: each day's largest status of their orders, from that
+    day on, or a hundred days later for every other customer."""
+    t = Tables(spark, sf_dir)
+    day = t.orders.groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderstatus").alias("o_orderstatus"))
+    late = F.when(F.col("o_custkey") % 2 == 0, F.expr("INTERVAL 100 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    change = F.struct(
+        F.lit("segment").alias("name"), string_value(F.col("o_orderstatus")).alias("value"), (utc("o_orderdate") + late).alias("time")
+    )
+    held = day.groupBy("o_custkey").agg(F.collect_list(change).alias("attributes"))
+    objects = held.select(key("customer", "o_custkey").alias("id"), F.lit("customer").alias("type"), "attributes")
+    return log(
+        spark, events=events_of_orders(t), objects=objects,
+        e2o=relation(t.orders, "e2o", key("po", "o_orderkey"), key("customer", "o_custkey"), "placed_by"),
+    )
+
+
+def fulfilling(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """Customers, their orders and the lines shipped: customers reach lines through orders alone."""
+    t = Tables(spark, sf_dir)
+    rows = lines(t)
+    return log(
+        spark, events=union(events_of_orders(t), events_of_lines(rows)), objects=union(customers(t), orders(t)),
+        e2o=union(
+            relation(t.orders, "e2o", key("po", "o_orderkey"), key("order", "o_orderkey"), "order"),
+            relation(rows, "e2o", F.col("line"), key("order", "l_orderkey"), "of_order"),
+        ),
+        o2o=relation(t.orders, "o2o", key("order", "o_orderkey"), key("customer", "o_custkey"), "placed_by"),
+    )
+
+
+def shipping_to_customers(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """Orders placed by customers and their lines shipped to them."""
+    t = Tables(spark, sf_dir)
+    rows = lines(t).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return log(
+        spark, events=union(events_of_orders(t), events_of_lines(rows)), objects=union(customers(t), orders(t)),
+        e2o=union(
+            relation(t.orders, "e2o", key("po", "o_orderkey"), key("order", "o_orderkey"), "order"),
+            relation(t.orders, "e2o", key("po", "o_orderkey"), key("customer", "o_custkey"), "placed_by"),
+            relation(rows, "e2o", F.col("line"), key("customer", "o_custkey"), "to"),
+        ),
+    )
+
+
+def started(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """Lines shipped, with the date of their order as their start; orders have none."""
+    t = Tables(spark, sf_dir)
+    rows = lines(t).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    shipped = rows.select(
+        F.col("line").alias("id"), F.lit("ship_item").alias("type"), utc("l_shipdate").alias("time"),
+        attributes(start=time_value(utc("o_orderdate")), returnflag=string_value(F.col("l_returnflag"))).alias("attributes"),
+    )
+    return log(spark, events=union(shipped, events_of_orders(t)))
+
+
+def broken_both(spark: SparkSession, sf_dir: str) -> OcelFrames:
+    """D12: relations of which either, both or no end exists, some of them twice."""
+    t = Tables(spark, sf_dir)
+    some = customers(t).where(F.get("attributes", 2)["value"]["s"] != "HOUSEHOLD")
+    placed = relation(t.orders, "e2o", key("po", "o_orderkey"), key("customer", "o_custkey"), "placed_by")
+    urgent = relation(t.orders.where("o_orderpriority = '1-URGENT'"), "e2o", key("po", "o_orderkey"), key("customer", "o_custkey"), "placed_by")
+    return log(
+        spark, event_types=declare(spark, [("place_order", EVENT_TYPES["place_order"])]),
+        object_types=declare(spark, [("customer", OBJECT_TYPES["customer"])]),
+        events=events_of_orders(t).where(F.get("attributes", 1)["value"]["s"] != "2-HIGH"), objects=some, e2o=union(placed, urgent),
+    )
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> OcelFrames:
     """D11: conversations and their turns as objects; without times there are no events."""
     t = Tables(spark, sf_dir).conversations
