@@ -32,7 +32,8 @@ from objtrail.llm.shared import Scratch, store
 
 COSINE = 0.9
 BLOCKS = 4
-TILE = 4096
+#: vectors of a tile; a task holds two tiles, about 20 bytes a component each
+TILE = 16384
 _CHUNK = 1024
 _SLACK = 1e-4
 _SEED = 20240607
