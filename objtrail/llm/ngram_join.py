@@ -448,8 +448,7 @@ def _verify(
 
     ``pairs`` has no more than ``bound`` rows; ``sizes`` (node, size) says how much the
     texts of a pair weigh.  Documents are dealt to blocks, and pairs to pairs of blocks.
-    Texts are joined once to all blocks and units that need them, by document; whether
-    the narrow side is broadcast is left to the planner, which knows its bytes.
+    Texts are joined once, by document, to all blocks and units that need them.
     """
     pairs = scratch.store(pairs, "pairs", bound)
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -469,7 +468,8 @@ def _verify(
     if members:
         ends = ends.unionByName(units.select(F.lit(1).alias("kind"), F.col("unit").alias("key"), F.col("a").alias("doc_id"), "b"))
     needed = scratch.store(ends, "needed", 2 * bound + members)
-    texts = docs.join(needed, "doc_id").select("kind", "key", "doc_id", "b", "text")
+    # the narrow side grows with the corpus: the same plan at every size, no broadcast
+    texts = docs.join(needed.hint("merge"), "doc_id").select("kind", "key", "doc_id", "b", "text")
     found = (
         keyed.groupBy("kind", "key")
         .cogroup(texts.groupBy("kind", "key"))
