@@ -27,6 +27,8 @@ from objtrail.llm.shared import labelled_sample
 MAX_ROWS = 3000
 OWN = 15
 WIDTH = 3 * OWN + 3
+#: lines described at a time in a text of many lines
+STRETCH = 4096
 _SYMBOLS = "*$%#&!|~^<>{}[]=+@\\"
 
 
@@ -59,22 +61,24 @@ def line_numbers(line: str) -> list[float]:
     ]
 
 
-def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows of all lines, lines per document, and lines' lengths.
+def _lines(text: str) -> list[str]:
+    """A text's lines that are not blank; a text without any counts as one empty line."""
+    return [x for x in text.split("\n") if x.strip()] or [""]
 
-    Blank lines are left out; a text without any other counts as one empty line.
-    """
-    lines: list[str] = []
-    counts = []
-    for text in texts:
-        found = [x for x in text.split("\n") if x.strip()] or [""]
-        counts.append(len(found))
-        lines += found
-    count = np.array(counts, dtype=np.int64)
-    sizes = np.fromiter((len(x) or 1 for x in lines), dtype=np.float64, count=len(lines))
+
+def _own(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each line by itself, and the lines' lengths."""
     own = np.empty((len(lines), OWN))
     for k, line in enumerate(lines):
         own[k] = line_numbers(line)
+    return own, np.fromiter((len(x) or 1 for x in lines), dtype=np.float64, count=len(lines))
+
+
+def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows of all lines, lines per document, and lines' lengths."""
+    listed = [_lines(text) for text in texts]
+    count = np.array([len(x) for x in listed], dtype=np.int64)
+    own, sizes = _own([line for x in listed for line in x])
     starts = np.cumsum(count) - count
     x = np.zeros((len(own), WIDTH))
     if len(own):
@@ -89,6 +93,58 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, count, sizes
 
 
+def _emission(lines: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Emission scores and lengths of one long document's lines, described a stretch at a time."""
+    emission, sizes, n = np.empty((len(lines), 2)), np.empty(len(lines)), len(lines)
+    for at in range(0, n, STRETCH):
+        till, low, high = min(at + STRETCH, n), max(0, at - 1), min(at + STRETCH + 1, n)
+        own, size = _own(lines[low:high])
+        x = np.zeros((high - low, WIDTH))
+        x[:, :OWN] = own
+        x[1:, OWN : 2 * OWN] = own[:-1]
+        x[:-1, 2 * OWN : 3 * OWN] = own[1:]
+        x[:, -3] = 1
+        x[0, -2], x[-1, -1] = low == 0, high == n
+        emission[at:till] = (x @ w)[at - low : till - low]
+        sizes[at:till] = size[at - low : till - low]
+    return emission, sizes
+
+
+def long_marginals(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Marginals of one long chain in about the square root of its length in steps.
+
+    The chain is cut into stretches that advance together by products of transfer
+    matrices; then messages pass from stretch to stretch.
+    """
+    n = len(emission)
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    width = max(1, int(np.ceil(np.sqrt(n - 1))))
+    parts = -(-(n - 1) // width)
+    step = np.tile(np.eye(2), (parts * width, 1, 1))
+    step[: n - 1] = np.exp(transition)[None] * e[1:, None, :]
+    step = step.reshape(parts, width, 2, 2)
+    before, after = np.empty_like(step), np.empty_like(step)
+    before[:, 0], after[:, -1] = step[:, 0], step[:, -1]
+    for k in range(1, width):
+        before[:, k] = before[:, k - 1] @ step[:, k]
+        before[:, k] /= before[:, k].sum(axis=(1, 2), keepdims=True)
+        after[:, -1 - k] = step[:, -1 - k] @ after[:, -k]
+        after[:, -1 - k] /= after[:, -1 - k].sum(axis=(1, 2), keepdims=True)
+    heads, tails = np.empty((parts, 2)), np.empty((parts, 2))
+    head, tail = e[0] / e[0].sum(), np.full(2, 0.5)
+    for c in range(parts):
+        heads[c] = head
+        head = head @ before[c, -1]
+        head /= head.sum()
+        tails[-1 - c] = tail
+        tail = after[-1 - c, 0] @ tail
+        tail /= tail.sum()
+    alpha = np.concatenate([e[:1], np.einsum("ci,ckij->ckj", heads, before).reshape(-1, 2)[: n - 1]])
+    beta = np.concatenate([np.einsum("ckij,cj->cki", after, tails).reshape(-1, 2)[: n - 1], np.full((1, 2), 0.5)])
+    both = alpha * beta
+    return both / both.sum(axis=1, keepdims=True)
+
+
 def forward_backward(
     emission: np.ndarray, transition: np.ndarray, count: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, float]:
@@ -175,11 +231,20 @@ def fit(texts: list[str], labels: list[int], steps: int = 120, penalty: float =
 
 
 def score(model: dict, texts: list[str]) -> np.ndarray:
-    if not texts:
-        return np.empty(0)
-    x, count, sizes = describe(texts)
-    marginal, _, _ = forward_backward(x @ model["w"], model["a"], count)
-    p = np.clip(_weighted(marginal[:, 1], sizes, count), 1e-3, 1 - 1e-3)
+    """Scores of texts; those of many lines are described and scored one by one, a stretch at a time."""
+    p = np.empty(len(texts))
+    long = np.array([t.count("\n") >= STRETCH for t in texts], dtype=bool)
+    short = [t for t, is_long in zip(texts, long, strict=True) if not is_long]
+    if short:
+        x, count, sizes = describe(short)
+        marginal, _, _ = forward_backward(x @ model["w"], model["a"], count)
+        p[~long] = _weighted(marginal[:, 1], sizes, count)
+    for k in np.flatnonzero(long):
+        emission, sizes = _emission(_lines(texts[k]), model["w"])
+        # a single line is its own chain
+        marginal = long_marginals(emission, model["a"]) if len(sizes) > 1 else forward_backward(emission, model["a"], np.array([1]))[0]
+        p[k] = marginal[:, 1] @ sizes / sizes.sum()
+    p = np.clip(p, 1e-3, 1 - 1e-3)
     z = model["slope"] * np.log(p / (1 - p)) + model["base"]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 

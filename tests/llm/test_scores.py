@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +86,27 @@ def test_marginals_match_enumeration():
     assert np.isclose(log_z, want_z)
 
 
+def test_long_chains_by_stretches():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 50, 1001):
+        e, a = rng.normal(size=(n, 2)) * 3, rng.normal(size=(2, 2))
+        want, _, _ = quality.forward_backward(e, a, np.array([n]))
+        assert np.allclose(quality.long_marginals(e, a), want)
+
+
+def test_texts_of_many_lines(monkeypatch):
+    rows, marks = labelled(200)
+    model = quality.fit([t for _, t in rows], [q for _, q, _ in marks])
+    texts = ["\n".join(t for _, t in rows[k : k + 60]) for k in range(0, 180, 20)] + ["a\n\n" * 50, "\n" * 80, ""]
+    want = quality.score(model, texts)
+    monkeypatch.setattr(quality, "STRETCH", 7)
+    assert np.allclose(quality.score(model, texts), want)
+    monkeypatch.undo()
+    begin = time.perf_counter()
+    quality.score(model, ["A line of words.\n" * 200_000])
+    assert time.perf_counter() - begin < 20
+
+
 def test_correlated_voters_share_their_weight():
     rng = np.random.default_rng(5)
     y = rng.random(3000) < 0.3
