@@ -94,6 +94,10 @@ def _attributes(table: str) -> list[Column]:
     return [*rules, _found(twice, "ValueError", f"{record} {what}", "must not contain duplicates")]
 
 
+def _ranked(found: Column, rank: int) -> Column:
+    return F.transform(found, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("v")))
+
+
 def _numbered_violations(log: OcelFrames) -> DataFrame:
     """rank (table, rule), table, field, error_class, message: one row per row and rule broken."""
     parts = []
@@ -106,7 +110,7 @@ def _numbered_violations(log: OcelFrames) -> DataFrame:
             rules.append(_found(F.col("time").isNull(), "TypeError", "Event.time", "must be a datetime"))
         if table in _ITEM:
             rules += _attributes(table)
-        ranked = [F.transform(r, lambda x, k=k: F.struct(F.lit(100 * number + k).alias("rank"), x.alias("v"))) for k, r in enumerate(rules)]
+        ranked = [_ranked(r, 100 * number + k) for k, r in enumerate(rules)]
         parts.append(df.select(F.explode(F.concat(*ranked)).alias("x")).select("x.rank", F.lit(table).alias("table"), "x.v.*"))
     return reduce(DataFrame.unionByName, parts)
 

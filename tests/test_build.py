@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from objtrail.api import E2O, Event, EventAttr, EventType, Object, ObjectAttr, build, frames, require_shape, shape_violations
 from objtrail.functions.digest import content_digest
 from objtrail.functions.values import float_hex, time_key
-from objtrail.operators.normalize import numbered, ordered
-from objtrail.records import Attribute, O2O, ObjectType, ValueType
+from objtrail.operators.build import settled
+from objtrail.operators.normalize import numbered, ordered, sort_event_attributes
+from objtrail.records import Attribute, O2O, ObjectType, ValueType, tagged
 from objtrail.schema import SCHEMAS
 from tests.logs import NOON, SEOUL, valid_log
 
@@ -125,3 +126,36 @@ def test_float_hex_is_pythons(spark):
 
 def test_schemas_are_complete():
     assert list(SCHEMAS) == ["event_types", "object_types", "events", "objects", "e2o", "o2o"]
+
+
+def test_the_first_violation_is_that_of_the_first_table_and_rule(spark):
+    shaped = lambda rows, table: spark.createDataFrame(rows, SCHEMAS[table]).repartition(3)
+    broken = {
+        "events": shaped([("", "t", NOON, []), ("e", " ", NOON, []), ("f", "t", None, [])], "events"),
+        "o2o": shaped([(None, "b", "q")], "o2o"),
+    }
+    for _ in range(3):
+        with pytest.raises(ValueError, match="Event.id must not be empty"):
+            require_shape(frames(spark, **broken))
+    broken["events"] = broken["events"].where("id <> '' AND type <> ' '")
+    with pytest.raises(TypeError, match="Event.time must be a datetime"):
+        require_shape(frames(spark, **broken))
+
+
+def test_computed_tables_are_stored_and_scans_are_not(spark):
+    log = frames(spark, **valid_log())
+    kept = settled(log)
+    assert all(a is b for (_, a), (_, b) in zip(log.tables(), kept.tables(), strict=True))
+    doubled = frames(spark, **{**dict(log.tables()), "events": log.events.union(log.events)})
+    stored = settled(doubled)
+    assert stored.events.count() == 2 * log.events.count() and stored.events is not doubled.events
+    assert {i.code for i in build(spark, **dict(doubled.tables())).report.collect()} == {"duplicate_event_id"}
+
+
+def test_repeated_names_settle_by_their_value_key(spark):
+    """Rows that no shape rule has passed: ties of names fall back to the value key."""
+    value = lambda x: tagged(x)
+    rows = [("e", "t", NOON, [("b", value(2)), ("a", value(10)), ("a", value(9)), ("a", value("z"))])]
+    events = spark.createDataFrame(rows, SCHEMAS["events"])
+    found = sort_event_attributes(events).first().attributes
+    assert [(a.name, a.value.tag, a.value.i) for a in found] == [("a", "integer", 10), ("a", "integer", 9), ("a", "string", None), ("b", "integer", 2)]
