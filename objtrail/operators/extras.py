@@ -147,7 +147,12 @@ def executions_connected(log: OcelFrames) -> DataFrame:
 
 def executions_leading(log: OcelFrames, leading: str) -> DataFrame:
     """execution (a leading object), object, event: its events, the objects they involve, and
-    the events of those of other types."""
+    the events of those of other types.
+
+    An object that many executions involve brings all its events to each of them: that
+    product is the result asked for.  Executions and links are reduced to distinct pairs
+    before each join, so nothing else is multiplied.
+    """
     links = project_events(log).select("object", "object_type", "event").distinct()
     own = links.where(F.col("object_type") == leading).select(F.col("object").alias("execution"), "event").distinct()
     others = own.join(links.where(F.col("object_type") != leading), "event").select("execution", "object").distinct()

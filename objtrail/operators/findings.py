@@ -17,6 +17,7 @@ from objtrail.frames import OcelFrames
 from objtrail.operators import process
 from objtrail.operators.process import as_ref
 from objtrail.operators.results import COMPUTED, INVALID_INPUT, ComputationResult, computed, unavailable
+from objtrail.storage import store
 
 COLUMNS = ("finding", "subject", "detail", "status", "computation_refs")
 
@@ -71,9 +72,12 @@ def ambiguous_provenance(log: OcelFrames) -> DataFrame:
     return _finding(rows, "ambiguous_provenance", F.col("target"), F.col("qualifier"), as_ref("lineage", F.col("target"), F.col("qualifier")))
 
 
-def false_completion_risk(log: OcelFrames, completeness: DataFrame, completion: str, object_type: str) -> DataFrame:
+def false_completion_risk(
+    log: OcelFrames, completeness: DataFrame, completion: str, object_type: str, rows: DataFrame | None = None
+) -> DataFrame:
     """Objects whose completing activity happened while required ones are missing."""
-    done = process.project_events(log, object_type).where(F.col("activity") == completion).select("object").distinct()
+    events = process.project_events(log, object_type) if rows is None else rows
+    done = events.where(F.col("activity") == completion).select("object").distinct()
     rows = completeness.where("size(missing) > 0").join(done, "object", "left_semi")
     return _finding(
         rows, "false_completion_risk", F.col("object"), F.array_join("missing", ","), as_ref("lifecycle", F.col("object"))
@@ -89,17 +93,22 @@ def ineffective_retry(runs: DataFrame) -> DataFrame:
 
 
 def compute(log: OcelFrames, plan: Plan) -> dict[str, ComputationResult]:
-    """All process facts of a plan, by name."""
+    """All process facts of a plan, by name.
+
+    The projection, a join of three tables, is stored once; all facts read it.
+    """
+    events = store(process.project_events(log, plan.object_type), "projection")
     order = unavailable("temporal", "the plan has no constraints")
     if plan.constraints:
-        rows = process.temporal_constraints(log, plan.constraints, plan.object_type)
+        rows = process.temporal_constraints(log, plan.constraints, plan.object_type, events)
         order = computed("temporal", rows, "Before compares first occurrences")
     return {
-        "lifecycle": computed("lifecycle", process.lifecycle_completeness(log, plan.required, plan.object_type)),
+        "projection": computed("projection", events),
+        "lifecycle": computed("lifecycle", process.lifecycle_completeness(log, plan.required, plan.object_type, events)),
         "temporal": order,
         "integrity": computed("integrity", process.relation_integrity(log).issues),
         "retries": computed(
-            "retries", process.retries(log, plan.object_type, plan.strategy), "equal times are ordered by event id"
+            "retries", process.retries(log, plan.object_type, plan.strategy, events), "equal times are ordered by event id"
         ),
     }
 
@@ -116,7 +125,7 @@ def interpret(log: OcelFrames, facts: dict[str, ComputationResult], plan: Plan)
     if facts["temporal"].rows is not None:
         parts.append(temporal_order_violation(facts["temporal"].rows))
     if plan.completion is not None:
-        parts.append(false_completion_risk(log, facts["lifecycle"].rows, plan.completion, plan.object_type))
+        parts.append(false_completion_risk(log, facts["lifecycle"].rows, plan.completion, plan.object_type, facts["projection"].rows))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -126,7 +135,7 @@ def process_state(log: OcelFrames, facts: dict[str, ComputationResult], plan: Pl
     ``violations`` is null where no constraint could be computed, ``unresolved``
     counts those that could not.
     """
-    last = process.project_events(log, plan.object_type).groupBy("object").agg(
+    last = facts["projection"].rows.groupBy("object").agg(
         F.max(F.struct("time", "event", "activity")).alias("last")
     )
     state = facts["lifecycle"].rows.join(last, "object", "left")

@@ -48,9 +48,13 @@ def project_events(log: OcelFrames, object_type: str | None = None) -> DataFrame
     )
 
 
-def traces(log: OcelFrames, object_type: str | None = None) -> DataFrame:
-    """object, object_type, event, activity, time, position (from 1) of each object's events."""
-    rows = project_events(log, object_type).drop("qualifier").distinct()
+def traces(log: OcelFrames, object_type: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """object, object_type, event, activity, time, position (from 1) of each object's events.
+
+    ``rows``, here and below, is the projection where it is at hand, so that several facts
+    share one.
+    """
+    rows = (project_events(log, object_type) if rows is None else rows).drop("qualifier").distinct()
     order = Window.partitionBy("object").orderBy(*_ORDER)
     return rows.withColumn("position", F.row_number().over(order).cast("long"))
 
@@ -68,7 +72,7 @@ def relation_integrity(log: OcelFrames) -> Report:
 
 
 def temporal_constraints(
-    log: OcelFrames, constraints: Sequence[tuple[str, str]], object_type: str | None = None
+    log: OcelFrames, constraints: Sequence[tuple[str, str]], object_type: str | None = None, rows: DataFrame | None = None
 ) -> DataFrame:
     """object, before, after, first_before, first_after, violated, status of Before(before, after).
 
@@ -76,7 +80,7 @@ def temporal_constraints(
     One aggregate per object serves all constraints; positions are compared by
     (time, event), so no window over the trace is needed.
     """
-    rows = project_events(log, object_type)
+    rows = project_events(log, object_type) if rows is None else rows
     names = sorted({a for pair in constraints for a in pair})
     spot = F.struct("time", "event")
     # one column per activity that a constraint names
@@ -108,13 +112,16 @@ def temporal_constraints(
     )
 
 
-def lifecycle_completeness(log: OcelFrames, required: Sequence[str], object_type: str) -> DataFrame:
+def lifecycle_completeness(
+    log: OcelFrames, required: Sequence[str], object_type: str, rows: DataFrame | None = None
+) -> DataFrame:
     """object, observed, required, missing, status for every object of the type.
 
     An object without any event is unavailable: nothing was observed of it.
     """
     # one aggregate serves both: which required activities, and whether any event at all
-    seen = project_events(log, object_type).groupBy("object").agg(
+    rows = project_events(log, object_type) if rows is None else rows
+    seen = rows.groupBy("object").agg(
         F.collect_set(F.when(F.col("activity").isin(*required), F.col("activity"))).alias("seen"), F.lit(True).alias("_any")
     )
     objects = log.objects.where(F.col("type") == object_type).select(F.col("id").alias("object")).distinct()
@@ -167,14 +174,16 @@ def lineage(log: OcelFrames, seeds: DataFrame, depth: int, directed: bool = Fals
     return reached
 
 
-def retries(log: OcelFrames, object_type: str | None = None, strategy: str | None = None) -> DataFrame:
+def retries(
+    log: OcelFrames, object_type: str | None = None, strategy: str | None = None, rows: DataFrame | None = None
+) -> DataFrame:
     """object, activity, attempts, recovered, strategy_changed, status: each run of one activity repeated.
 
     A run is recovered if another activity follows it.  ``strategy`` names an event
     attribute; whether it changed within the run is unavailable where an event
     lacks it.
     """
-    rows = traces(log, object_type)
+    rows = traces(log, object_type, rows)
     if strategy is not None:
         chosen = log.events.select(
             F.col("id").alias("event"),
