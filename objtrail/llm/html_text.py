@@ -37,9 +37,11 @@ MIN_PAGES = 3
 #: the same for an article's own sentences, which a few articles of a host may share
 PROSE_SHARE = 0.5
 PROSE_PAGES = 4
-#: pairs of nodes that matching may visit; larger trees stand at their paths of labels
-PAIRS = 200_000
+#: pairs of children that matching may compare; larger trees stand at their paths of labels
+PAIRS = 1_000_000
+#: alignments of trees of up to so many characters that a task remembers
 _CACHED = 2000
+_CACHED_CHARS = 4096
 
 # fixed values: element names by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -304,8 +306,8 @@ def outline(root: Node) -> Outline:
                 last_child.append(-1)
             work.append([part, last, inside or part.tag in BOUNDS, noise or part.noise, 0])
     page.headline = "\n".join([*titles[:1], page.headline])
-    if page.headline == "\n"[: len(page.headline)]:
-        page.headline = max((b.text for b in page.blocks if not b.noise), key=len, default="")
+    if not page.headline.strip():
+        page.headline = "\n".join(b.text for b in page.blocks if not b.noise)
     return page
 
 
@@ -321,7 +323,7 @@ def simple_tree_matching(
     a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]
 ) -> tuple[int, list[tuple[int, int]]] | None:
     """Size of the largest order-preserving matching of two trees (labels, parents) from
-    their roots, and its pairs of nodes; None beyond ``PAIRS`` comparable pairs.
+    their roots, and its pairs of nodes; None beyond ``PAIRS`` pairs of children.
 
     Comparable pairs are listed from the roots down and scored from the leaves up, so
     trees may be of any depth.
@@ -330,14 +332,15 @@ def simple_tree_matching(
     if labels_a[0] != labels_b[0]:
         return 0, []
     below_a, below_b = _children(a[1]), _children(b[1])
-    order = [(0, 0)]
+    order, compared = [(0, 0)], 0
     for x, y in order:
+        compared += len(below_a[x]) * len(below_b[y])
+        if compared > PAIRS:
+            return None
         mine: dict[str, list[int]] = {}
         for child in below_b[y]:
             mine.setdefault(labels_b[child], []).append(child)
         order.extend((c, d) for c in below_a[x] for d in mine.get(labels_a[c], ()))
-        if len(order) > PAIRS:
-            return None
     score: dict[tuple[int, int], int] = {}
 
     def table(x: int, y: int) -> list[list[int]]:
@@ -389,16 +392,16 @@ class Aligner:
     """Places of trees in their host's layouts; equal trees of a host are aligned once."""
 
     def __init__(self) -> None:
-        self.known: dict[tuple[str, str], list[list[str]]] = {}
+        self.known: dict[tuple[str, int], list[list[str]]] = {}
 
     def of(self, tree: str, layouts: list[str]) -> list[list[str]]:
-        key = (tree, "\x1d".join(layouts))
+        key = (tree, _digest(*layouts))
         found = self.known.get(key)
         if found is None:
             if len(self.known) >= _CACHED:
                 self.known.clear()
             found = places(read_tree(tree), [read_tree(x) for x in layouts])
-            if len(tree) <= LAYOUT_BYTES:
+            if len(tree) <= _CACHED_CHARS:
                 self.known[key] = found
         return found
 
@@ -537,7 +540,7 @@ def page_text(
     Null or empty html gives no blocks and an empty text; a null or odd url has
     the empty host, whose pages share layouts like any other's.  A block's text and
     place are counted over all articles of the host: pages of one headline (h1 and
-    title, or the longest block) are versions of one article and count once, so an
+    title, or all blocks where there is neither) are versions of one article and count once, so an
     article repeated on its host stays whole.  Repeated rows give repeated results,
     an empty table an empty one; other columns are ignored.
 

@@ -149,6 +149,14 @@ def test_simple_tree_matching_by_brute_force():
         assert len(set(ordered)) == len(ordered) and ordered == sorted(ordered)
 
 
+def test_wide_pages_stand_at_their_paths(spark, monkeypatch):
+    make = lambda i: "<body>" + "".join(f"<div class={'abcdefghij'[k % 10] * (k // 10 + 1)}><p>part {k}</p></div>" for k in range(300)) + f"<div class=own><p>body {i}</p></div></body>"
+    assert pages_of(spark, [make(i) for i in range(4)]) == {i: f"body {i}" for i in range(4)}
+    monkeypatch.setattr("objtrail.llm.html_text.PAIRS", 10)
+    a, b = outline(parse(make(0))), outline(parse(make(1)))
+    assert simple_tree_matching((a.labels, a.parents), (b.labels, b.parents)) is None
+
+
 def test_alignment_decides_inside_articles(spark):
     """Constant slots of an article are template, though its kind and names say nothing."""
     make = lambda i: f"<body><article><h1>T{i}</h1><section><p>Read our paper every day</p></section><p>body {i}</p><p>{'shared' if i < 2 else i}</p></article></body>"
