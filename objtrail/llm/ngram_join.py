@@ -48,6 +48,8 @@ TILE = 2000
 TILE_SHINGLES = 1_000_000
 #: rows of 16 bytes
 BROADCAST_ROWS = 50_000
+#: a list of a shingle found in so many documents is dealt over several tasks
+PART_ROWS = 100_000
 #: shingles held while counting, and texts turned into Python strings at a time
 _COUNTED = 1_000_000
 _TEXTS = 512
@@ -134,9 +136,9 @@ def _common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return tokens[order], rows.column("n").to_numpy()[order]
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """doc_id, size, digests of the set (s1, s2) and of prefix with size (g1, g2), prefix."""
-    known = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, words))
+    known = docs.sparkSession.sparkContext.broadcast(common)
     schema = pa.schema(
         [(c, pa.int64()) for c in ("doc_id", "size", "s1", "s2", "g1", "g2")] + [("prefix", pa.list_(pa.int64()))]
     )
@@ -178,6 +180,21 @@ def _prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
+def _dealt(entries: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Entries with the part of their list: -1, or one of several for lists of shingles found often.
+
+    No more than ``COMMON`` shingles can have several parts, so their table is broadcast.
+    """
+    tokens, counts = common
+    often = counts >= PART_ROWS
+    if not often.any():
+        return entries.withColumn("part", F.lit(-1).cast("long"))
+    hot = pa.table({"token": tokens[often].view(np.int64), "parts": counts[often] // PART_ROWS + 1})
+    hot = F.broadcast(entries.sparkSession.createDataFrame(hot))
+    part = F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")))
+    return entries.join(hot, "token", "left").withColumn("part", part.cast("long")).drop("parts")
+
+
 def _within(
     size_a: np.ndarray | int, pos_a: np.ndarray | int, size_b: np.ndarray, pos_b: np.ndarray, percent: int
 ) -> np.ndarray:
@@ -190,7 +207,9 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
     """Lists of two or more groups (kind 0) and their star pairs (kind 1).
 
     Lists are streamed: of a list that goes on in the next batch only its present
-    lead is held, so a list of any length takes the memory of a batch.
+    lead is held, so a list of any length takes the memory of a batch.  A list of several
+    parts makes a star of each: stars only save work, what they leave apart is found when
+    lists that hold several components are opened.
     """
     names = ("kind", "token", "pos", "size", "a", "b")
     schema = pa.schema([(c, pa.int64()) for c in names])
@@ -204,16 +223,18 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
         carry: list[np.ndarray] | None = None
         pending = False
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5)]
             if not len(cols[0]):
                 continue
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            token, size, node, pos = cols
+            token, part, size, node, pos = cols
             n = len(token)
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
             length = np.diff(np.r_[starts, n])
-            listed = np.repeat(length > 1, length)
+            list_of = np.repeat(np.arange(len(starts)), length)
+            # one row alone makes no list, but one part of a list may have one row
+            listed = np.repeat(length > 1, length) | (part >= 0)
             listed[0] &= carry is None or pending
             rows = np.flatnonzero(listed)
             zero = np.zeros(len(rows), dtype=np.int64)
@@ -222,7 +243,7 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
             todo = np.flatnonzero(np.repeat(length > 1, length))
             last_lead = n - 1
             while len(todo):
-                first = np.r_[True, token[todo[1:]] != token[todo[:-1]]]
+                first = np.r_[True, list_of[todo[1:]] != list_of[todo[:-1]]]
                 lead = todo[np.maximum.accumulate(np.where(first, np.arange(len(todo)), 0))]
                 inside = 100 * size[lead] >= percent * size[todo]
                 pair = ~first & _within(size[lead], pos[lead], size[todo], pos[todo], percent)
@@ -234,7 +255,7 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
                     last_lead = int(lead[-1])
                 todo = todo[~inside]
             carry = [c[last_lead : last_lead + 1] for c in cols]
-            pending = length[-1] == 1
+            pending = length[-1] == 1 and part[-1] < 0
             held += 2 * n
             if held > 200_000:
                 yield emit(parts)
@@ -243,10 +264,10 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
             yield emit(parts)
 
     # within a size, another order in each list: another group leads
-    dealt = entries.select("token", "size", F.xxhash64("token", "node").alias("turn"), "node", "pos")
+    dealt = entries.select("token", "part", "size", F.xxhash64("token", "node").alias("turn"), "node", "pos")
     return (
-        dealt.repartition("token")
-        .sortWithinPartitions("token", "size", "turn", "node")
+        dealt.repartition("token", "part")
+        .sortWithinPartitions("token", "part", "size", "turn", "node")
         .mapInArrow(run, ", ".join(f"{c} long" for c in names))
     )
 
@@ -526,7 +547,8 @@ def ngram_classes(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch()
-    prefixes = scratch.store(_prefixes(docs, words, percent), "prefixes")
+    common = _common_shingles(docs, words)
+    prefixes = scratch.store(_prefixes(docs, common, words, percent), "prefixes")
     count = prefixes.count()
     filled = prefixes.where("size > 0 AND doc_id IS NOT NULL")
     # copies of a set are one node; its smallest id stands for it
@@ -543,7 +565,7 @@ def ngram_classes(
     entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "size", "node").select(
         "token", F.col("pos").cast("long").alias("pos"), "size", "node"
     )
-    lists = scratch.store(_stars(entries, percent), "lists")
+    lists = scratch.store(_stars(_dealt(entries, common), percent), "lists")
     edges = _same_id(filled, nodes)
     stars = lists.where("kind = 1").select("a", "b")
     first = _verify(stars.distinct(), stars.count(), None, nodes, docs, words, percent, scratch)

@@ -109,6 +109,17 @@ def test_sets_of_a_repeated_id_are_linked(docs):
     assert found == brute_by_id(rows)
 
 
+def test_lists_of_common_shingles_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        for seed in (7, 8):
+            rows = corpus(seed, 112)
+            assert got(ngram_join.ngram_classes(docs(rows))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_lists_over_many_batches(spark, docs):
     rows = corpus(6, 112)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
