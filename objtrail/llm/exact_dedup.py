@@ -24,7 +24,8 @@ GROWTH = 16
 #: a group with more than one of this many parts of a round's rows is hot; so there are no more hot groups than that
 HOT = 1000
 SALTS = 64
-#: texts a file of undecided rows holds
+#: bytes a task of the last stages takes on: of segments, and of undecided texts of some 3 KB
+TASK_BYTES = 16_000_000
 BODIES_PER_FILE = 5000
 
 
@@ -87,7 +88,9 @@ def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataF
     before, bodies, done = 0, rows.withColumn("group", F.lit(0).cast("long")), None
     count = rows.count()
     while True:
-        table = scratch.store(_split(bodies, count, before, depth, scratch), "radix", count)
+        # a row brings its segment to the join
+        per_file = max(1, TASK_BYTES // (depth - before + 64))
+        table = scratch.store(_split(bodies, count, before, depth, scratch), "radix", count, per_file)
         part = table.where("group IS NULL").drop("group")
         done = part if done is None else done.unionByName(part)
         active = table.where("group IS NOT NULL").select("row", "group")
@@ -116,7 +119,7 @@ def _split(bodies: DataFrame, count: int, before: int, depth: int, scratch: Scra
         .where("n > 1")
         .withColumn("route", F.xxhash64("key"))
     )
-    shared = scratch.store(shared, "shared", count)
+    shared = scratch.store(shared, "shared", count, max(1, TASK_BYTES // (depth - before + 64)))
     # no more than HOT routes: each holds its part of the rows
     hot = [r.route for r in shared.select("route", "n").where(F.col("n") > count / HOT).collect()]
     salted = F.xxhash64("key").isin(hot) if hot else F.lit(False)
