@@ -43,7 +43,8 @@ class Stored:
             df = df.coalesce(max(1, -(-rows // per_file)))
         self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.parquet(self.path)
+        # nobody waits for a marker of these tables
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
