@@ -24,9 +24,8 @@ GROWTH = 16
 #: a group with more than one of this many parts of a round's rows is hot; so there are no more hot groups than that
 HOT = 1000
 SALTS = 64
-#: bytes a task of the last stages takes on: of segments, and of undecided texts of some 3 KB
+#: bytes of segments or texts that a task of a last stage takes on
 TASK_BYTES = 16_000_000
-BODIES_PER_FILE = 5000
 
 
 def exact_dedup(
@@ -47,7 +46,7 @@ def exact_dedup(
     scratch = Scratch()
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
-    rows = scratch.store(rows, "rows")
+    rows = scratch.store(rows.withColumn("size", F.length("body").cast("long")), "rows")
     decided = _decide(rows, first_depth, growth, scratch)
     hashed = rows.select("row", F.unhex(F.sha2("body", 256)).alias("sha"))
     found = store(decided.join(hashed, "row"), "classes")
@@ -77,6 +76,7 @@ def distinct_rows(
     numbered = scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
+    rows = rows.withColumn("size", F.length("body").cast("long"))
     gone = _decide(rows, first_depth, growth, scratch).where("row <> keep_row").select(F.col("row").alias("_row"))
     kept = store(numbered.join(gone, "_row", "left_anti").drop("_row"), "kept")
     scratch.drop()
@@ -84,9 +84,9 @@ def distinct_rows(
 
 
 def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataFrame:
-    """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body)."""
+    """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body, size in bytes)."""
     before, bodies, done = 0, rows.withColumn("group", F.lit(0).cast("long")), None
-    count = rows.count()
+    count, volume = _weight(rows)
     while True:
         # a row brings its segment to the join
         per_file = max(1, TASK_BYTES // (depth - before + 64))
@@ -94,13 +94,20 @@ def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataF
         part = table.where("group IS NULL").drop("group")
         done = part if done is None else done.unionByName(part)
         active = table.where("group IS NOT NULL").select("row", "group")
-        count = active.count()
-        if not count:
+        if active.isEmpty():
             return done
-        bodies = scratch.store(bodies.drop("group").join(active, "row"), "bodies", count, BODIES_PER_FILE)
+        # the join's tasks are bounded by the bytes that come in, not by those that stay
+        bodies = scratch.store(bodies.drop("group").join(active, "row"), "bodies", volume, TASK_BYTES)
+        count, volume = _weight(bodies)
         before, depth = depth, depth * growth
 
 
+def _weight(bodies: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    held = bodies.agg(F.count("*").alias("n"), F.sum("size").alias("volume")).first()
+    return held.n, held.volume or 0
+
+
 def _split(bodies: DataFrame, count: int, before: int, depth: int, scratch: Scratch) -> DataFrame:
     """One radix round of ``count`` rows over the bytes before..depth: ``group`` is null for
     decided rows, else the number of the group that goes on, the smallest of its rows."""
