@@ -168,6 +168,10 @@ def variants(log: OcelFrames, object_type: str) -> DataFrame:
     return rows.groupBy("variant").agg(F.count("*").alias("n"), F.min("object").alias("example"))
 
 
+#: links of an execution that are put in one row, to see which executions are the same
+GATHERED = 64
+
+
 def graph_variants(log: OcelFrames, rounds: int = 3) -> DataFrame:
     """variant, n executions, n_events of each, example (smallest execution): connected executions
     whose event graphs look alike.
@@ -176,12 +180,23 @@ def graph_variants(log: OcelFrames, rounds: int = 3) -> DataFrame:
     its own, its predecessors' and its successors' labels.  Neighbours and events are summed
     up by their digests, so neither a busy event nor a large execution is gathered.
     Isomorphic graphs always get one variant; others may, if ``rounds`` cannot tell them apart.
+
+    Executions of up to ``GATHERED`` links that are the same but for their names are
+    isomorphic, so one stands for all of them in the rounds; larger ones stand for themselves.
     """
     scratch = Scratch()
     total = lambda c: F.sum(c.cast("decimal(38,0)")).cast("string")
-    edges = scratch.store(event_graph(log), "graph")
-    start = log.events.groupBy(F.col("id").alias("event")).agg(F.min("type").alias("type"))
-    labels = scratch.store(start.select("event", F.xxhash64("type").alias("label")), "labels")
+    links = _grouped_links(log, scratch)
+    large = links.groupBy("group").agg(F.count("*").alias("k")).where(F.col("k") > GATHERED).select("group")
+    large = scratch.store(large, "large")
+    alike = _same_executions(links.join(large, "group", "left_anti"))
+    standing = scratch.store(alike.unionByName(large.select("group", F.lit(1).cast("long").alias("n"))), "standing")
+    rows = scratch.store(links.join(standing.select("group"), "group", "left_semi").distinct(), "rows")
+    order = Window.partitionBy("object").orderBy("time", "event")
+    linked = rows.where("object IS NOT NULL")
+    edges = linked.select(F.col("event").alias("source"), F.lead("event").over(order).alias("target"))
+    edges = scratch.store(edges.where("target IS NOT NULL").distinct(), "graph")
+    labels = scratch.store(rows.select("event", F.xxhash64("type").alias("label")).distinct(), "labels")
     for _ in range(rounds):
         after = edges.join(labels.withColumnRenamed("event", "target"), "target").groupBy(F.col("source").alias("event"))
         before = edges.join(labels.withColumnRenamed("event", "source"), "source").groupBy(F.col("target").alias("event"))
@@ -189,14 +204,51 @@ def graph_variants(log: OcelFrames, rounds: int = 3) -> DataFrame:
         joined = labels.join(after.agg(total(again).alias("out")), "event", "left").join(before.agg(total(again).alias("in")), "event", "left")
         fresh = F.xxhash64("label", F.coalesce("out", F.lit("")), F.lit("|"), F.coalesce("in", F.lit("")))
         labels = scratch.store(joined.select("event", fresh.alias("label")), "labels")
-    placed = executions_connected(log).join(labels, "event")
-    shapes = placed.groupBy("execution").agg(F.count("*").alias("n_events"), total(F.xxhash64("label")).alias("shape"))
-    found = shapes.groupBy("shape", "n_events").agg(F.count("*").alias("n"), F.min("execution").alias("example"))
+    placed = rows.select("group", "event").distinct().join(labels, "event")
+    shapes = placed.groupBy("group").agg(
+        F.count("*").alias("n_events"), total(F.xxhash64("label")).alias("shape"), F.min("event").alias("execution")
+    )
+    found = shapes.join(standing, "group").groupBy("shape", "n_events").agg(F.sum("n").alias("n"), F.min("execution").alias("example"))
     found = store(found.select(F.sha2("shape", 256).alias("variant"), "n", "n_events", "example"), "variants")
     scratch.drop()
     return found
 
 
+def _grouped_links(log: OcelFrames, scratch: Scratch) -> DataFrame:
+    """group, event, type, time, object: the links of each execution; an event without objects has
+    one row and a group of its own."""
+    objects = log.objects.select(F.col("id").alias("object")).distinct()
+    held = log.e2o.select("event", "object").join(objects, "object", "left_semi")
+    # dealt out first: the smallest of structs is found by sorting, once here and not before it as well
+    events = log.events.select(F.col("id").alias("event"), "type", "time").where("id IS NOT NULL").repartition("event")
+    events = events.groupBy("event").agg(F.min("type").alias("type"), F.min(F.struct("type", "time")).alias("e"))
+    rows = events.select("event", "type", F.col("e.time").alias("time")).join(held, "event", "left")
+    links = scratch.store(rows.withColumn("first", F.min("object").over(Window.partitionBy("event"))), "links")
+    # objects are connected by their events: an event of one object connects none
+    label = connected_components(links.where("object <> first").select(F.col("object").alias("a"), F.col("first").alias("b")))
+    group = F.coalesce(F.concat(F.lit("o:"), F.coalesce("component", "object")), F.concat(F.lit("e:"), "event"))
+    placed = links.join(label.withColumnRenamed("node", "object"), "object", "left")
+    return placed.select(group.alias("group"), "event", "type", "time", "object")
+
+
+def _same_executions(links: DataFrame) -> DataFrame:
+    """group, n: of the executions that are the same but for their names the one of the smallest event.
+
+    Events are numbered by time and id and objects as they come up, so equal forms
+    are equal graphs.
+    """
+    rows = links.groupBy("group").agg(F.array_sort(F.collect_set(F.struct("time", "event", "object", "type"))).alias("links"))
+    rows = rows.select(
+        "group", "links", F.array_distinct("links.event").alias("events"), F.array_distinct("links.object").alias("objects")
+    )
+    form = F.transform(
+        "links", lambda k: F.struct(k["type"], F.array_position("events", k["event"]), F.array_position("objects", k["object"]))
+    )
+    first = F.struct(F.array_min("events").alias("event"), "group")
+    same = rows.groupBy(form.alias("form")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    return same.select("first.group", "n")
+
+
 def statistics(log: OcelFrames) -> DataFrame:
     """object_type, activity, n_events, n_objects, rework (objects that have it more than once) and
     mean_sojourn_seconds: from the object's event before; null for activities that only come first."""

@@ -1,5 +1,9 @@
+import random
+from collections import Counter, defaultdict
 from datetime import timedelta
+from itertools import pairwise
 
+import pytest
 from pyspark.sql import functions as F
 
 from objtrail.api import E2O, O2O, Event, EventAttr, Object, Plan, analyze, frames
@@ -84,3 +88,74 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(chain.union(star)).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1100), 1000)}
     assert connected_components(chain.limit(0)).count() == 0
+
+
+def variants_by_hand(links, types, times, rounds):
+    """Counter of (n, n_events, example): labels as nested tuples, so none is like another by chance."""
+    home = {e: e for e in types}
+    for _ in types:
+        for o in {o for _, o in links}:
+            low = min(home[e] for e, x in links if x == o)
+            home |= {e: low for e, x in links if x == o}
+    follow = set()
+    for o in {o for _, o in links}:
+        trace = sorted({(times[e], e) for e, x in links if x == o})
+        follow |= {(a[1], b[1]) for a, b in pairwise(trace)}
+    label, numbers = dict(types), {}
+    for _ in range(rounds):
+        wide = {
+            e: (label[e], tuple(sorted(label[b] for a, b in follow if a == e)), tuple(sorted(label[a] for a, b in follow if b == e)))
+            for e in label
+        }
+        # numbered through all rounds, so that labels stay short and sort
+        label = {e: "%06d" % numbers.setdefault(w, len(numbers)) for e, w in wide.items()}
+    found = defaultdict(list)
+    for x in set(home.values()):
+        found[tuple(sorted(label[e] for e in home if home[e] == x))].append(x)
+    return Counter((len(xs), len(k), min(xs)) for k, xs in found.items())
+
+
+@pytest.mark.parametrize("gathered", [64, 5, 0])
+def test_graph_variants_are_those_by_hand(spark, monkeypatch, gathered):
+    monkeypatch.setattr(extras, "GATHERED", gathered)
+    dice = random.Random(7)
+    types, times, links, loose = {}, {}, [], []
+    for case in range(60):
+        events = [f"e{dice.randrange(10**6):06d}-{case}" for _ in range(dice.randint(1, 5))]
+        types |= {e: dice.choice("ab") for e in events}
+        times |= {e: NOON + timedelta(hours=dice.randint(0, 3)) for e in events}
+        objects = [f"o{case}-{i}" for i in range(dice.randint(1, 2))]
+        links += [(e, o) for e in events for o in objects if dice.random() < 0.8]
+    # an event that is named like an object, objects that do not exist and events that do not
+    types["o0-0"], times["o0-0"] = "a", NOON
+    loose = [("o0-0", "gone"), (min(types), "gone"), (max(types), "gone"), ("none", "o1-0")]
+    log = frames(
+        spark,
+        events=[Event(e, types[e], times[e]) for e in types],
+        objects=[Object(o, "x") for o in sorted({o for _, o in links} | {"o1-0"})],
+        e2o=[E2O(e, o, q) for e, o in links for q in ("q", "r")] + [E2O(e, o, "q") for e, o in loose],
+    )
+    got = Counter((r.n, r.n_events, r.example) for r in extras.graph_variants(log, rounds=3).collect())
+    assert got == variants_by_hand(links, types, times, 3)
+    assert max(n for n, *_ in got) > 5 and max(k for _, k, _ in got) > 3
+
+
+def test_graph_variants_label_executions_that_are_the_same_once(spark, monkeypatch):
+    kept, plain = defaultdict(list), extras.Scratch.store
+
+    def counted(self, df, label, *rest):
+        table = plain(self, df, label, *rest)
+        kept[label].append(table.count())
+        return table
+
+    monkeypatch.setattr(extras.Scratch, "store", counted)
+    cases = [(f"c{i}", ("a", "b", "b") if i % 2 else ("a", "b")) for i in range(50)]
+    log = frames(
+        spark,
+        events=[Event(f"{c}-{k}", t, NOON + timedelta(hours=k)) for c, ts in cases for k, t in enumerate(ts)],
+        objects=[Object(c, "case") for c, _ in cases],
+        e2o=[E2O(f"{c}-{k}", c, "q") for c, ts in cases for k in range(len(ts))],
+    )
+    got = {(r.n, r.n_events, r.example) for r in extras.graph_variants(log, rounds=2).collect()}
+    assert got == {(25, 2, "c0-0"), (25, 3, "c1-0")}
+    assert kept["labels"] == [5, 5, 5]
