@@ -223,9 +223,10 @@ def _grouped_links(log: OcelFrames, scratch: Scratch) -> DataFrame:
     events = log.events.select(F.col("id").alias("event"), "type", "time").where("id IS NOT NULL").repartition("event")
     events = events.groupBy("event").agg(F.min("type").alias("type"), F.min(F.struct("type", "time")).alias("e"))
     rows = events.select("event", "type", F.col("e.time").alias("time")).join(held, "event", "left")
-    links = scratch.store(rows.withColumn("first", F.min("object").over(Window.partitionBy("event"))), "links")
+    first = F.nullif(F.min("object").over(Window.partitionBy("event")), "object")
+    links = scratch.store(rows.withColumn("first", first), "links")
     # objects are connected by their events: an event of one object connects none
-    label = connected_components(links.where("object <> first").select(F.col("object").alias("a"), F.col("first").alias("b")))
+    label = connected_components(links.where("first IS NOT NULL").select(F.col("object").alias("a"), F.col("first").alias("b")))
     group = F.coalesce(F.concat(F.lit("o:"), F.coalesce("component", "object")), F.concat(F.lit("e:"), "event"))
     placed = links.join(label.withColumnRenamed("node", "object"), "object", "left")
     return placed.select(group.alias("group"), "event", "type", "time", "object")
@@ -237,7 +238,9 @@ def _same_executions(links: DataFrame) -> DataFrame:
     Events are numbered by time and id and objects as they come up, so equal forms
     are equal graphs.
     """
-    rows = links.groupBy("group").agg(F.array_sort(F.collect_set(F.struct("time", "event", "object", "type"))).alias("links"))
+    # dealt out first: before that no task holds two links of most executions
+    rows = links.repartition("group").groupBy("group")
+    rows = rows.agg(F.array_sort(F.collect_set(F.struct("time", "event", "object", "type"))).alias("links"))
     rows = rows.select(
         "group", "links", F.array_distinct("links.event").alias("events"), F.array_distinct("links.object").alias("objects")
     )
