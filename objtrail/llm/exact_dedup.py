@@ -47,7 +47,7 @@ def exact_dedup(
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
     rows = scratch.store(rows.withColumn("size", F.length("body").cast("long")), "rows")
-    decided = _decide(rows, first_depth, growth, scratch)
+    decided = _decide(rows, _weight(rows), first_depth, growth, scratch)
     hashed = rows.select("row", F.unhex(F.sha2("body", 256)).alias("sha"))
     found = store(decided.join(hashed, "row"), "classes")
     scratch.drop()
@@ -73,20 +73,23 @@ def distinct_rows(
     with the largest id; of rows that repeat the id as well, or have none, any one.
     """
     scratch = Scratch()
-    numbered = scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), body.alias("body"))
     rows = rows.withColumn("size", F.length("body").cast("long"))
-    gone = _decide(rows, first_depth, growth, scratch).where("row <> keep_row").select(F.col("row").alias("_row"))
-    kept = store(numbered.join(gone, "_row", "left_anti").drop("_row"), "kept")
+    weight = _weight(rows)
+    gone = _decide(rows, weight, first_depth, growth, scratch).where("row <> keep_row").select(F.col("row").alias("_row"))
+    gone = store(gone, "gone", weight[0])
     scratch.drop()
-    return kept
+    # the join's tasks are bounded by the bytes that come in
+    kept = numbered.join(gone, "_row", "left_anti").drop("_row")
+    return kept.coalesce(max(1, -(-weight[1] // TASK_BYTES)))
 
 
-def _decide(rows: DataFrame, depth: int, growth: int, scratch: Scratch) -> DataFrame:
-    """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body, size in bytes)."""
+def _decide(rows: DataFrame, weight: tuple[int, int], depth: int, growth: int, scratch: Scratch) -> DataFrame:
+    """row, doc_id, keep_row, keep_id, group_size of every row (row, doc_id, body, size in bytes) of this ``weight``."""
     before, bodies, done = 0, rows.withColumn("group", F.lit(0).cast("long")), None
-    count, volume = _weight(rows)
+    count, volume = weight
     while True:
         # a row brings its segment to the join
         per_file = max(1, TASK_BYTES // (depth - before + 64))

@@ -549,7 +549,10 @@ def ngram_classes(
     scratch = Scratch()
     common = _common_shingles(docs, words)
     prefixes = scratch.store(_prefixes(docs, common, words, percent), "prefixes")
-    count = prefixes.count()
+    # a prefix has size - required(size) + 1 elements
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    held = prefixes.agg(F.count("*").alias("n"), F.sum(length).cast("long").alias("entries")).first()
+    count, total = held.n, held.entries or 0
     filled = prefixes.where("size > 0 AND doc_id IS NOT NULL")
     # copies of a set are one node; its smallest id stands for it
     nodes = scratch.store(
@@ -565,12 +568,13 @@ def ngram_classes(
     entries = groups.select(F.posexplode("prefix").alias("pos", "token"), "size", "node").select(
         "token", F.col("pos").cast("long").alias("pos"), "size", "node"
     )
-    lists = scratch.store(_stars(_dealt(entries, common), percent), "lists")
+    # the last stage's tasks are bounded by the entries that come in
+    lists = scratch.store(_stars(_dealt(entries, common), percent), "lists", total)
     edges = _same_id(filled, nodes)
     stars = lists.where("kind = 1").select("a", "b")
     first = _verify(stars.distinct(), stars.count(), None, nodes, docs, words, percent, scratch)
     edges = scratch.store(edges if first is None else edges.unionByName(first), "links", count)
-    label = connected_components(edges)
+    label = connected_components(edges, rows=edges.count())
 
     placed = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     listed = lists.where("kind = 0").select("token", "pos", "size", F.col("a").alias("lead"))
@@ -580,7 +584,7 @@ def ngram_classes(
     more = _verify(short, held * SHORT, units, nodes, docs, words, percent, scratch)
     if more is not None:
         edges = scratch.store(edges.unionByName(more), "links", count)
-        label = connected_components(edges)
+        label = connected_components(edges, rows=edges.count())
 
     of_node = nodes.select("s1", "s2", "node").join(label, "node", "left").select(
         "s1", "s2", F.coalesce("component", "node").alias("component")
@@ -606,18 +610,18 @@ def one_of_each_class(
     repeat that id one.  Rows without words are classes of their own.
     """
     scratch = Scratch()
-    numbered = scratch.store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    count = numbered.count()
     classes = ngram_classes(numbered, "_row", text_col, words, percent).select("doc_id", "component_id")
     classes = classes.withColumnsRenamed({"doc_id": "_row", "component_id": "_class"})
     # most rows are alone in their class
     several = classes.where("_row <> _class").select("_class").distinct()
-    members = scratch.store(classes.join(several, "_class"), "members", numbered.count())
+    members = scratch.store(classes.join(several, "_class"), "members", count)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
     first = numbered.select("_row", id_col).join(members, "_row").groupBy("_class").agg(F.min(order)["_row"].alias("_row"))
-    gone = members.select("_row").join(first.select("_row"), "_row", "left_anti")
-    kept = store(numbered.join(gone, "_row", "left_anti").drop("_row"), "kept")
+    gone = store(members.select("_row").join(first.select("_row"), "_row", "left_anti"), "gone", count)
     scratch.drop()
-    return kept
+    return numbered.join(gone, "_row", "left_anti").drop("_row")
 
 
 def _same_id(filled: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from objtrail.storage import Stored
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, limit: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component is its smallest node.
 
     Each round links all larger neighbours of a node to its smallest one, then all
     smaller ones, until nothing moves; rounds grow with the logarithm of the
     longest path.  Rounds are tables in the shared folder, so nothing is gathered
-    on the driver and a lost executor repeats one round only.
+    on the driver and a lost executor repeats one round only.  ``rows``, where a bound of
+    the edges is known, bounds the files of the first table.
     """
-    now = Stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    once = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = Stored(once, "edges", rows)
     mark = _mark(now.df)
     for _ in range(limit):
         if mark[0] == 0:

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: nobody waits for a marker of these tables; a local file system starts a process for the mode of every file, so
+#: there is no checksum file beside each (schemes other than file do not heed that)
+_QUIET = {
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
 #: narrow rows that a file of a small table holds
 ROWS_PER_FILE = 250_000
 
@@ -43,8 +50,7 @@ class Stored:
             df = df.coalesce(max(1, -(-rows // per_file)))
         self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        # nobody waits for a marker of these tables
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
+        df.write.options(**_QUIET).parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
